@@ -18,9 +18,9 @@ def valid(deliveries: DataFrame) -> DataFrame:
     return deliveries.filter(F.trim("match_id") != "")
 
 
-def ball_order() -> Column:
-    """Total order over the balls of all matches."""
-    return F.concat_ws("|", "match_date", "match_id", "row_seq")
+def _day() -> Column:
+    """Match day as a number; unreadable dates come first."""
+    return F.coalesce(F.unix_date(F.col("match_date").try_cast("date")), F.lit(-1000000))
 
 
 def _ones(condition: Column) -> Column:
@@ -123,21 +123,26 @@ def player_profiles(deliveries: DataFrame) -> DataFrame:
     One pass: (player, match, team) totals, folded to (player, match) so that a match counts
     once, then to (player, team) for the modal team, then to the player.
     """
-    balls = valid(deliveries).select("match_id", ball_order().alias("at"), F.explode(_player_roles_in_ball()).alias("p"))
+    balls = valid(deliveries).select(
+        "match_id", "row_seq", _day().alias("day"), F.explode(_player_roles_in_ball()).alias("p")
+    )
     per_team = (
         balls.filter("p.player != ''")
         .groupBy(F.col("p.player").alias("player"), "match_id", F.col("p.team").alias("team"))
         .agg(
             F.max("p.seen").alias("seen"),
             F.count(F.lit(1)).alias("team_balls"),
-            F.min("at").alias("first_at"),
+            F.min("day").alias("day"),
+            F.min("row_seq").alias("row_seq"),
             *[F.sum(f"p.{m}").alias(m) for m in _MEASURES],
         )
     )
     # A player has only a handful of team labels inside one match.
     per_match = per_team.groupBy("player", "match_id").agg(
         F.max("seen").alias("seen"),
-        F.collect_list(F.struct("team", "team_balls", "first_at")).alias("sides"),
+        F.collect_list(
+            F.struct("team", "team_balls", F.struct("day", "match_id", "row_seq").alias("first_at"))
+        ).alias("sides"),
         *[F.sum(m).alias(m) for m in _MEASURES],
     )
     per_side = (
@@ -171,34 +176,44 @@ def player_profiles(deliveries: DataFrame) -> DataFrame:
 
 def modal_team(deliveries: DataFrame) -> DataFrame:
     """Team a player bats for most often; ties go to the team met first."""
-    per_team = (
+    per_match = (
         valid(deliveries)
         .filter("batter != '' AND batting_team != ''")
-        .groupBy(F.col("batter").alias("player"), F.col("batting_team").alias("team"))
-        .agg(F.count(F.lit(1)).alias("balls"), F.min(ball_order()).alias("first_at"))
+        .groupBy(F.col("batter").alias("player"), F.col("batting_team").alias("team"), "match_id")
+        .agg(F.count(F.lit(1)).alias("balls"), F.min(_day()).alias("day"), F.min("row_seq").alias("row_seq"))
+    )
+    per_team = per_match.groupBy("player", "team").agg(
+        F.sum("balls").alias("balls"), F.min(F.struct("day", "match_id", "row_seq")).alias("first_at")
     )
     best = F.min(F.struct((-F.col("balls")).alias("fewer"), "first_at", "team", "balls")).alias("best")
     return per_team.groupBy("player").agg(best).select("player", "best.team", "best.balls")
 
 
-def innings_totals(deliveries: DataFrame) -> DataFrame:
-    key = F.coalesce(
+def _inning_key() -> Column:
+    return F.coalesce(
         F.nullif(F.trim(F.col("inning").cast("string")), F.lit("")),
         F.nullif(F.col("batting_team"), F.lit("")),
         F.lit("innings"),
     )
-    return (
+
+
+def innings_totals(deliveries: DataFrame) -> DataFrame:
+    per_side = (
         valid(deliveries)
-        .groupBy("match_id", key.alias("inning_key"))
+        .groupBy("match_id", "inning", "batting_team")
         .agg(
-            F.coalesce(
-                F.min_by("batting_team", F.when(F.col("batting_team") != "", F.col("row_seq"))), F.lit("")
-            ).alias("team"),
+            F.min("row_seq").alias("first_at"),
             F.sum("runs_total").alias("runs"),
             F.sum("wicket_count").alias("wickets"),
             _ones(rates.legal_ball()).alias("balls"),
         )
     )
+    return per_side.groupBy("match_id", _inning_key().alias("inning_key")).agg(
+        F.coalesce(
+            F.min_by("batting_team", F.when(F.col("batting_team") != "", F.col("first_at"))), F.lit("")
+        ).alias("team"),
+        *[F.sum(c).alias(c) for c in ("runs", "wickets", "balls")],
+    )
 
 
 # Header fields of a match and the delivery columns they come from.
@@ -212,31 +227,44 @@ HEADER = {
 }
 
 
-def _first_non_empty(column: str) -> Column:
-    return F.coalesce(F.min_by(column, F.when(F.col(column) != "", F.col("row_seq"))), F.lit(""))
+def _by_header(deliveries: DataFrame, *keys) -> DataFrame:
+    """Ball totals per ``keys`` and header. The header is part of the grouping key, constant in
+    nearly every match, so the balls are reduced by hash aggregation on plain columns."""
+    return (
+        valid(deliveries)
+        .groupBy("match_id", *keys, *[F.col(src).alias(dst) for dst, src in HEADER.items()])
+        .agg(
+            F.min("row_seq").alias("first_at"),
+            F.sum("runs_total").alias("runs"),
+            F.sum("wicket_count").alias("wickets"),
+            _ones(rates.legal_ball()).alias("balls"),
+        )
+    )
+
+
+def _first_field(name: str) -> Column:
+    """Aggregate: the first non-empty value as a (position, value) struct."""
+    return F.min(F.when(F.col(name) != "", F.struct(F.col("first_at").alias("at"), F.col(name).alias("value"))))
 
 
 def match_teams(deliveries: DataFrame) -> DataFrame:
     """One row per match and team that batted, with the match header and the outcome for the team."""
     per_team = (
-        valid(deliveries)
-        .groupBy("match_id", "batting_team")
+        _by_header(deliveries, "batting_team")
+        .groupBy("match_id", F.col("batting_team").alias("team"))
         .agg(
-            *[F.min(F.when(F.col(src) != "", F.struct("row_seq", src))).alias(dst) for dst, src in HEADER.items()],
-            F.sum("runs_total").alias("runs"),
-            _ones(rates.legal_ball()).alias("balls"),
+            *[_first_field(name).alias(name) for name in HEADER],
+            F.sum("runs").alias("runs"),
+            F.sum("balls").alias("balls"),
         )
     )
     whole = Window.partitionBy("match_id")
     headed = per_team.select(
         "match_id",
-        F.col("batting_team").alias("team"),
+        "team",
         "runs",
         "balls",
-        *[
-            F.coalesce(F.min(dst).over(whole)[src], F.lit("")).alias(dst)
-            for dst, src in HEADER.items()
-        ],
+        *[F.coalesce(F.min(name).over(whole)["value"], F.lit("")).alias(name) for name in HEADER],
     ).filter("team != ''")
     return headed.withColumn(
         "outcome",
@@ -246,45 +274,33 @@ def match_teams(deliveries: DataFrame) -> DataFrame:
 
 def match_summaries(deliveries: DataFrame) -> DataFrame:
     """One row per match: header, sorted teams and ordered innings."""
-    key = F.coalesce(
-        F.nullif(F.trim(F.col("inning").cast("string")), F.lit("")),
-        F.nullif(F.col("batting_team"), F.lit("")),
-        F.lit("innings"),
-    )
-    per_innings = (
-        valid(deliveries)
-        .groupBy("match_id", key.alias("inning_key"), "batting_team")
+    per_key = (
+        _by_header(deliveries, "inning", "batting_team")
+        .groupBy("match_id", _inning_key().alias("inning_key"))
         .agg(
-            *[F.min(F.when(F.col(src) != "", F.struct("row_seq", src))).alias(dst) for dst, src in HEADER.items()],
-            F.min("row_seq").alias("first_at"),
-            F.sum("runs_total").alias("runs"),
-            F.sum("wicket_count").alias("wickets"),
-            _ones(rates.legal_ball()).alias("balls"),
+            *[_first_field(name).alias(name) for name in HEADER],
+            _first_field("batting_team").alias("side"),
+            F.collect_set(F.nullif("batting_team", F.lit(""))).alias("sides"),
+            F.min("first_at").alias("first_at"),
+            *[F.sum(c).alias(c) for c in ("runs", "wickets", "balls")],
         )
     )
-    per_key = per_innings.groupBy("match_id", "inning_key").agg(
-        *[F.min(dst).alias(dst) for dst in HEADER],
-        F.min(F.when(F.col("batting_team") != "", F.struct("first_at", "batting_team"))).alias("side"),
-        F.collect_set(F.nullif("batting_team", F.lit(""))).alias("sides"),
-        F.min("first_at").alias("first_at"),
-        *[F.sum(c).alias(c) for c in ("runs", "wickets", "balls")],
-    )
     innings = F.struct(
         "first_at",
         "inning_key",
-        F.coalesce(F.col("side.batting_team"), F.lit("")).alias("team"),
+        F.coalesce(F.col("side.value"), F.lit("")).alias("team"),
         "runs",
         "wickets",
         "balls",
     )
     per_match = per_key.groupBy("match_id").agg(
-        *[F.min(dst).alias(dst) for dst in HEADER],
+        *[F.min(name).alias(name) for name in HEADER],
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("sides")))).alias("teams"),
         F.array_sort(F.collect_list(innings)).alias("innings"),
     )
     return per_match.select(
         "match_id",
-        *[F.coalesce(F.col(dst)[src], F.lit("")).alias(dst) for dst, src in HEADER.items()],
+        *[F.coalesce(F.col(name)["value"], F.lit("")).alias(name) for name in HEADER],
         "teams",
         F.transform("innings", lambda i: i.dropFields("first_at")).alias("innings"),
     )
@@ -353,14 +369,12 @@ def dataset_profile(deliveries: DataFrame) -> DataFrame:
     """One row of counts, ranges and distinct values of a delivery table."""
     per_match = (
         valid(deliveries)
-        .groupBy("match_id", "season", "venue", "match_type")
+        .groupBy("match_id", "season", "venue", "match_type", F.nullif("match_date", F.lit("")).alias("day"))
         .agg(
             F.count(F.lit(1)).alias("rows"),
             _ones(F.col("wicket_count") > 0).alias("wicket_balls"),
             _ones(F.col("has_review") == 1).alias("review_balls"),
             _ones(F.col("has_replacements") == 1).alias("replacement_balls"),
-            F.min(F.nullif("match_date", F.lit(""))).alias("min_date"),
-            F.max(F.nullif("match_date", F.lit(""))).alias("max_date"),
         )
     )
     return per_match.agg(
@@ -369,8 +383,8 @@ def dataset_profile(deliveries: DataFrame) -> DataFrame:
         F.sum("wicket_balls").alias("deliveries_with_wickets"),
         F.sum("review_balls").alias("deliveries_with_reviews"),
         F.sum("replacement_balls").alias("deliveries_with_replacements"),
-        F.coalesce(F.min("min_date"), F.lit("")).alias("min_date"),
-        F.coalesce(F.max("max_date"), F.lit("")).alias("max_date"),
+        F.coalesce(F.min("day"), F.lit("")).alias("min_date"),
+        F.coalesce(F.max("day"), F.lit("")).alias("max_date"),
         F.count_distinct(F.nullif("season", F.lit(""))).alias("distinct_seasons"),
         F.count_distinct(F.nullif("venue", F.lit(""))).alias("distinct_venues"),
         F.array_sort(F.collect_set(F.nullif("match_type", F.lit("")))).alias("match_types"),
@@ -383,19 +397,27 @@ def archive_summary(deliveries: DataFrame) -> DataFrame:
     names = d.select(
         F.explode(
             F.array(
-                F.struct(F.lit("match").alias("kind"), F.col("match_id").alias("name")),
-                F.struct(F.lit("player"), F.col("batter")),
-                F.struct(F.lit("player"), F.col("bowler")),
-                F.struct(F.lit("player"), F.col("wicket_player_out")),
-                F.struct(F.lit("team"), F.col("batting_team")),
+                *[
+                    F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name"))
+                    for kind, c in (
+                        ("match", "match_id"),
+                        ("player", "batter"),
+                        ("player", "bowler"),
+                        ("player", "wicket_player_out"),
+                        ("team", "batting_team"),
+                    )
+                ]
             )
         ).alias("e"),
-        "match_date",
+        F.nullif("match_date", F.lit("")).alias("day"),
     )
+    # Grouping by the day as well keeps the large step a hash aggregation.
     entities = (
         names.filter("e.name != ''")
-        .groupBy("e.kind", "e.name")
-        .agg(F.min(F.nullif("match_date", F.lit(""))).alias("lo"), F.max(F.nullif("match_date", F.lit(""))).alias("hi"))
+        .groupBy("e.kind", "e.name", "day")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("kind", "name")
+        .agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
     )
     return entities.agg(
         _ones(F.col("kind") == "match").alias("matches"),
@@ -412,7 +434,7 @@ def filter_options(deliveries: DataFrame) -> DataFrame:
         F.explode(
             F.array(
                 F.struct(F.lit("team").alias("kind"), F.col("batting_team").alias("value")),
-                F.struct(F.lit("season"), F.col("season")),
+                F.struct(F.lit("season").alias("kind"), F.col("season").alias("value")),
             )
         ).alias("o")
     )

@@ -39,9 +39,9 @@ DELIVERY_SQL = {
     " WHEN l_partkey % 8 = 4 THEN 'run out' WHEN l_partkey % 8 = 5 THEN 'hit wicket'"
     " WHEN l_partkey % 8 = 6 THEN 'caught and bowled' ELSE 'retired hurt' END",
     "match_winner": "CASE WHEN o_orderstatus = 'F' THEN team_a WHEN o_orderstatus = 'O' THEN team_b ELSE '' END",
-    "row_seq": "concat(lpad(CAST(l_linenumber AS STRING), 4, '0'), CAST(CAST(l_shipdate AS DATE) AS STRING),"
-    " lpad(CAST(l_partkey AS STRING), 12, '0'), lpad(CAST(l_suppkey AS STRING), 12, '0'),"
-    " lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING), 14, '0'))",
+    # One number, so that the smallest is found by hash aggregation.
+    "row_seq": "CAST(l_linenumber AS BIGINT) * 1000000000000000000 + CAST(extract(year FROM l_shipdate) * 10000"
+    " + extract(month FROM l_shipdate) * 100 + extract(day FROM l_shipdate) AS BIGINT) * 10000000000 + l_partkey",
 }
 # Columns that build on the ones above.
 DERIVED_SQL = {
