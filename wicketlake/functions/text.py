@@ -219,25 +219,23 @@ def proper_names(c) -> Column:
 def phrase_ngrams(c, min_words: int = 1, max_words: int = 4) -> Column:
     """Distinct word n-grams, longest first, left to right."""
     toks = tokens(c)
-    parts = []
-    for size in range(max_words, min_words - 1, -1):
-        parts.append(
-            F.when(
-                F.size(toks) >= size,
-                F.transform(
-                    F.sequence(F.lit(1), F.size(toks) - (size - 1)),
-                    lambda i, n=size: F.array_join(F.slice(toks, i, F.lit(n)), " "),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
-        )
-    return F.array_distinct(F.concat(*parts))
+
+    def grams(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.size(toks) - (size - 1))
+        return F.when(
+            F.size(toks) >= size,
+            F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(size)), " ")),
+        ).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(*[grams(size) for size in range(max_words, min_words - 1, -1)]))
 
 
 def relaxed_json(c, schema: str) -> Column:
     """Parse JSON; failing that, the text from the first ``{`` to the last ``}``."""
     text = F.trim(F.coalesce(_col(c), F.lit("")))
     inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.from_json(text, schema), F.from_json(F.nullif(inner, F.lit("")), schema))
+    readable = F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(inner).isNotNull(), inner)
+    return F.from_json(readable, schema)
 
 
 def lenient_flag(c, fallback: bool = False) -> Column:
@@ -256,7 +254,7 @@ def clamped_int(c, fallback: int, low: int, high: int) -> Column:
 
 
 def earliest_date(dates) -> Column:
-    kept = F.filter(F.transform(_col(dates), F.trim), lambda d: d != "")
+    kept = F.filter(F.transform(_col(dates), lambda d: F.trim(d)), lambda d: d != "")
     return F.coalesce(F.array_min(kept), F.lit(""))
 
 

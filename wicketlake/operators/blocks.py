@@ -1,0 +1,60 @@
+"""Comparing two tables where no equality key exists.
+
+``compare_blocks`` runs a batch comparison of every left block with every right block and
+emits only its results. A left side within ``bound`` is shipped to the tasks and the right side
+is read in place, without a shuffle. Beyond the bound both sides are cut into blocks of bounded
+size by a hash of the row, and block pairs meet by a grouped shuffle. Both ways give the same rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wicketlake.session import bounded_rows
+
+LEFT_BOUND = 2000
+RIGHT_BLOCK = 20000
+
+
+def compare_blocks(
+    left: DataFrame,
+    right: DataFrame,
+    compare: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    schema: str,
+    bound: int = LEFT_BOUND,
+    right_block: int = RIGHT_BLOCK,
+) -> DataFrame:
+    rows = bounded_rows(left, bound)
+    columns = left.columns
+    if rows is not None:
+        shipped = left.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
+
+        def read_in_place(batches):
+            mine = pd.DataFrame(shipped.value, columns=columns)
+            for batch in batches:
+                if len(mine) and len(batch):
+                    yield compare(mine, batch)
+
+        return right.mapInPandas(read_in_place, schema)
+
+    left_blocks = -(-left.count() // bound)
+    right_blocks = max(1, -(-right.count() // right_block))
+    l = left.withColumn("_l", F.pmod(F.xxhash64(*left.columns), F.lit(left_blocks))).withColumn(
+        "_r", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1)))
+    )
+    r = right.withColumn("_r", F.pmod(F.xxhash64(*right.columns), F.lit(right_blocks))).withColumn(
+        "_l", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)))
+    )
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        return compare(a.drop(columns=["_l", "_r"]), b.drop(columns=["_l", "_r"]))
+
+    l = l.withColumn("_r", F.col("_r").cast("bigint")).withColumn("_l", F.col("_l").cast("bigint"))
+    r = r.withColumn("_r", F.col("_r").cast("bigint")).withColumn("_l", F.col("_l").cast("bigint"))
+    return l.groupBy("_l", "_r").cogroup(r.groupBy("_l", "_r")).applyInPandas(meet, schema)
