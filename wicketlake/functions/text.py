@@ -58,6 +58,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound_once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once per row, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def ascii_words(pattern: str) -> str:
     r"""``pattern`` with ``\b`` meaning an ASCII word edge, whatever the Java version."""
     return pattern.replace(r"\b", _EDGE)
@@ -218,16 +223,18 @@ def proper_names(c) -> Column:
 
 def phrase_ngrams(c, min_words: int = 1, max_words: int = 4) -> Column:
     """Distinct word n-grams, longest first, left to right."""
-    toks = tokens(c)
 
-    def grams(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size(toks) - (size - 1))
-        return F.when(
-            F.size(toks) >= size,
-            F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(size)), " ")),
-        ).otherwise(F.array().cast("array<string>"))
+    def all_grams(toks: Column) -> Column:
+        def grams(size: int) -> Column:
+            starts = F.sequence(F.lit(1), F.size(toks) - (size - 1))
+            return F.when(
+                F.size(toks) >= size,
+                F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(size)), " ")),
+            ).otherwise(F.array().cast("array<string>"))
+
+        return F.array_distinct(F.concat(*[grams(size) for size in range(max_words, min_words - 1, -1)]))
 
-    return F.array_distinct(F.concat(*[grams(size) for size in range(max_words, min_words - 1, -1)]))
+    return bound_once(tokens(c), all_grams)
 
 
 def relaxed_json(c, schema: str) -> Column:

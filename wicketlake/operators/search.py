@@ -226,47 +226,79 @@ def weighted_entities(queries: DataFrame, candidates: DataFrame, live_names: Dat
     return scored.select("query_id", "entity", F.round(F.col("score") + extra, 4).alias("weighted_score"))
 
 
+def alias_hits(queries: DataFrame, manual: DataFrame) -> DataFrame:
+    """(``query_id``, ``alias_hit``): the canonical name of the whole text, else of its first word or
+    word pair that is an alias. ``manual`` is (``alias_norm``, ``canonical``)."""
+    toks = tokens("text")
+    starts = F.sequence(F.lit(1), F.size(toks) - 1)
+    none = F.array().cast("array<string>")
+    pairs = F.when(F.size(toks) > 1, F.transform(starts, lambda i: F.array_join(F.slice(toks, i, F.lit(2)), " "))).otherwise(none)
+    keys = queries.select("query_id", F.posexplode(F.concat(F.array(normalize_text("text")), toks, pairs)).alias("n", "alias_norm"))
+    return keys.join(manual.select("alias_norm", "canonical"), "alias_norm").groupBy("query_id").agg(
+        F.min_by("canonical", "n").alias("alias_hit")
+    )
+
+
 def resolve(queries: DataFrame, aliases: DataFrame, manual: DataFrame | None = None, choices: int = 5) -> DataFrame:
     """One row per query: resolved, clarify or not_found, with up to five choices.
 
-    Order of tests: exact alias hit; best score at least 0.55; otherwise a weak or close best
-    score asks for clarification.
+    A manual alias replaces the text first. Order of tests: the alias names an entity; best score
+    at least 0.55; then a weak or close best score asks for clarification, unless an alias was hit.
     """
-    found = search_entities(queries, aliases, choices)
+    if manual is not None:
+        queries = queries.join(alias_hits(queries, manual), "query_id", "left")
+    else:
+        queries = queries.withColumn("alias_hit", F.lit(None).cast("string"))
+    asked = queries.select("query_id", F.coalesce("alias_hit", "text").alias("text"))
+    found = search_entities(asked, aliases, choices)
     per_query = found.groupBy("query_id").agg(
-        F.max("score").alias("score"),
-        F.max_by("entity", F.struct(F.col("score"), -F.col("place"))).alias("best"),
+        F.max("score").alias("best_score"),
+        F.min_by("entity", "place").alias("best"),
         F.max(F.when(F.col("place") == 2, F.col("score"))).alias("second"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("place", "entity"))), lambda c: c.entity), "|"
         ).alias("choices"),
     )
-    out = queries.select("query_id", "text").join(per_query, "query_id", "left")
-    if manual is not None:
-        out = canonical_names(out, "text", manual).withColumn(
-            "alias_hit", F.when(F.col("canonical_name") != F.col("text"), F.col("canonical_name"))
-        ).drop("canonical_name")
-    else:
-        out = out.withColumn("alias_hit", F.lit(None).cast("string"))
-    weak = (F.col("score") < CLEAR_SCORE) | (F.coalesce("second", F.lit(0.0)) >= F.col("score") - CLEAR_GAP)
+    out = queries.join(per_query, "query_id", "left")
+    hit, score = F.col("alias_hit").isNotNull(), F.col("best_score")
+    weak = (score < CLEAR_SCORE) | (F.coalesce("second", F.lit(0.0)) >= score - CLEAR_GAP)
+    named = hit & (normalize_text("best") == normalize_text("alias_hit"))
+    stub = hit & ~named & (score.isNull() | ((score < FOUND_SCORE) & weak))
     status = (
-        F.when(F.col("alias_hit").isNotNull(), "resolved")
-        .when(F.col("score").isNull(), "not_found")
-        .when(F.col("score") >= FOUND_SCORE, "resolved")
-        .when(weak, "clarify")
-        .otherwise("resolved")
+        F.when(named | stub, "resolved")
+        .when(score.isNull(), "not_found")
+        .when((score >= FOUND_SCORE) | ~weak, "resolved")
+        .otherwise("clarify")
+    )
+    final_score = (
+        F.when(F.coalesce(named, F.lit(False)), 1.0)
+        .when(F.coalesce(stub, F.lit(False)), F.coalesce(F.greatest(score, F.lit(0.93)), F.lit(0.92)))
+        .otherwise(F.coalesce(score, F.lit(0.0)))
     )
     return out.select(
         "query_id",
         "text",
         status.alias("status"),
-        F.when(status == "resolved", F.coalesce("alias_hit", "best")).alias("entity"),
-        F.when(F.col("alias_hit").isNotNull(), 1.0).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
-        weak.alias("ambiguous"),
+        F.when(status == "resolved", F.when(F.coalesce(stub, F.lit(False)), F.col("alias_hit")).otherwise(F.col("best"))).alias("entity"),
+        F.when(hit & score.isNull(), 0.92).otherwise(final_score).alias("score"),
+        F.coalesce(weak, F.lit(False)).alias("ambiguous"),
         F.coalesce("choices", F.lit("")).alias("choices"),
     )
 
 
+def resolve_live_leaning(weighted: DataFrame) -> DataFrame:
+    """Resolution of live-leaning queries by weighted score: weak or close ones always ask."""
+    w = Window.partitionBy("query_id").orderBy(F.desc("weighted_score"), "entity")
+    top = weighted.withColumn("place", F.row_number().over(w)).filter("place <= 2")
+    best = top.groupBy("query_id").agg(
+        F.max("weighted_score").alias("score"),
+        F.min_by("entity", "place").alias("entity"),
+        F.coalesce(F.max(F.when(F.col("place") == 2, F.col("weighted_score"))), F.lit(0.0)).alias("second"),
+    )
+    unclear = (F.col("score") < CLEAR_SCORE) | (F.col("second") >= F.col("score") - CLEAR_GAP)
+    return best.select("query_id", F.when(unclear, "clarify").otherwise("resolved").alias("status"), "entity", "score")
+
+
 def best_variant(resolved: DataFrame, variants: DataFrame) -> DataFrame:
     """Best resolution over several texts of one question (``question_id``, ``position``, ``query_id``).
 

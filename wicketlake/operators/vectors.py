@@ -109,33 +109,28 @@ def exact_hits(questions: DataFrame, cache: DataFrame) -> DataFrame:
 def near_hits(questions: DataFrame, cache: DataFrame, max_distance: float = MAX_CACHE_DISTANCE) -> DataFrame:
     """Nearest cached entry within the distance whose question is compatible.
 
-    Same word bag is compatible; otherwise the texts must be very similar and share words.
+    An entry with the same word bag is at distance 0 and compatible, so only the questions without
+    one are compared by words; those must be very similar as texts too.
     """
     asked = questions.select("question_id", "text", cache_document("text").alias("l_doc"))
-    entries = cache.filter("coalesce(trim(answer_text), '') != ''").select(
-        F.col("id").alias("cached_id"), "question_text", cache_document("question_text").alias("r_doc")
-    )
     # One entry per document and text; equal texts behave equally.
-    entries = entries.groupBy("r_doc", "question_text").agg(F.min("cached_id").alias("cached_id"))
-    docs = similar_documents(
-        asked.select(F.col("l_doc").alias("document")), entries.select(F.col("r_doc").alias("document")), max_distance
-    )
-    same = docs.filter("l_doc = r_doc")
-    other = docs.filter("l_doc != r_doc")
-    texts = asked.select("l_doc", "text").distinct()
-    pairs = other.join(texts, "l_doc").join(entries, "r_doc")
-    scored = pair_similarity(pairs, "text", "question_text", "similarity")
-    fuzzy = scored.filter(compatible(F.col("similarity"), "text", "question_text", "l_doc", "r_doc")).select(
-        "l_doc", "text", "cached_id", "distance"
+    entries = (
+        cache.filter("coalesce(trim(answer_text), '') != ''")
+        .select("id", "question_text", cache_document("question_text").alias("r_doc"))
+        .groupBy("r_doc", "question_text")
+        .agg(F.min("id").alias("cached_id"))
     )
-    direct = (
-        same.join(entries.groupBy("r_doc").agg(F.min("cached_id").alias("cached_id")), "r_doc")
-        .join(texts, "l_doc")
-        .select("l_doc", "text", "cached_id", "distance")
+    same = entries.filter("r_doc != ''").groupBy(F.col("r_doc").alias("l_doc")).agg(F.min("cached_id").alias("cached_id"))
+    direct = asked.join(same, "l_doc").select("question_id", "cached_id", F.lit(0.0).alias("distance"))
+    texts = asked.join(same, "l_doc", "left_anti").select("l_doc", "text").distinct()
+    docs = similar_documents(
+        texts.select(F.col("l_doc").alias("document")), entries.select(F.col("r_doc").alias("document")), max_distance
     )
+    pairs = pair_similarity(docs.join(texts, "l_doc").join(entries, "r_doc"), "text", "question_text", "similarity")
     best = (
-        direct.unionByName(fuzzy)
+        pairs.filter(compatible(F.col("similarity"), "text", "question_text", "l_doc", "r_doc"))
         .groupBy("l_doc", "text")
         .agg(F.min(F.struct("distance", "cached_id")).alias("b"))
     )
-    return asked.join(best, ["l_doc", "text"]).select("question_id", "b.cached_id", "b.distance")
+    fuzzy = asked.join(best, ["l_doc", "text"]).select("question_id", "b.cached_id", "b.distance")
+    return direct.unionByName(fuzzy)
