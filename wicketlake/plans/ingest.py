@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wicketlake.functions.text import find, first_non_empty
+from wicketlake.functions.text import first_non_empty
 from wicketlake.operators import aggregates as ag
 from wicketlake.plans import sqltext as sq
 from wicketlake.plans.registry import over_deliveries, register
@@ -347,21 +347,20 @@ def log_slowest(spark, sf_dir):
     return ag.slowest(table(spark, sf_dir, "events"), "value", "event_id").select("event_id", "event_type", "value")
 
 
-@register("pages_extract")
-def pages_extract(spark, sf_dir):
-    out = pg.extract_scorecards(table(spark, sf_dir, "pages"))
-    return out.select(
-        "page_id", "match_id", "name", "match_type", "status", "venue", "winner",
-        F.coalesce(F.size("scorecard"), F.lit(0)).alias("innings"),
-    )
+def _title_sql() -> str:
+    title = "regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        title = f"replace({title}, {sq.quoted(entity)}, {sq.quoted(char)})"
+    return f"trim(regexp_replace({title}, '\\s+', ' ', 'g'))"
 
 
 @register(
-    "pages_links",
-    "SELECT page_id, coalesce(nullif(regexp_extract(url, '/([0-9]{3,})(?:[/?#.]|$)', 1), ''), '') AS number, "
-    "length(html) AS n FROM pages",
+    "pages_extract",
+    "SELECT page_id, CASE WHEN u <> '' THEN u ELSE substr(regexp_replace(lower(name), '[^\\p{L}\\p{N}_]+', '-', 'g'), 1, 48) END AS match_id, "
+    f"name, 0 AS innings FROM (SELECT page_id, {_title_sql()} AS name, regexp_extract(url, '/([0-9]{{5,}})(?:[/?#]|$)', 1) AS u FROM pages) p",
 )
-def pages_links(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(
-        "page_id", find("url", r"/([0-9]{3,})(?:[/?#.]|$)").alias("number"), F.length("html").alias("n")
+def pages_extract(spark, sf_dir):
+    out = pg.extract_scorecards(table(spark, sf_dir, "pages"))
+    return out.select(
+        "page_id", "match_id", "name", F.coalesce(F.size("scorecard"), F.lit(0)).alias("innings"),
     )

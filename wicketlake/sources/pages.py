@@ -5,10 +5,10 @@ from __future__ import annotations
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.functions.text import clean_text, find, first_non_empty, table_int
+from wicketlake.functions.text import bound_once, clean_text, find, first_non_empty, table_int
 
 # Tags and classes that hold headings and score lines.
 HEADING_TAGS = {"h1", "h2"}
@@ -128,17 +128,21 @@ def page_parts(pages: DataFrame) -> DataFrame:
 
 
 # How results, teams, scores and match types are written on a page.
-STATUS_PATTERNS = [
-    r"(?i)([A-Za-z .&-]+ won by [^\n]+)",
-    r"(?i)([A-Za-z .&-]+ beat [^\n]+)",
-    r"(?i)(Match (?:tied|drawn)[^\n]*)",
-    r"(?i)(No result[^\n]*)",
-]
+STATUS_PATTERNS = {
+    " won by ": r"(?i)([A-Za-z .&-]+ won by [^\n]+)",
+    " beat ": r"(?i)([A-Za-z .&-]+ beat [^\n]+)",
+    "match ": r"(?i)(Match (?:tied|drawn)[^\n]*)",
+    "no result": r"(?i)(No result[^\n]*)",
+}
 TEAMS_PATTERN = r"(?i)([A-Za-z][A-Za-z .&-]+)\s+vs\s+([A-Za-z][A-Za-z .&-]+)"
 VENUE_PATTERN = r"(?i)Venue\s*[:|-]\s*([^\n]+)"
 PAGE_ID_PATTERN = r"/([0-9]{5,})(?:[/?#]|$)"
 SCORE_PATTERN = r"([A-Za-z][A-Za-z .&-]+)\s+(\d+)(?:/(\d+))?(?:\s*\(([\d.]+)\))?"
 MATCH_TYPES = ["Test", "ODI", "T20I", "T20", "IPL", "First-class", "List A"]
+BOWLING_DDL = (
+    "array<struct<name:string,overs:string,maidens:bigint,runs_conceded:bigint,wickets:bigint,noballs:bigint,"
+    "wides:bigint,economy:double>>"
+)
 EVENT_DDL = "struct<`@type`: string, name: string, startDate: string, location: struct<name: string>>"
 
 
@@ -157,7 +161,11 @@ def match_meta(parts: DataFrame) -> DataFrame:
     out = out.withColumn(
         "name", first_non_empty(F.try_element_at(versus, F.lit(1)), "title", clean_text("event.name"))
     )
-    status = first_non_empty(*[clean_text(find("body", p)) for p in STATUS_PATTERNS])
+    # The pattern is tried only on text that holds its fixed words.
+    lowered = F.lower("body")
+    status = first_non_empty(
+        *[F.when(F.contains(lowered, F.lit(words)), clean_text(find("body", p))) for words, p in STATUS_PATTERNS.items()]
+    )
     out = out.withColumn("status", status)
     match_type = F.lit(None).cast("string")
     for kind in reversed(MATCH_TYPES):
@@ -180,137 +188,145 @@ def match_meta(parts: DataFrame) -> DataFrame:
             clean_text(F.element_at(F.split("status", r"(?i)\bwon\b|\bbeat\b", 2), 1))
         ).alias("winner"),
         F.col("url").alias("source_url"),
+        "score_texts",
+        "tables",
     )
 
 
-def score_lines(parts: DataFrame) -> DataFrame:
-    """First four distinct score lines of each page, in page order."""
-    rows = parts.select("page_id", F.posexplode("score_texts").alias("at", "t")).filter(F.col("t").rlike(SCORE_PATTERN))
-    lines = rows.select(
-        "page_id", "at",
-        clean_text(find("t", SCORE_PATTERN, 1)).alias("inning"),
-        table_int(find("t", SCORE_PATTERN, 2)).alias("runs"),
-        table_int(find("t", SCORE_PATTERN, 3)).alias("wickets"),
-        clean_text(find("t", SCORE_PATTERN, 4)).alias("overs"),
+def score_lines(texts="score_texts") -> Column:
+    """First four distinct score lines of a page, in page order."""
+    lines = F.transform(
+        F.filter(texts, lambda t: t.rlike(SCORE_PATTERN)),
+        lambda t: F.struct(
+            clean_text(find(t, SCORE_PATTERN, 1)).alias("inning"),
+            table_int(find(t, SCORE_PATTERN, 2)).alias("runs"),
+            table_int(find(t, SCORE_PATTERN, 3)).alias("wickets"),
+            clean_text(find(t, SCORE_PATTERN, 4)).alias("overs"),
+        ),
     )
-    first = lines.groupBy("page_id", "inning", "runs", "wickets", "overs").agg(F.min("at").alias("at"))
-    w = Window.partitionBy("page_id").orderBy("at")
-    return first.withColumn("n", F.row_number().over(w)).filter("n <= 4").drop("at")
+    return F.slice(F.array_distinct(lines), 1, 4)
 
 
 def _key(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(clean_text(c)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def _cell(row: Column, *names: str) -> Column:
+def _decimal(c: Column) -> Column:
+    return F.coalesce(F.regexp_replace(c, ",", "").try_cast("double"), F.lit(0.0))
+
+
+def _batting(table: Column) -> Column:
+    def line(row: Column) -> Column:
+        def cell(*names: str) -> Column:
+            return _cell(table, row, *names)
+
+        return F.struct(
+            clean_text(cell("batter", "batting", "batsman")).alias("name"),
+            clean_text(cell("out", "dismissal", "how_out")).alias("dismissal"),
+            table_int(cell("r", "runs")).alias("runs"),
+            table_int(cell("b", "balls")).alias("balls"),
+            table_int(cell("4s", "fours")).alias("fours"),
+            table_int(cell("6s", "sixes")).alias("sixes"),
+            _decimal(cell("sr", "strike_rate")).alias("strike_rate"),
+        )
+
+    unnamed = ["extras", "total", "did not bat", "dnb"]
+    return F.filter(F.transform(table.rows, line), lambda b: (b["name"] != "") & ~F.lower(b["name"]).isin(unnamed))
+
+
+def _bowling(table: Column) -> Column:
+    def line(row: Column) -> Column:
+        def cell(*names: str) -> Column:
+            return _cell(table, row, *names)
+
+        return F.struct(
+            clean_text(cell("bowler", "bowling")).alias("name"),
+            clean_text(cell("o", "overs")).alias("overs"),
+            table_int(cell("m", "maidens")).alias("maidens"),
+            table_int(cell("r", "runs")).alias("runs_conceded"),
+            table_int(cell("w", "wickets")).alias("wickets"),
+            table_int(cell("nb", "no_balls")).alias("noballs"),
+            table_int(cell("wd", "wides")).alias("wides"),
+            _decimal(cell("eco", "economy")).alias("economy"),
+        )
+
+    return F.filter(
+        F.transform(table.rows, line), lambda b: (b["name"] != "") & ~F.lower(b["name"]).isin("extras", "total")
+    )
+
+
+def _cell(table: Column, row: Column, *names: str) -> Column:
     """First non-empty cell of a row under one of the column names."""
     return first_non_empty(
-        *[F.get(row, (F.array_position(F.col("header"), F.lit(n)) - 1).cast("int")) for n in names]
+        *[F.get(row, (F.array_position(table.header, F.lit(n)) - 1).cast("int")) for n in names]
     )
 
 
-def _decimal(c: Column) -> Column:
-    return F.coalesce(F.regexp_replace(c, ",", "").try_cast("double"), F.lit(0.0))
+def innings_of(tables="tables", teams="teams") -> Column:
+    """Innings of a page: each batting table with the bowling table that follows it."""
 
+    def has(header: Column, *names: str) -> Column:
+        return F.arrays_overlap(header, F.array(*[F.lit(n) for n in names]))
 
-def innings_tables(parts: DataFrame) -> DataFrame:
-    """Batting tables with the bowling table that follows each, as one row per innings."""
-    tables = parts.select("page_id", F.posexplode("tables").alias("at", "t")).select(
-        "page_id", "at", clean_text("t.heading").alias("heading"),
-        F.transform("t.header", lambda h: _key(h)).alias("header"), F.col("t.rows").alias("rows"),
+    keyed = F.transform(
+        tables,
+        lambda t: F.struct(
+            clean_text(t.heading).alias("heading"),
+            F.transform(t.header, lambda h: _key(h)).alias("header"),
+            t.rows.alias("rows"),
+        ),
     )
 
-    def any_of(*names: str) -> Column:
-        return F.arrays_overlap("header", F.array(*[F.lit(n) for n in names]))
-
-    batting = any_of("r", "b") & any_of("batter", "batting", "batsman")
-    bowling = any_of("bowler", "bowling") & any_of("o", "overs") & any_of("w", "wickets")
-    bat_rows = F.filter(
-        F.transform(
-            "rows",
-            lambda r: F.struct(
-                clean_text(_cell(r, "batter", "batting", "batsman")).alias("name"),
-                clean_text(_cell(r, "out", "dismissal", "how_out")).alias("dismissal"),
-                table_int(_cell(r, "r", "runs")).alias("runs"),
-                table_int(_cell(r, "b", "balls")).alias("balls"),
-                table_int(_cell(r, "4s", "fours")).alias("fours"),
-                table_int(_cell(r, "6s", "sixes")).alias("sixes"),
-                _decimal(_cell(r, "sr", "strike_rate")).alias("strike_rate"),
-            ),
+    def kind(t: Column) -> Column:
+        batting = has(t.header, "r", "b") & has(t.header, "batter", "batting", "batsman")
+        bowling = has(t.header, "bowler", "bowling") & has(t.header, "o", "overs") & has(t.header, "w", "wickets")
+        return F.when(batting, "bat").when(bowling, "bowl")
+
+    typed = F.transform(
+        keyed,
+        lambda t: F.struct(
+            kind(t).alias("kind"), t.heading.alias("heading"),
+            F.when(kind(t) == "bat", _batting(t)).alias("batting"),
+            F.when(kind(t) == "bowl", _bowling(t)).alias("bowling"),
         ),
-        lambda b: (b["name"] != "") & ~F.lower(b["name"]).isin("extras", "total", "did not bat", "dnb"),
     )
-    bowl_rows = F.filter(
-        F.transform(
-            "rows",
-            lambda r: F.struct(
-                clean_text(_cell(r, "bowler", "bowling")).alias("name"),
-                clean_text(_cell(r, "o", "overs")).alias("overs"),
-                table_int(_cell(r, "m", "maidens")).alias("maidens"),
-                table_int(_cell(r, "r", "runs")).alias("runs_conceded"),
-                table_int(_cell(r, "w", "wickets")).alias("wickets"),
-                table_int(_cell(r, "nb", "no_balls")).alias("noballs"),
-                table_int(_cell(r, "wd", "wides")).alias("wides"),
-                _decimal(_cell(r, "eco", "economy")).alias("economy"),
+    known = F.filter(typed, lambda t: (t.kind == "bowl") | ((t.kind == "bat") & (F.size(t.batting) > 0)))
+
+    def paired(tables_in_order: Column) -> Column:
+        joined = F.transform(
+            tables_in_order,
+            lambda t, i: F.struct(
+                t.kind.alias("kind"), t.heading.alias("heading"), t.batting.alias("batting"),
+                F.get(tables_in_order, i + 1).kind.alias("next_kind"),
+                F.get(tables_in_order, i + 1).bowling.alias("bowling"),
             ),
-        ),
-        lambda b: (b["name"] != "") & ~F.lower(b["name"]).isin("extras", "total"),
-    )
-    kinds = tables.select(
-        "page_id", "at", "heading",
-        F.when(batting, "bat").when(bowling, "bowl").alias("kind"),
-        F.when(batting, bat_rows).alias("batting"),
-        F.when(~batting & bowling, bowl_rows).alias("bowling"),
-    ).filter("kind = 'bowl' OR (kind = 'bat' AND size(batting) > 0)")
-    w = Window.partitionBy("page_id").orderBy("at")
-    paired = kinds.select(
-        "*", F.lead("kind").over(w).alias("next_kind"), F.lead("bowling").over(w).alias("next_bowling")
-    ).filter("kind = 'bat' AND coalesce(next_kind, 'bowl') = 'bowl'")
-    return paired.select(
-        "page_id",
-        F.row_number().over(w).alias("inning_no"),
-        "heading",
-        "batting",
-        F.coalesce("next_bowling", F.array().cast("array<struct<name:string,overs:string,maidens:bigint,runs_conceded:bigint,wickets:bigint,noballs:bigint,wides:bigint,economy:double>>")).alias("bowling"),
-    )
-
+        )
+        return F.filter(joined, lambda t: (t.kind == "bat") & (F.coalesce(t.next_kind, F.lit("bowl")) == "bowl"))
+
+    def finished(t: Column, i: Column) -> Column:
+        bowling = F.coalesce(t.bowling, F.array().cast(BOWLING_DDL))
+        numbered = F.when(t.heading == "", F.concat(F.lit("Innings "), (i + 1).cast("string"))).otherwise(t.heading)
+        team = F.get(teams, F.pmod(i, F.greatest(F.size(teams), F.lit(1))))
+        runs = F.aggregate(F.transform(t.batting, lambda b: b["runs"]), F.lit(0).cast("bigint"), lambda x, y: x + y)
+        wickets = F.size(F.filter(t.batting, lambda b: ~F.lower(b.dismissal).isin("", "not out"))).cast("bigint")
+        return F.struct(
+            F.when(team.isNotNull() & ~F.contains(numbered, team), F.concat(team, F.lit(" Innings")))
+            .otherwise(numbered)
+            .alias("inning"),
+            t.batting.alias("batting"),
+            bowling.alias("bowling"),
+            runs.alias("total_runs"),
+            wickets.alias("total_wickets"),
+            F.coalesce(F.get(bowling, F.lit(0)).overs, F.lit("")).alias("total_overs"),
+        )
 
-def scorecard_totals(innings: DataFrame) -> DataFrame:
-    """Adds total runs, wickets and overs of each innings."""
-    runs = F.aggregate(F.transform("batting", lambda b: b["runs"]), F.lit(0).cast("bigint"), lambda x, y: x + y)
-    out = F.size(F.filter("batting", lambda b: ~F.lower(b.dismissal).isin("", "not out")))
-    overs = F.coalesce(F.try_element_at("bowling", F.lit(1)).overs, F.lit(""))
-    return innings.withColumns(
-        {"total_runs": runs, "total_wickets": out.cast("bigint"), "total_overs": overs}
-    )
+    return F.transform(bound_once(known, paired), finished)
 
 
 def extract_scorecards(pages: DataFrame) -> DataFrame:
-    """One record per page: match fields, score lines and innings."""
-    parts = page_parts(pages)
-    meta = match_meta(parts)
-    scores = score_lines(parts).groupBy("page_id").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("n", "inning", "runs", "wickets", "overs"))), lambda s: s.dropFields("n")
-        ).alias("score")
-    )
-    innings = scorecard_totals(innings_tables(parts)).groupBy("page_id").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct("inning_no", F.col("heading").alias("inning"), "batting", "bowling", "total_runs", "total_wickets", "total_overs")
-            )
-        ).alias("scorecard")
-    )
-    joined = meta.join(scores, "page_id", "left").join(innings, "page_id", "left")
-
-    def named(i: Column) -> Column:
-        numbered = F.when(i.inning == "", F.concat(F.lit("Innings "), i.inning_no.cast("string"))).otherwise(i.inning)
-        team = F.when(F.size("teams") > 0, F.get("teams", F.pmod(i.inning_no - 1, F.greatest(F.size("teams"), F.lit(1)))))
-        return i.withField(
-            "inning", F.when(team.isNotNull() & ~F.contains(numbered, team), F.concat(team, F.lit(" Innings"))).otherwise(numbered)
-        )
-
-    return joined.withColumn("scorecard", F.transform("scorecard", named))
+    """One record per page: match fields, score lines and innings. Rows never leave their task."""
+    meta = match_meta(page_parts(pages))
+    return meta.withColumns({"score": score_lines(), "scorecard": innings_of()}).drop("score_texts", "tables")
 
 
 def raw_match_records(extracted: DataFrame) -> DataFrame:
