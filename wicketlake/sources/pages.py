@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -19,7 +20,8 @@ SILENT_TAGS = {"script", "style", "template"}
 VOID_TAGS = {"br", "img", "hr", "input", "meta", "link", "source", "wbr", "col"}
 
 PARTS_DDL = (
-    "page_id bigint, url string, title string, headings array<string>, json_ld array<string>, body string, "
+    "page_id bigint, url string, title string, headings array<string>, event_name string, event_start string, "
+    "event_venue string, body string, "
     "score_texts array<string>, tables array<struct<heading: string, header: array<string>, rows: array<array<string>>>>"
 )
 
@@ -90,6 +92,22 @@ class _Parts(HTMLParser):
                     sink.append(data.strip())
 
 
+EVENT_TYPES = ("SportsEvent", "Event")
+
+
+def _event(blocks: list) -> dict:
+    """The first sports event in the linked data of a page, single or in a list."""
+    for block in blocks:
+        try:
+            data = json.loads(" ".join(block))
+        except ValueError:
+            continue
+        for item in data if isinstance(data, list) else [data]:
+            if isinstance(item, dict) and item.get("@type") in EVENT_TYPES:
+                return item
+    return {}
+
+
 def _page_parts(html: str) -> dict:
     parser = _Parts()
     parser.feed(html or "")
@@ -106,10 +124,14 @@ def _page_parts(html: str) -> dict:
                 "rows": cells[1:] if headed else cells,
             }
         )
+    event = _event(parser.json_ld)
+    place = event.get("location")
     return {
         "title": " ".join(parser.title),
         "headings": [" ".join(h) for h in parser.headings],
-        "json_ld": [" ".join(j) for j in parser.json_ld],
+        "event_name": str(event.get("name") or ""),
+        "event_start": str(event.get("startDate") or ""),
+        "event_venue": str(place.get("name") or "") if isinstance(place, dict) else "",
         "body": "\n".join(parser.text),
         "score_texts": [" ".join(s) for s in parser.scores],
         "tables": tables,
@@ -143,23 +165,13 @@ BOWLING_DDL = (
     "array<struct<name:string,overs:string,maidens:bigint,runs_conceded:bigint,wickets:bigint,noballs:bigint,"
     "wides:bigint,economy:double>>"
 )
-EVENT_DDL = "struct<`@type`: string, name: string, startDate: string, location: struct<name: string>>"
-
-
-def _event() -> Column:
-    """The sports event of the page's linked data, whether a single object or in a list."""
-    single = F.transform("json_ld", lambda j: F.from_json(j, EVENT_DDL))
-    listed = F.flatten(F.transform("json_ld", lambda j: F.coalesce(F.from_json(j, f"array<{EVENT_DDL}>"), F.array().cast(f"array<{EVENT_DDL}>"))))
-    events = F.filter(F.concat(single, listed), lambda e: e["@type"].isin("SportsEvent", "Event"))
-    return F.try_element_at(events, F.lit(1))
 
 
 def match_meta(parts: DataFrame) -> DataFrame:
     """Match fields of each page from its title, headings, linked data, text and address."""
     versus = F.filter(F.transform("headings", lambda h: clean_text(h)), lambda h: F.contains(F.lower(h), F.lit(" vs ")))
-    out = parts.withColumn("event", _event()).withColumn("title", clean_text("title"))
-    out = out.withColumn(
-        "name", first_non_empty(F.try_element_at(versus, F.lit(1)), "title", clean_text("event.name"))
+    out = parts.withColumn("title", clean_text("title")).withColumn(
+        "name", first_non_empty(F.try_element_at(versus, F.lit(1)), clean_text("title"), clean_text("event_name"))
     )
     # The pattern is tried only on text that holds its fixed words.
     lowered = F.lower("body")
@@ -170,7 +182,7 @@ def match_meta(parts: DataFrame) -> DataFrame:
     match_type = F.lit(None).cast("string")
     for kind in reversed(MATCH_TYPES):
         match_type = F.when(F.col("title").rlike(rf"(?i)\b{kind}\b"), kind).otherwise(match_type)
-    start = clean_text("event.startDate")
+    start = clean_text("event_start")
     left, right = clean_text(find("name", TEAMS_PATTERN, 1)), clean_text(find("name", TEAMS_PATTERN, 2))
     return out.select(
         "page_id",
@@ -182,7 +194,7 @@ def match_meta(parts: DataFrame) -> DataFrame:
         F.filter(F.array(left, right), lambda t: t != "").alias("teams"),
         F.coalesce(match_type, F.lit("")).alias("match_type"),
         "status",
-        first_non_empty(clean_text("event.location.name"), clean_text(find("body", VENUE_PATTERN))).alias("venue"),
+        first_non_empty(clean_text("event_venue"), clean_text(find("body", VENUE_PATTERN))).alias("venue"),
         start.alias("start_date"),
         F.when(F.col("status") == "", "").otherwise(
             clean_text(F.element_at(F.split("status", r"(?i)\bwon\b|\bbeat\b", 2), 1))
