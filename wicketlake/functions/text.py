@@ -51,7 +51,9 @@ BLOCKED_PHRASES = [
 ]
 PROPER_NAME = r"\b(?:[A-Z][a-z]+|[A-Z]{2,4})(?:\s+(?:[A-Z][a-z]+|[A-Z]{2,4})){1,4}\b"
 
-_EDGE = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+# Start and end of an ASCII word.
+_WORD_START = "(?<![0-9A-Za-z_])"
+_WORD_END = "(?![0-9A-Za-z_])"
 
 
 def _col(c) -> Column:
@@ -60,12 +62,24 @@ def _col(c) -> Column:
 
 def bound_once(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once per row, however often ``use`` mentions it."""
-    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
 def ascii_words(pattern: str) -> str:
-    r"""``pattern`` with ``\b`` meaning an ASCII word edge, whatever the Java version."""
-    return pattern.replace(r"\b", _EDGE)
+    r"""``pattern`` with ``\b`` meaning an ASCII word edge, whatever the Java version.
+
+    Every ``\\b`` of the patterns stands right before or right after a word: after a word
+    character or a group, repeated or not, it ends one; otherwise it starts one.
+    """
+    flags = "(?i)" if pattern.startswith("(?i)") else ""
+    pieces = pattern[len(flags) :].split(r"\b")
+    out = pieces[0]
+    for piece in pieces[1:]:
+        before = out.rstrip("*+?")
+        space = before.endswith(("\\s", "."))
+        ends = bool(before) and not space and (before[-1].isalnum() or before[-1] in "_)}]")
+        out += (_WORD_END if ends else _WORD_START) + piece
+    return flags + out
 
 
 def matches(c, pattern: str) -> Column:

@@ -84,77 +84,67 @@ def player_dismissals(deliveries: DataFrame) -> DataFrame:
 _MEASURES = ["runs", "balls", "fours", "sixes", "dismissals", "bowling_balls", "runs_conceded", "wickets"]
 
 
-def _player_roles_in_ball() -> Column:
-    """The up to three players of a ball, each with what the ball adds to their totals."""
+def _first_ball() -> Column:
+    """Place of a ball in time as one number: the day, then the place in its match."""
+    return _day().cast("decimal(38,0)") * F.lit(10**19).cast("decimal(20,0)") + F.col("row_seq").cast("decimal(19,0)")
+
+
+def _player_parts_of_ball() -> Column:
+    """What a ball adds: to its batter, bowler and dismissed player in the match, and to the batter's side."""
     legal = F.when(rates.legal_ball(), 1).otherwise(0)
     in_play = F.col("non_boundary") == 0
-    zero = F.lit(0)
+    none = F.lit("")
 
-    def part(player, seen, team, **measures):
+    def part(player, match, team, seen, balls_for_team, **measures):
         return F.struct(
             F.col(player).alias("player"),
-            F.lit(seen).alias("seen"),
+            match.alias("match_id"),
             team.alias("team"),
-            *[F.coalesce(measures.get(m, zero), zero).cast("bigint").alias(m) for m in _MEASURES],
+            F.lit(seen).alias("seen"),
+            F.lit(balls_for_team).alias("team_balls"),
+            *[F.coalesce(measures.get(m, F.lit(0)), F.lit(0)).cast("int").alias(m) for m in _MEASURES],
         )
 
-    none = F.lit("")
+    match = F.col("match_id")
     return F.array(
         part(
-            "batter", 1, F.col("batting_team"),
+            "batter", match, none, 1, 0,
             runs=F.col("runs_batter"),
             balls=legal,
             fours=F.when((F.col("runs_batter") == 4) & in_play, 1),
             sixes=F.when((F.col("runs_batter") == 6) & in_play, 1),
         ),
         part(
-            "bowler", 1, none,
+            "bowler", match, none, 1, 0,
             bowling_balls=legal,
             runs_conceded=F.col("runs_batter") + F.col("extras_wides") + F.col("extras_noballs"),
             wickets=F.when(rates.credited_wicket(), 1),
         ),
-        part("wicket_player_out", 0, none, dismissals=F.lit(1)),
+        part("wicket_player_out", match, none, 0, 0, dismissals=F.lit(1)),
+        part("batter", none, F.col("batting_team"), 0, 1),
     )
 
 
 def player_profiles(deliveries: DataFrame) -> DataFrame:
     """One row per player who batted, bowled or was dismissed.
 
-    One pass: (player, match, team) totals, folded to (player, match) so that a match counts
-    once, then to (player, team) for the modal team, then to the player.
+    One pass with hash aggregation throughout: totals per (player, match) and balls per (player,
+    side), folded to (player, side) so that a match counts once, then to the player.
     """
-    balls = valid(deliveries).select(
-        "match_id", "row_seq", _day().alias("day"), F.explode(_player_roles_in_ball()).alias("p")
-    )
-    per_team = (
-        balls.filter("p.player != ''")
-        .groupBy(F.col("p.player").alias("player"), "match_id", F.col("p.team").alias("team"))
-        .agg(
-            F.max("p.seen").alias("seen"),
-            F.count(F.lit(1)).alias("team_balls"),
-            F.min("day").alias("day"),
-            F.min("row_seq").alias("row_seq"),
-            *[F.sum(f"p.{m}").alias(m) for m in _MEASURES],
-        )
-    )
-    # A player has only a handful of team labels inside one match.
-    per_match = per_team.groupBy("player", "match_id").agg(
-        F.max("seen").alias("seen"),
-        F.collect_list(
-            F.struct("team", "team_balls", F.struct("day", "match_id", "row_seq").alias("first_at"))
-        ).alias("sides"),
+    parts = valid(deliveries).select(_first_ball().alias("at"), F.explode(_player_parts_of_ball()).alias("p"))
+    named = parts.filter("p.player != '' AND (p.match_id != '' OR p.team != '')")
+    per_key = named.groupBy("p.player", "p.match_id", "p.team").agg(
+        F.max("p.seen").alias("seen"),
+        F.sum("p.team_balls").alias("team_balls"),
+        F.min("at").alias("first_at"),
+        *[F.sum(f"p.{m}").alias(m) for m in _MEASURES],
+    )
+    per_side = per_key.groupBy("player", "team").agg(
+        F.sum("seen").alias("matches"),
+        F.sum("team_balls").alias("team_balls"),
+        F.min("first_at").alias("first_at"),
         *[F.sum(m).alias(m) for m in _MEASURES],
     )
-    per_side = (
-        per_match.select("*", F.posexplode("sides").alias("side_no", "side"))
-        .groupBy("player", F.col("side.team").alias("team"))
-        .agg(
-            F.sum("side.team_balls").alias("team_balls"),
-            F.min("side.first_at").alias("first_at"),
-            F.sum(F.when(F.col("side_no") == 0, F.col("seen")).otherwise(0)).alias("matches"),
-            *[F.sum(F.when(F.col("side_no") == 0, F.col(m)).otherwise(0)).alias(m) for m in _MEASURES],
-        )
-    )
     # Most balls first, then the earliest ball: the smallest struct wins.
     side_rank = F.struct((-F.col("team_balls")).alias("fewer"), "first_at", "team")
     totals = per_side.groupBy("player").agg(
@@ -176,14 +166,11 @@ def player_profiles(deliveries: DataFrame) -> DataFrame:
 
 def modal_team(deliveries: DataFrame) -> DataFrame:
     """Team a player bats for most often; ties go to the team met first."""
-    per_match = (
+    per_team = (
         valid(deliveries)
         .filter("batter != '' AND batting_team != ''")
-        .groupBy(F.col("batter").alias("player"), F.col("batting_team").alias("team"), "match_id")
-        .agg(F.count(F.lit(1)).alias("balls"), F.min(_day()).alias("day"), F.min("row_seq").alias("row_seq"))
-    )
-    per_team = per_match.groupBy("player", "team").agg(
-        F.sum("balls").alias("balls"), F.min(F.struct("day", "match_id", "row_seq")).alias("first_at")
+        .groupBy(F.col("batter").alias("player"), F.col("batting_team").alias("team"))
+        .agg(F.count(F.lit(1)).alias("balls"), F.min(_first_ball()).alias("first_at"))
     )
     best = F.min(F.struct((-F.col("balls")).alias("fewer"), "first_at", "team", "balls")).alias("best")
     return per_team.groupBy("player").agg(best).select("player", "best.team", "best.balls")

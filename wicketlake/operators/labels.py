@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wicketlake.functions import question_rules as qr
 from wicketlake.functions.text import (
     ascii_words,
+    bound_once,
     find,
     matches,
     normalize_text,
@@ -70,13 +71,25 @@ def metric(df: DataFrame) -> DataFrame:
 
 
 def clean_side(c: Column) -> Column:
-    """One side of a two-sided question without leading words, edges, context and noise."""
+    """One side of a two-sided question without leading words, edges, context and noise.
+
+    A pattern runs only on text that holds the words it needs.
+    """
+
+    def edges(x: Column) -> Column:
+        return strip(F.regexp_replace(x, qr.SIDE_EDGES, ""))
+
     for lead in qr.SIDE_LEAD:
         c = replace(c, lead)
-    c = strip(F.regexp_replace(c, qr.SIDE_EDGES, ""))
-    for context in qr.SIDE_CONTEXT:
-        c = strip(F.regexp_replace(replace(c, context), qr.SIDE_EDGES, ""))
-    return strip(F.regexp_replace(replace(c, qr.SIDE_NOISE), qr.SIDE_EDGES, ""))
+    steps = [
+        (lambda x, w=word: F.contains(F.lower(x), F.lit(w)), pattern) for word, pattern in qr.SIDE_CONTEXT
+    ]
+    ends = [F.lit(w) for w in qr.SIDE_NOISE_WORDS]
+    steps.append((lambda x: F.exists(F.array(*ends), lambda w: F.endswith(F.lower(x), w)), qr.SIDE_NOISE))
+    c = edges(c)
+    for needed, pattern in steps:
+        c = bound_once(c, lambda x, n=needed, p=pattern: F.when(n(x), edges(replace(x, p))).otherwise(x))
+    return c
 
 
 def sides(df: DataFrame) -> DataFrame:
@@ -86,10 +99,10 @@ def sides(df: DataFrame) -> DataFrame:
     split = F.array(
         *[
             F.when(
-                matches("_stripped", p),
+                F.contains(F.lower("_stripped"), F.lit(word)) & matches("_stripped", p),
                 F.struct(find("_stripped", p, 1).alias("l"), find("_stripped", p, 2).alias("r")),
             )
-            for p in qr.SIDE_PATTERNS
+            for word, p in qr.SIDE_PATTERNS
         ]
     )
     clean = F.transform(

@@ -41,7 +41,7 @@ def cleaned(e: str) -> str:
     for lead in qr.SIDE_LEAD:
         e = f"regexp_replace({e}, {quoted(lead)}, '')"
     e = f"regexp_replace(regexp_replace({e}, {quoted(qr.SIDE_EDGES)}, '', 'g'), {ends})"
-    for c in qr.SIDE_CONTEXT:
+    for _, c in qr.SIDE_CONTEXT:
         e = f"regexp_replace(regexp_replace(regexp_replace({e}, {quoted(c)}, ''), {quoted(qr.SIDE_EDGES)}, '', 'g'), {ends})"
     return f"regexp_replace(regexp_replace(regexp_replace({e}, {quoted(qr.SIDE_NOISE)}, ''), {quoted(qr.SIDE_EDGES)}, '', 'g'), {ends})"
 
@@ -50,7 +50,7 @@ def cleaned(e: str) -> str:
 _OPTIONS = " UNION ALL ".join(
     f"SELECT question_id, {i} AS n, {cleaned(got('stripped', p, 1))} AS l, {cleaned(got('stripped', p, 2))} AS r "
     f"FROM stripped WHERE {has('stripped', p)}"
-    for i, p in enumerate(qr.SIDE_PATTERNS)
+    for i, (_, p) in enumerate(qr.SIDE_PATTERNS)
 )
 SIDES = (
     f"stripped AS (SELECT *, {cleaned('raw')} AS stripped FROM base), options AS ({_OPTIONS}), "
@@ -446,9 +446,9 @@ def _filled(text: str, name: str, words) -> str:
 
 _PEOPLE_NAMES = "list_filter(regexp_extract_all(raw, '\\b(?:[A-Z][a-z]+|[A-Z]{2,4})(?:\\s+(?:[A-Z][a-z]+|[A-Z]{2,4})){1,4}\\b'), lambda v: NOT list_contains(['Cricket Intelligence', 'Match Summary', 'Recent Match', 'Next Match', 'Upcoming Matches'], v))[1]"
 _CARRY = (
-    f"named AS (SELECT question_id, conv_id, 2 * turn + CASE WHEN question_id LIKE '%-written' THEN 1 ELSE 0 END AS at, raw, q, "
+    f"named AS (SELECT question_id, conv_id, 2 * turn + CASE WHEN question_id LIKE '%-written' THEN 1 ELSE 0 END AS place, raw, q, "
     f"nullif(explicit_team, '') AS team_name, {_PEOPLE_NAMES} AS player_name FROM teamed), "
-    "known AS (SELECT *, coalesce(last_value(player_name IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS p, coalesce(last_value(team_name IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS t "
+    "known AS (SELECT *, coalesce(last_value(player_name IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS p, coalesce(last_value(team_name IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS t "
     "FROM named), "
     f"used AS (SELECT *, ({raw(qr.PLAYER_PRONOUN)} AND p <> '') AS up, ({raw(qr.TEAM_PRONOUN)} AND t <> '') AS ut FROM known), "
     f"f1 AS (SELECT *, CASE WHEN up THEN {_filled('raw', 'p', [('his', True), ('he', False), ('him', False), ('she', False), ('her', True)])} ELSE raw END AS x FROM used), "

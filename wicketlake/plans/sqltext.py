@@ -26,7 +26,7 @@ sides AS (
   SELECT player, team, balls AS team_balls FROM (
     SELECT batter AS player, batting_team AS team, count(*) AS balls,
       row_number() OVER (PARTITION BY batter ORDER BY count(*) DESC,
-        min(concat_ws('|', match_date, match_id, lpad(CAST(row_seq AS VARCHAR), 20, '0')))) AS n
+        min(concat(match_date, lpad(CAST(row_seq AS VARCHAR), 20, '0')))) AS n
     FROM deliveries GROUP BY batter, batting_team) s WHERE n = 1),
 counted AS (
   SELECT player, coalesce(sides.team, '') AS team, coalesce(matches, 0) AS matches,

@@ -150,6 +150,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the files of ``df`` give fewer splits than there are cores.
+
+    Small single-file inputs would otherwise run in one task. Large inputs are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delivery table. Nations are 25 rows by definition and are broadcast."""
     nation = table(spark, sf_dir, "nation")
@@ -161,7 +170,7 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .drop("c_custkey")
     )
     joined = (
-        table(spark, sf_dir, "lineitem")
+        spread(table(spark, sf_dir, "lineitem"))
         .join(matches, F.expr("l_orderkey = o_orderkey"))
         .join(team_a, F.expr(f"{TEAM_A_KEY} = key_a"))
         .join(team_b, F.expr(f"{TEAM_B_KEY} = key_b"))
@@ -208,7 +217,7 @@ def question_sql(dialect: str) -> dict:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn, once as written and once as a cricket question made from its keys."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations"))
     asked = turns.select(*[F.expr(sql).alias(name) for name, sql in question_sql("spark").items()])
     written = turns.select(
         F.expr("concat(CAST(conv_id AS STRING), '-', CAST(turn AS STRING), '-written')").alias("question_id"),
