@@ -86,7 +86,7 @@ _MEASURES = ["runs", "balls", "fours", "sixes", "dismissals", "bowling_balls", "
 
 def _first_ball() -> Column:
     """Place of a ball in time as one number: the day, then the place in its match."""
-    return _day().cast("decimal(38,0)") * F.lit(10**19).cast("decimal(20,0)") + F.col("row_seq").cast("decimal(19,0)")
+    return _day().cast("decimal(10,0)") * F.lit("10000000000000000000").cast("decimal(20,0)") + F.col("row_seq").cast("decimal(19,0)")
 
 
 def _player_parts_of_ball() -> Column:
