@@ -11,7 +11,7 @@ from wicketlake.plans.registry import over_deliveries, register
 from wicketlake.sources import feed as fd
 from wicketlake.sources import matches as mt
 from wicketlake.sources import pages as pg
-from wicketlake.sources.star import deliveries, table
+from wicketlake.sources.star import deliveries, spread, table
 
 K = "CAST(regexp_extract(props, '[0-9]+', 0) AS INT)"
 TEAM_1 = "concat('NATION_', CAST(user_id % 25 AS STRING))"
@@ -360,7 +360,7 @@ def _title_sql() -> str:
     f"name, 0 AS innings FROM (SELECT page_id, {_title_sql()} AS name, regexp_extract(url, '/([0-9]{{5,}})(?:[/?#]|$)', 1) AS u FROM pages) p",
 )
 def pages_extract(spark, sf_dir):
-    out = pg.extract_scorecards(table(spark, sf_dir, "pages"))
+    out = pg.extract_scorecards(spread(table(spark, sf_dir, "pages")))
     return out.select(
         "page_id", "match_id", "name", F.coalesce(F.size("scorecard"), F.lit(0)).alias("innings"),
     )

@@ -9,7 +9,7 @@ from wicketlake.functions.rates import grouped_number_text
 from wicketlake.plans import sqltext as sq
 from wicketlake.plans.registry import over_deliveries, over_questions, register
 from wicketlake.plans.sqltext import has, norm, quoted, sql_list, toks
-from wicketlake.sources.star import questions, table
+from wicketlake.sources.star import questions, spread, table
 
 CLEAN = f"trim(regexp_replace(coalesce(text, ''), {quoted(tx.WHITESPACE)}, ' ', 'g'))"
 
@@ -17,7 +17,7 @@ CLEAN = f"trim(regexp_replace(coalesce(text, ''), {quoted(tx.WHITESPACE)}, ' ',
 @register("text_clean", f"SELECT doc_id, sha1({CLEAN}) AS digest, length({CLEAN}) AS n FROM documents")
 def text_clean(spark, sf_dir):
     clean = tx.clean_text("text")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", F.sha1(clean.cast("binary")).alias("digest"), F.length(clean).alias("n")
     )
 
@@ -28,7 +28,7 @@ def text_clean(spark, sf_dir):
     f"sha1(replace({norm('text')}, ' ', '-')) AS slug_digest FROM documents",
 )
 def text_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.sha1(tx.normalize_text("text").cast("binary")).alias("digest"),
         F.size(tx.tokens("text")).alias("n_tokens"),
@@ -169,7 +169,7 @@ def date_iso(spark, sf_dir):
     "ELSE text END AS preview, substr(text, 1, 500) AS short FROM documents",
 )
 def doc_preview(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", tx.preview("text").alias("preview"), tx.short_preview("text").alias("short")
     )
 
@@ -187,7 +187,7 @@ def _first_seen(e: str) -> str:
 )
 def array_unique(spark, sf_dir):
     words = F.split("text", " ")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id",
         F.array_join(tx.unique_non_empty(words, 12), " ").alias("first_words"),
         F.size(tx.unique_non_empty(words)).alias("n"),
@@ -273,7 +273,7 @@ _LEAD = (
 )
 def text_scrub(spark, sf_dir):
     lead = F.expr(_LEAD.replace("chr(10)", "char(10)"))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.scrub_text(lead, "n/a").alias("scrubbed"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", tx.scrub_text(lead, "n/a").alias("scrubbed"))
 
 
 _NAMES = f"list_filter(regexp_extract_all(text, {quoted(tx.PROPER_NAME)}), lambda v: NOT list_contains({sql_list(tx.BLOCKED_PHRASES)}, v))"

@@ -169,9 +169,10 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey"))
         .drop("c_custkey")
     )
+    # Balls and matches both grow with the data: a sort-merge join, never a broadcast of either.
     joined = (
-        spread(table(spark, sf_dir, "lineitem"))
-        .join(matches, F.expr("l_orderkey = o_orderkey"))
+        table(spark, sf_dir, "lineitem")
+        .join(matches.hint("merge"), F.expr("l_orderkey = o_orderkey"))
         .join(team_a, F.expr(f"{TEAM_A_KEY} = key_a"))
         .join(team_b, F.expr(f"{TEAM_B_KEY} = key_b"))
     )

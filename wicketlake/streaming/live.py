@@ -1,5 +1,87 @@
-"""placeholder"""
+"""Live ingest of completed matches, duplicates, alerts and run summaries."""
 
+from __future__ import annotations
 
-def not_archived(feed, archived):
-    return feed.join(archived, feed["id"] == archived["match_id"], "left_anti")
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from wicketlake.schemas import DOCUMENT_DDL
+from wicketlake.sources import feed as fd
+
+
+def not_archived(feed: DataFrame, archived: DataFrame) -> DataFrame:
+    """Feed items whose match has no document yet; ``archived`` is (``match_id``)."""
+    return feed.join(archived.select(F.col("match_id").alias("id")).distinct(), "id", "left_anti")
+
+
+def first_per_match(stream: DataFrame, at: str = "at", lookback: str = "24 hours") -> DataFrame:
+    """Each match once within the lookback; later rows than that are dropped as late."""
+    return stream.withWatermark(at, lookback).dropDuplicatesWithinWatermark(["id"])
+
+
+def start_ingest(
+    stream: DataFrame,
+    root: str,
+    with_narrative,
+    archived: DataFrame | None = None,
+    reference: Column | None = None,
+    lookback_hours: int = 24,
+    once: bool = True,
+) -> StreamingQuery:
+    """Completed, recent, not yet archived items of a normalised feed to documents.
+
+    Every batch writes its own folder below ``root/docs``, so a repeated batch replaces itself.
+    ``with_narrative`` adds ``winner`` and ``narrative`` to completed items.
+    """
+    reference = F.current_timestamp() if reference is None else reference
+
+    def ingest(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        done = fd.recent_completed(batch, reference, lookback_hours).dropDuplicates(["id"])
+        earlier = archive_ids(spark, root, batch_id)
+        if archived is not None:
+            earlier = earlier.unionByName(archived.select("match_id"))
+        fresh = not_archived(done, earlier)
+        fd.live_docs(with_narrative(fresh)).write.mode("overwrite").parquet(f"{root}/docs/batch={batch_id}")
+        written = spark.read.schema(DOCUMENT_DDL).parquet(f"{root}/docs/batch={batch_id}")
+        summary = done.agg(F.count(F.lit(1)).alias("completed")).select(
+            F.lit(batch_id).cast("bigint").alias("batch_id"),
+            "completed",
+            F.lit(written.count()).cast("bigint").alias("ingested"),
+        )
+        summary.withColumn("skipped", F.col("completed") - F.col("ingested")).coalesce(1).write.mode(
+            "overwrite"
+        ).parquet(f"{root}/runs/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(ingest).option("checkpointLocation", f"{root}/checkpoint")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
+
+
+def archive_ids(spark, root: str, before_batch: int) -> DataFrame:
+    """Match ids written by earlier batches."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/docs")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "match_id string")
+    docs = spark.read.schema(DOCUMENT_DDL + ", batch bigint").parquet(f"{root}/docs")
+    return docs.filter(F.col("batch") < before_batch).select(
+        F.try_element_at("metadata", F.lit("match_id")).alias("match_id")
+    )
+
+
+def ingested_docs(spark, root: str) -> DataFrame:
+    return spark.read.schema(DOCUMENT_DDL).parquet(f"{root}/docs")
+
+
+def ingest_runs(spark, root: str) -> DataFrame:
+    return spark.read.schema("batch_id bigint, completed bigint, ingested bigint, skipped bigint").parquet(f"{root}/runs")
+
+
+def start_alerts(stream: DataFrame, root: str, once: bool = True) -> StreamingQuery:
+    """Alert rows of every batch: the first live item of each poll."""
+
+    def alert(batch: DataFrame, batch_id: int) -> None:
+        fd.live_alerts(batch).write.mode("overwrite").parquet(f"{root}/alerts/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(alert).option("checkpointLocation", f"{root}/alerts-checkpoint")
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
