@@ -85,20 +85,20 @@ _SESSIONS = (
 
 @register(
     "context_sessions",
-    "SELECT user_id, CAST(epoch_ms(min(ts)) AS BIGINT) AS started, CAST(epoch_ms(max(ts)) AS BIGINT) + 3600000 AS expires, count(*) AS turns "
+    "SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 3600000000 AS expires, count(*) AS turns "
     f"FROM ({_SESSIONS}) s GROUP BY user_id, n",
 )
 def context_sessions(spark, sf_dir):
     turns = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
     out = cx.sessions(turns, "user_id", "at")
-    return out.select("user_id", F.unix_millis("started").alias("started"), F.unix_millis("expires").alias("expires"), "turns")
+    return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("expires").alias("expires"), "turns")
 
 
 @register(
     "stream_context",
     "SELECT CAST(user_id AS VARCHAR) AS session_key, event_id AS turn_id, last_value(subject IGNORE NULLS) OVER (PARTITION BY user_id, n "
     "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known_subject FROM (SELECT *, CASE WHEN event_type = 'click' THEN "
-    "concat('NATION_', CAST(event_id % 25 AS VARCHAR)) END AS subject, sum(CASE WHEN prev IS NULL OR epoch_ms(ts) - epoch_ms(prev) > 3600000 THEN 1 ELSE 0 END) "
+    "concat('NATION_', CAST(event_id % 25 AS VARCHAR)) END AS subject, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 3600000000 THEN 1 ELSE 0 END) "
     "OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) e) s",
 )
 def stream_context(spark, sf_dir):

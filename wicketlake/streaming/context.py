@@ -9,7 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TTL_MINUTES = 60
 OUT_DDL = "session_key string, turn_id bigint, known_subject string"
-STATE_DDL = "subject string, updated_ms bigint"
+STATE_DDL = "subject string, updated_us bigint"
 
 
 def sessions(turns: DataFrame, key: str, at: str, minutes: int = TTL_MINUTES) -> DataFrame:
@@ -21,22 +21,22 @@ def sessions(turns: DataFrame, key: str, at: str, minutes: int = TTL_MINUTES) ->
     )
 
 
-def _next_turns(key, batches, state: GroupState, ttl_ms: int):
+def _next_turns(key, batches, state: GroupState, ttl_us: int):
     if state.hasTimedOut:
         state.remove()
         return
     subject, updated = state.get if state.exists else (None, None)
-    rows = pd.concat(list(batches)).sort_values(["at_ms", "turn_id"], kind="stable")
+    rows = pd.concat(list(batches)).sort_values(["at_us", "turn_id"], kind="stable")
     known = []
-    for at_ms, named in zip(rows["at_ms"], rows["subject"]):
-        if updated is not None and at_ms - updated > ttl_ms:
+    for at_us, named in zip(rows["at_us"], rows["subject"]):
+        if updated is not None and at_us - updated > ttl_us:
             subject = None
         known.append(subject)
         if isinstance(named, str) and named:
             subject = named
-        updated = int(at_ms)
+        updated = int(at_us)
     state.update((subject, updated))
-    state.setTimeoutTimestamp(max(updated + ttl_ms, state.getCurrentWatermarkMs() + 1))
+    state.setTimeoutTimestamp(max((updated + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({"session_key": key[0], "turn_id": rows["turn_id"].to_numpy(), "known_subject": known})
 
 
@@ -47,12 +47,12 @@ def known_subjects(stream: DataFrame, minutes: int = TTL_MINUTES) -> DataFrame:
     small row per key. A key's turns of one trigger are ordered in memory, so bound the trigger
     (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) on heavy streams.
     """
-    ttl_ms = minutes * 60_000
+    ttl_us = minutes * 60_000_000
 
     def step(key, batches, state):
-        return _next_turns(key, batches, state, ttl_ms)
+        return _next_turns(key, batches, state, ttl_us)
 
-    timed = stream.withWatermark("at", f"{minutes} minutes").withColumn("at_ms", F.unix_millis("at"))
+    timed = stream.withWatermark("at", f"{minutes} minutes").withColumn("at_us", F.unix_micros("at"))
     return timed.groupBy("session_key").applyInPandasWithState(
         step, OUT_DDL, STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout
     )

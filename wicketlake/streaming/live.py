@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,10 +61,10 @@ def start_ingest(
 
 def archive_ids(spark, root: str, before_batch: int) -> DataFrame:
     """Match ids written by earlier batches."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/docs")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    try:
+        docs = spark.read.schema(DOCUMENT_DDL + ", batch bigint").parquet(f"{root}/docs")
+    except AnalysisException:  # nothing written yet
         return spark.createDataFrame([], "match_id string")
-    docs = spark.read.schema(DOCUMENT_DDL + ", batch bigint").parquet(f"{root}/docs")
     return docs.filter(F.col("batch") < before_batch).select(
         F.try_element_at("metadata", F.lit("match_id")).alias("match_id")
     )
