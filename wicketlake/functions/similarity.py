@@ -153,9 +153,9 @@ def similarity_scores(left, right, near=None):
 def similar_pairs(queries, names, least: float):
     """Index pairs that may reach ``least``, with their exact similarity.
 
-    A pair can reach it by a shared or near word, by containment, or by edit distance. The last is
-    bounded from above by the letters the two strings have in common, so only pairs within that
-    bound are aligned. No pair that reaches ``least`` is lost.
+    A pair can reach it by a shared or near word, by containment, by being two edits apart, or by
+    edit distance for its length. The letters the two strings have in common bound the edits from
+    below, so only pairs within that bound are aligned. No pair that reaches ``least`` is lost.
     """
     words_of = {}
     for i, s in enumerate(names):
@@ -173,6 +173,7 @@ def similar_pairs(queries, names, least: float):
         common = np.minimum(name_counts, query_counts[qi]).sum(axis=1)
         longest = np.maximum(name_lengths, len(q))
         wanted = common >= least * longest - 1e-9
+        wanted |= common >= longest - 2
         wanted |= (common == len(q)) & (np.char.find(name_array, q) >= 0)
         wanted |= (common == name_lengths) & (np.char.find(np.array(q), name_array) >= 0)
         for w in set(q.split()):

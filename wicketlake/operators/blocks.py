@@ -36,8 +36,9 @@ def compare_blocks(
         def read_in_place(batches):
             mine = pd.DataFrame(shipped.value, columns=columns)
             for batch in batches:
-                if len(mine) and len(batch):
-                    yield compare(mine, batch)
+                found = compare(mine, batch) if len(mine) and len(batch) else ()
+                if len(found):
+                    yield found
 
         return right.mapInPandas(read_in_place, schema)
 
@@ -50,10 +51,14 @@ def compare_blocks(
         "_l", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)))
     )
 
+    kinds = {"string": "object", "double": "float64", "int": "int32", "bigint": "int64"}
+    nothing = pd.DataFrame(
+        {name: pd.Series(dtype=kinds[kind]) for name, kind in (c.split(" ") for c in schema.split(", "))}
+    )
+
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-        return compare(a.drop(columns=["_l", "_r"]), b.drop(columns=["_l", "_r"]))
+        found = compare(a.drop(columns=["_l", "_r"]), b.drop(columns=["_l", "_r"])) if len(a) and len(b) else ()
+        return found if len(found) else nothing
 
     l = l.withColumn("_r", F.col("_r").cast("bigint")).withColumn("_l", F.col("_l").cast("bigint"))
     r = r.withColumn("_r", F.col("_r").cast("bigint")).withColumn("_l", F.col("_l").cast("bigint"))
