@@ -35,7 +35,7 @@ FEED_SQL = {
 
 def feed_items(spark, sf_dir):
     """Events as raw feed payloads, parsed and normalised."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     score = F.when(
         F.col("event_type") != "view",
         F.array(
@@ -268,14 +268,16 @@ def stat_pivot(spark, sf_dir):
 @register(
     "career_rollup",
     over_deliveries(
-        "SELECT player, bm AS matches, br AS runs, CASE WHEN greatest(bi - bn, 0) > 0 THEN round(CAST(br AS DOUBLE) / (bi - bn), 2) ELSE 0.0 END AS average, "
-        "CASE WHEN bb > 0 THEN round(CAST(br AS DOUBLE) / bb * 100, 2) ELSE 0.0 END AS strike_rate, w AS wickets, "
-        "CASE WHEN ob > 0 THEN round(CAST(oc AS DOUBLE) / (CAST(ob AS DOUBLE) / 6), 2) ELSE 0.0 END AS economy, f AS fours, s AS sixes FROM ("
+        "SELECT player, coalesce(bm, 0) AS matches, coalesce(br, 0) AS runs, "
+        "CASE WHEN bi - bn > 0 THEN round(CAST(br AS DOUBLE) / (bi - bn), 2) ELSE 0.0 END AS average, "
+        "CASE WHEN bb > 0 THEN round(CAST(br AS DOUBLE) / bb * 100, 2) ELSE 0.0 END AS strike_rate, coalesce(w, 0) AS wickets, "
+        "CASE WHEN ob > 0 THEN round(CAST(oc AS DOUBLE) / (CAST(ob AS DOUBLE) / 6), 2) ELSE 0.0 END AS economy, "
+        "coalesce(f, 0) AS fours, coalesce(s, 0) AS sixes FROM ("
         "SELECT player, sum(m) AS bm, sum(i) AS bi, sum(i - d) AS bn, sum(r) AS br, sum(b) AS bb, sum(f) AS f, sum(s) AS s FROM ("
         "SELECT batter AS player, match_type, count(DISTINCT match_id) AS m, count(DISTINCT concat(match_id, '|', inning)) AS i, "
         "count(*) FILTER (WHERE wicket_player_out = batter) AS d, sum(runs_batter) AS r, "
         f"count(*) FILTER (WHERE {sq.LEGAL}) AS b, count(*) FILTER (WHERE runs_batter = 4) AS f, count(*) FILTER (WHERE runs_batter = 6) AS s "
-        "FROM deliveries GROUP BY 1, 2) x GROUP BY 1) bat JOIN (SELECT bowler AS player, "
+        "FROM deliveries GROUP BY 1, 2) x GROUP BY 1) bat FULL JOIN (SELECT bowler AS player, "
         f"count(*) FILTER (WHERE {sq.LEGAL}) AS ob, sum(runs_batter + extras_wides + extras_noballs) AS oc, "
         f"count(*) FILTER (WHERE {sq.CREDITED}) AS w FROM deliveries GROUP BY 1) bowl USING (player)"
     ),

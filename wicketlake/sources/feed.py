@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wicketlake.functions import rates
-from wicketlake.functions.text import find, first_non_empty, normalize_text
+from wicketlake.functions.text import bound_once, find, first_non_empty, normalize_text
 from wicketlake.schemas import FEED_ITEM_DDL, SCORECARD_DDL
 
 
@@ -295,19 +295,24 @@ STAT_LABELS = [
 
 def stat_metric(label) -> Column:
     """The statistic a label names: the first whose alias the label contains."""
-    n = normalize_text(label)
-    out = F.when(n == "", F.lit(None).cast("string"))
-    for metric, aliases in STAT_LABELS:
-        test = F.lit(False)
-        for alias in aliases:
-            test = test | F.contains(n, F.lit(alias))
-        out = out.when(test, metric)
-    return out
+
+    def named(n: Column) -> Column:
+        out = F.when(n == "", F.lit(None).cast("string"))
+        for metric, aliases in STAT_LABELS:
+            test = F.lit(False)
+            for alias in aliases:
+                test = test | F.contains(n, F.lit(alias))
+            out = out.when(test, metric)
+        return out
+
+    return bound_once(normalize_text(label), named)
 
 
 def stats_from_entries(entries: DataFrame, key: str = "player", seq: str = "seq") -> DataFrame:
     """Label and value rows to one column per statistic; a later row overwrites an earlier one."""
-    named = entries.withColumn("metric", stat_metric("label")).filter("metric IS NOT NULL AND trim(value) != ''")
+    # Labels are few: each distinct one is read once, then joined back.
+    labels = entries.select("label").distinct().withColumn("metric", stat_metric("label"))
+    named = entries.join(labels, "label").filter("metric IS NOT NULL AND trim(value) != ''")
     last = F.max_by(F.trim("value"), seq)
     return named.groupBy(key).pivot("metric", [m for m, _ in STAT_LABELS]).agg(last)
 
