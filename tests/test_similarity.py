@@ -122,3 +122,18 @@ def test_mentions_both_ways(spark):
     b = sorted(map(tuple, se.entity_mentions(texts, names, bound=4).collect()))
     brute = sorted((str(i), f"NATION_{j}") for i in range(30) for j in range(30) if f"NATION_{j}" in f"Player {i} of NATION_{i}")
     assert a == b == brute
+
+
+def test_second_page(spark):
+    queries = spark.createDataFrame([(1, "s")], "query_id int, text string")
+    first = se.search_page(queries, aliases(spark), 1, 2).collect()
+    second = se.search_page(queries, aliases(spark), 2, 2).collect()
+    whole = [r.entity for r in sorted(se.search_entities(queries, aliases(spark), 4).collect(), key=lambda r: r.place)]
+    assert [r.entity for r in sorted(first, key=lambda r: r.place)] == whole[:2]
+    assert [r.entity for r in sorted(second, key=lambda r: r.place)] == whole[2:4]
+
+
+def test_external_names(spark):
+    queries = spark.createDataFrame([(1, "Virat Kohly"), (2, "zzzz")], "query_id int, text string")
+    got = se.external_match(queries, aliases(spark)).collect()
+    assert [(r.query_id, r.external_name, r.shown_name) for r in got] == [(1, "virat kohli", "virat kohli")]

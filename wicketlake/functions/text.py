@@ -280,9 +280,10 @@ def earliest_date(dates) -> Column:
 
 
 def date_iso(c) -> Column:
-    """ISO date of a timestamp or date text; other text unchanged."""
+    """ISO date, in UTC, of a timestamp or date text; other text unchanged."""
     text = F.trim(F.coalesce(_col(c), F.lit("")))
-    return F.coalesce(F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd"), text)
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.try_to_timestamp(text).cast("timestamp_ntz"))
+    return F.coalesce(F.date_format(utc, "yyyy-MM-dd"), text)
 
 
 def sanitized_metadata(entries: dict) -> Column:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wicketlake.session import bounded_rows
+from wicketlake.session import bounded_rows, written
 
 LEFT_BOUND = 2000
 RIGHT_BLOCK = 20000
@@ -42,6 +42,8 @@ def compare_blocks(
 
         return right.mapInPandas(read_in_place, schema)
 
+    # Both sides are used twice from here: written once, so that their plans run once.
+    left, right = written(left, "left"), written(right, "right")
     left_blocks = -(-left.count() // bound)
     right_blocks = max(1, -(-right.count() // right_block))
     l = left.withColumn("_l", F.pmod(F.xxhash64(*left.columns), F.lit(left_blocks))).withColumn(

@@ -16,6 +16,7 @@ FOUND_SCORE = 0.55
 CLEAR_SCORE = 0.72
 CLEAR_GAP = 0.08
 EXTERNAL_SCORE = 0.72
+PREFERRED_SCORE = 0.82
 LIVE_SCORE = 0.70
 
 # Other names of teams, by a phrase the normalised name contains or equals.
@@ -178,6 +179,14 @@ def search_entities(
     return asked.join(scored, "q").drop("q")
 
 
+def search_page(queries: DataFrame, aliases: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
+    """One page of results per query, with how many were found up to its end."""
+    offset = (max(1, page) - 1) * limit
+    found = search_entities(queries, aliases, offset + limit)
+    totals = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
+    return found.filter(F.col("place") > offset).join(totals, "query_id")
+
+
 def rank_by_query(queries: DataFrame, names: DataFrame, least: float = 0.3) -> DataFrame:
     """Names kept for a query with a smaller bonus for equality, prefix and containment."""
     score = F.col("similarity") + match_bonus(prefix=0.4)
@@ -365,26 +374,31 @@ def _alias_score(questions: list, alias: str, exact: np.ndarray) -> np.ndarray:
     )
 
 
+def _alias_and_title(entry: dict, questions: list, optimistic: bool) -> np.ndarray:
+    """Best alias score plus what the title adds, for each question."""
+    best, title = np.zeros(len(questions)), np.zeros(len(questions))
+    for alias in entry["aliases"]:
+        score = sim.similarity_scores(questions, [alias] * len(questions), optimistic=optimistic)
+        best = np.maximum(best, _alias_score(questions, alias, score))
+        if alias == entry["title"]:
+            title = score
+    return best + np.maximum(0.0, title - KNOWLEDGE_TITLE_FLOOR)
+
+
 def _knowledge_scores(entry: dict, questions: list, topics: list) -> np.ndarray:
-    """Score of one entry for a batch of normalised, non-empty questions."""
-    n = len(questions)
+    """Score of one entry for a batch of normalised, non-empty questions; 0 where it cannot be enough."""
     words = [set(q.split()) for q in questions]
-    keyword = np.zeros(n)
+    total = np.array([KNOWLEDGE_TOPIC if t and t == entry["sub_intent"] else 0.0 for t in topics])
     for k in entry["keywords"]:
         parts = k.split()
         if parts:
             worth = KNOWLEDGE_PHRASE if len(parts) > 1 else KNOWLEDGE_WORD
-            keyword += np.array([worth if all(p in w for p in parts) else 0.0 for w in words])
-    topic = np.array([KNOWLEDGE_TOPIC if t and t == entry["sub_intent"] else 0.0 for t in topics])
-    total = keyword + topic
-    best = np.zeros(n)
-    title = np.zeros(n)
-    for alias in entry["aliases"]:
-        exact = sim.similarity_scores(questions, [alias] * n)
-        best = np.maximum(best, _alias_score(questions, alias, exact))
-        if alias == entry["title"]:
-            title = exact
-    return np.round(total + best + np.maximum(0.0, title - KNOWLEDGE_TITLE_FLOOR), 4)
+            total += np.array([worth if all(p in w for p in parts) else 0.0 for w in words])
+    # Edit distances are worked out only where the best they could be is enough.
+    enough = np.nonzero(total + _alias_and_title(entry, questions, True) >= KNOWLEDGE_LEAST - 1e-4)[0]
+    out = np.zeros(len(questions))
+    out[enough] = np.round(total[enough] + _alias_and_title(entry, [questions[i] for i in enough], False), 4)
+    return out
 
 
 def lookup_knowledge(questions: DataFrame, knowledge: DataFrame, limit: int = 5, bound: int = 2000) -> DataFrame:
@@ -432,13 +446,18 @@ def lookup_knowledge(questions: DataFrame, knowledge: DataFrame, limit: int = 5,
 
 
 def external_match(queries: DataFrame, names: DataFrame, least: float = EXTERNAL_SCORE) -> DataFrame:
-    """The most similar external name per query, when similar enough."""
+    """The most similar external name per query, when similar enough; shown instead when very similar."""
     pairs = similar_names(queries, names, least)
     best = pairs.groupBy("q").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "a")).alias("b"))
     return (
         queries.select("query_id", normalize_text("text").alias("q"))
         .join(best, "q")
-        .select("query_id", F.col("b.a").alias("external_name"), F.round(-F.col("b.s"), 6).alias("score"))
+        .select(
+            "query_id",
+            F.col("b.a").alias("external_name"),
+            F.round(-F.col("b.s"), 6).alias("score"),
+            F.when(-F.col("b.s") >= PREFERRED_SCORE, F.col("b.a")).otherwise(F.col("q")).alias("shown_name"),
+        )
     )
 
 

@@ -273,13 +273,18 @@ _SOURCES = (
 )
 
 
+_SOURCE_LIST = (
+    "CASE WHEN q = '' OR (off_topic AND NOT in_domain) THEN 'OPENAI_FALLBACK' ELSE array_to_string(list_filter(["
+    "CASE WHEN w_live THEN 'CRICAPI_LIVE' END, CASE WHEN w_player THEN 'CRICBUZZ_STATS' END, CASE WHEN w_know THEN 'LOCAL_KNOWLEDGE' END, "
+    "CASE WHEN w_archive THEN 'VECTOR_DB' END, CASE WHEN (w_free AND action = 'subjective_analysis') OR NOT (w_live OR w_player OR w_know OR w_archive) "
+    "THEN 'OPENAI_FALLBACK' END], lambda s: s IS NOT NULL), ',') END"
+)
+
+
 @register(
     "label_sources",
     over_questions(
-        "SELECT question_id, CASE WHEN q = '' OR (off_topic AND NOT in_domain) THEN 'OPENAI_FALLBACK' ELSE array_to_string(list_filter(["
-        "CASE WHEN w_live THEN 'CRICAPI_LIVE' END, CASE WHEN w_player THEN 'CRICBUZZ_STATS' END, CASE WHEN w_know THEN 'LOCAL_KNOWLEDGE' END, "
-        "CASE WHEN w_archive THEN 'VECTOR_DB' END, CASE WHEN (w_free AND action = 'subjective_analysis') OR NOT (w_live OR w_player OR w_know OR w_archive) "
-        "THEN 'OPENAI_FALLBACK' END], lambda s: s IS NOT NULL), ',') END AS data_sources FROM w",
+        f"SELECT question_id, {_SOURCE_LIST} AS data_sources FROM w",
         f"{ROUTE}, {_SOURCES}",
     ),
 )
@@ -290,20 +295,22 @@ def label_sources(spark, sf_dir):
 @register(
     "label_synonyms",
     over_questions(
-        "SELECT question_id, 'LOCAL_KNOWLEDGE,VECTOR_DB' AS data_sources, action, CASE WHEN turn % 2 = 0 THEN 'general_knowledge' ELSE 'not_supported' END AS other "
-        "FROM context",
-        ROUTE,
+        f"SELECT question_id, {_SOURCE_LIST} AS data_sources, action, CASE WHEN given IN {_in(n for names in qr.ACTION_SYNONYMS.values() for n in names)} "
+        f"OR given IN {_in(qr.ACTIONS)} THEN "
+        + case([(f"given IN {_in(names)}", quoted(a)) for a, names in qr.ACTION_SYNONYMS.items()], "given")
+        + " ELSE 'not_supported' END AS other FROM w",
+        f"{ROUTE}, {_SOURCES}",
     ),
 )
 def label_synonyms(spark, sf_dir):
-    """Written source and action names to the known ones."""
-    written = F.array(F.lit("Rules Data"), F.lit("chroma-db"), F.lit("no such"), F.lit("Archive."))
-    other = F.when(F.col("turn") % 2 == 0, "pitch_report").otherwise("venue_stats")
-    return routed(spark, sf_dir).select(
+    """Source names and sub-intents written in other ways, back to the known sources and actions."""
+    labelled = lb.sources(routed(spark, sf_dir))
+    written = F.transform("data_sources", lambda s: F.initcap(F.translate(s, "_", "-")))
+    return labelled.select(
         "question_id",
         F.array_join(lb.normalize_sources(written), ",").alias("data_sources"),
         lb.normalize_action("action").alias("action"),
-        lb.normalize_action(other).alias("other"),
+        lb.normalize_action("given_sub_intent").alias("other"),
     )
 
 

@@ -71,7 +71,7 @@ def fuzzy_search(spark, sf_dir):
 
 @register("team_search")
 def team_search(spark, sf_dir):
-    """Conversation questions' team names against the acronyms and names of customers' segments and nations."""
+    """Order priorities against the names and acronyms of the market segments."""
     segments = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("entity")).distinct()
     aliases = segments.select("entity", F.explode(se.team_aliases("entity")).alias("alias"))
     asked = table(spark, sf_dir, "orders").select(
@@ -80,6 +80,13 @@ def team_search(spark, sf_dir):
     return se.search_entities(asked, aliases, 5)
 
 
+@register("player_search_page")
+def player_search_page(spark, sf_dir):
+    """Second page of five products per type asked for."""
+    asked = table(spark, sf_dir, "part").select(F.col("p_type").alias("query_id"), F.col("p_type").alias("text")).distinct()
+    return se.search_page(asked, part_names(spark, sf_dir), 2, 5)
+
+
 @register("name_ranking")
 def name_ranking(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("alias")).distinct()

@@ -85,13 +85,16 @@ _SESSIONS = (
 
 @register(
     "context_sessions",
-    "SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 3600000000 AS expires, count(*) AS turns "
+    "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS started, strftime(max(ts) + INTERVAL 60 MINUTES, '%Y-%m-%d %H:%M:%S.%f') AS expires, count(*) AS turns "
     f"FROM ({_SESSIONS}) s GROUP BY user_id, n",
 )
 def context_sessions(spark, sf_dir):
     turns = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("at"))
     out = cx.sessions(turns, "user_id", "at")
-    return out.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("expires").alias("expires"), "turns")
+    shown = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    return out.select(
+        "user_id", F.date_format("started", shown).alias("started"), F.date_format("expires", shown).alias("expires"), "turns"
+    )
 
 
 @register(
