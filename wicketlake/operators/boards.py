@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wicketlake.functions import rates
 from wicketlake.functions.text import normalize_text
 from wicketlake.operators.ordered import numbered
+from wicketlake.session import written
 
 METRICS = ["runs", "wickets", "average", "strike_rate", "economy", "fours", "sixes", "matches"]
 
@@ -79,7 +80,8 @@ def recent_matches(matches: DataFrame, limit: int = 5) -> DataFrame:
 def squads(profiles: DataFrame, size: int | None = None) -> DataFrame:
     """Squad order of every team, with its total; ``size`` keeps the first players (11 for an XI)."""
     order = [F.desc("matches"), F.desc("runs"), F.desc("wickets"), "player"]
-    rows = profiles.filter("team != ''").withColumn("team_norm", normalize_text("team"))
+    # Profiles come from a scan of all balls and are used more than once here: written once.
+    rows = written(profiles.filter("team != ''").withColumn("team_norm", normalize_text("team")), "squads")
     totals = rows.groupBy("team_norm").agg(F.count(F.lit(1)).alias("total_players"))
     if size is not None:
         w = Window.partitionBy("team_norm").orderBy(*order)
