@@ -43,7 +43,6 @@ SCRUB_MIN_TOKENS = 5
 
 # Capitalised phrases that are headings, not names.
 BLOCKED_PHRASES = [
-    "Cricket Intelligence",
     "Match Summary",
     "Recent Match",
     "Next Match",

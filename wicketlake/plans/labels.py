@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wicketlake.functions import question_rules as qr
+from wicketlake.functions.text import BLOCKED_PHRASES, PROPER_NAME
 from wicketlake.operators import labels as lb
 from wicketlake.plans.registry import over_questions, register
 from wicketlake.plans.sqltext import has, norm, quoted, sql_list
@@ -451,7 +452,9 @@ def _filled(text: str, name: str, words) -> str:
     return text
 
 
-_PEOPLE_NAMES = "list_filter(regexp_extract_all(raw, '\\b(?:[A-Z][a-z]+|[A-Z]{2,4})(?:\\s+(?:[A-Z][a-z]+|[A-Z]{2,4})){1,4}\\b'), lambda v: NOT list_contains(['Cricket Intelligence', 'Match Summary', 'Recent Match', 'Next Match', 'Upcoming Matches'], v))[1]"
+_PEOPLE_NAMES = (
+    f"list_filter(regexp_extract_all(raw, {quoted(PROPER_NAME)}), lambda v: NOT list_contains({sql_list(BLOCKED_PHRASES)}, v))[1]"
+)
 _CARRY = (
     f"named AS (SELECT question_id, conv_id, 2 * turn + CASE WHEN question_id LIKE '%-written' THEN 1 ELSE 0 END AS place, raw, q, "
     f"nullif(explicit_team, '') AS team_name, {_PEOPLE_NAMES} AS player_name FROM teamed), "
