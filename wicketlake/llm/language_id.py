@@ -228,7 +228,7 @@ def train(
     docs: DataFrame,
     per_language: int = 300,
     order: int = 5,
-    slack: float = 0.5,
+    slack: float = 2.0,
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
