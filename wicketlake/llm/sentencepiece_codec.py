@@ -33,7 +33,7 @@ class PieceBpe:
     A token is the id of its piece; a character that is no piece is -1 - its code point.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 150_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.normalize = model.normalize
         self.end_id, self.unknown_id = model.eos_id(), model.unk_id()
@@ -70,7 +70,7 @@ class PieceBpe:
         self.plain: dict[str, str] = {}
         self.remembered = remembered
         self.cut = SPACE if not inner and self.normalize("a").startswith(SPACE) else ""
-        self.columns, self.slot_bits = 160, 20
+        self.columns, self.slot_bits = 112, 19
         self.arrays()
 
     def history(self, token: int) -> tuple[bool, list, list]:

@@ -54,7 +54,7 @@ def byte_letters() -> list[str]:
 class ByteBpe:
     """Merge table as arrays sorted by pair, and a bounded memory of pre-tokens already counted."""
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         pre, model = spec["pre_tokenizer"], spec["model"]
