@@ -55,7 +55,7 @@ def embedding_components(
     threshold: float = 0.9,
     width: int = 8,
     axes: int = 2,
-    block: int = 4096,
+    block: int = 16384,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
 ) -> DataFrame:
