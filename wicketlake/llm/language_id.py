@@ -165,7 +165,7 @@ def cross_entropies(models: CharacterModels, texts: pa.Array) -> tuple[np.ndarra
         per_doc = np.diff(lists.offsets.to_numpy())
         total = np.zeros((len(part), len(models.languages)))
         n = np.zeros(len(part), dtype=np.int64)
-        if real.any():
+        if real.any() and models.languages:
             logs, sizes = np.zeros((len(words), len(models.languages))), np.zeros(len(words), dtype=np.int64)
             logs[real], sizes[real] = models.score([w for w in words if w])
             some = per_doc > 0

@@ -72,6 +72,10 @@ def distance(fp: Column, point: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(point)))
 
 
+def shifted(shards: Column, bit: Column) -> Column:
+    return F.transform(shards, lambda x: x + bit)
+
+
 def vantage_pairs(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 512):
     """Index pairs (query, point) at distance <= radius, from a vantage-point tree over the points.
 
@@ -147,7 +151,7 @@ def near_links(fingerprints: DataFrame, radius: int = 2, shard: int = 16384) ->
     for level, (v, m) in enumerate(zip(vantage, medians)):
         d, bit = distance(F.col("fp"), v), F.lit(1 << level).cast("long")
         home = home + F.when(d > m, bit).otherwise(F.lit(0).cast("long"))
-        inner, outer = visits, F.transform(visits, lambda x, bit=bit: x + bit)
+        inner, outer = visits, shifted(visits, bit)
         visits = F.when(d <= m - radius, inner).when(d > m + radius, outer).otherwise(F.concat(inner, outer))
     points = fingerprints.select("fp", home.alias("shard"))
     queries = fingerprints.select(F.col("fp").alias("asked"), F.explode(visits).alias("shard"))
