@@ -182,3 +182,23 @@ def test_plans(spark):
     page = plan_of(ENTRIES["docs_where_page"].build(spark, sf))
     assert "EqualTo(lang,en)" in page
     assert "SortAggregate" not in plan_of(ENTRIES["player_batting"].build(spark, sf))
+
+
+def test_boxes_and_titles_have_no_cap(spark):
+    from wicketlake.functions import wiki
+
+    lines = "".join(f"| field_{i} = value {i} {'x' * 60}\n" for i in range(120))
+    titles = "".join(f"| title{i} = Cup {i}\n| title{i}wins = {i}\n" for i in range(1, 7))
+    pages = spark.createDataFrame([("t", "{{Infobox cricket team\n" + lines + titles)], "title string, wikitext string")
+    fields = wiki.infobox_fields(pages)
+    assert fields.count() == 132
+    assert wiki.title_totals(fields).first()["major_titles"] == 21
+
+
+def test_total_counts_all_hits(spark):
+    from wicketlake.operators import search as se
+
+    names = spark.createDataFrame([(f"n{i}", f"anna {chr(97 + i)}") for i in range(12)], "entity string, alias string")
+    queries = spark.createDataFrame([(1, "anna")], "query_id int, text string")
+    rows = se.search_page(queries, names, 1, 5).collect()
+    assert len(rows) == 5 and {r["total"] for r in rows} == {12}

@@ -11,8 +11,6 @@ from wicketlake.functions.text import find, normalize_text
 BOX_START = "{{Infobox cricket team"
 NUMBER_WORDS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten"]
 LEAGUE_TITLE = r"(?i)\bipl\b|indian premier league"
-TITLE_SLOTS = 4
-UNCLOSED_BOX = 4000
 
 
 def strip_markup(c) -> Column:
@@ -37,9 +35,7 @@ def infobox_fields(pages: DataFrame, key: str = "title", text: str = "wikitext")
     start = F.locate(BOX_START, F.col(text))
     tail = F.expr(f"substring({text}, locate('{BOX_START}', {text}))")
     end = F.locate("\n}}", tail)
-    block = F.when(start == 0, F.lit("")).when(end > 1, F.substring(tail, F.lit(1), end - 1)).otherwise(
-        F.substring(tail, 1, UNCLOSED_BOX)
-    )
+    block = F.when(start == 0, F.lit("")).when(end > 1, F.substring(tail, F.lit(1), end - 1)).otherwise(tail)
     lines = pages.select(key, F.posexplode(F.split(block, "\n")).alias("at", "line")).filter(
         F.col("line").rlike(r"^\|\s*([^=]+?)\s*=\s*(.*)$")
     )
@@ -61,7 +57,7 @@ def count_in_text(c) -> Column:
 
 def title_totals(fields: DataFrame, key: str = "title") -> DataFrame:
     """Titles won per team: all of them, and those of the league."""
-    slot = F.regexp_extract("field", r"^title([1-4])(wins)?$", 1)
+    slot = F.regexp_extract("field", r"^title(\d+)(wins)?$", 1)
     numbered = fields.withColumn("slot", slot).filter("slot != ''")
     per_slot = numbered.groupBy(key, "slot").agg(
         F.max(F.when(~F.col("field").endswith("wins"), F.col("value"))).alias("name"),
@@ -70,7 +66,7 @@ def title_totals(fields: DataFrame, key: str = "title") -> DataFrame:
     league = F.col("name").rlike(LEAGUE_TITLE)
     return per_slot.groupBy(key).agg(
         F.sum("wins").alias("major_titles"),
-        F.coalesce(F.min_by("wins", F.when(league, F.col("slot"))), F.lit(0)).alias("league_titles"),
+        F.coalesce(F.min_by("wins", F.when(league, F.col("slot").cast("decimal(38,0)"))), F.lit(0)).alias("league_titles"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wicketlake.functions import rates
 from wicketlake.functions.text import normalize_text
+from wicketlake.operators import aggregates as ag
 from wicketlake.operators.ordered import numbered
 from wicketlake.session import written
 
@@ -51,17 +52,6 @@ def leaderboard(
     return _ranked(top, order).withColumn("value", F.col(metric))
 
 
-def leaderboard_cut_first(profiles: DataFrame, metric: str, limit: int = 10, name: str = "player") -> DataFrame:
-    """The historical order of steps: cut to max(50, 10 * limit), then qualify; unqualified rows
-    are returned when nothing qualifies."""
-    order = [F.desc(metric), F.desc("matches"), F.asc(name)]
-    pool = profiles.orderBy(*order).limit(max(50, 10 * limit))
-    flagged = pool.withColumn("_ok", qualified(metric))
-    flagged = flagged.withColumn("_any", F.max("_ok").over(Window.partitionBy(F.lit(0))))
-    kept = flagged.filter("_ok OR NOT _any").drop("_ok", "_any").orderBy(*order).limit(limit)
-    return _ranked(kept, order).withColumn("value", F.col(metric))
-
-
 def top_players_per_team(profiles: DataFrame, metric: str = "runs", n: int = 10) -> DataFrame:
     w = Window.partitionBy("team").orderBy(F.desc(metric), F.desc("matches"), "player")
     return (
@@ -198,13 +188,13 @@ def comparison_line(df: DataFrame) -> DataFrame:
 def match_top_performers(deliveries: DataFrame, n: int = 3) -> DataFrame:
     """Top batters by runs and bowlers by wickets of every match, as text."""
     bat = (
-        deliveries.filter("batter != ''").groupBy("match_id", F.col("batter").alias("player"))
+        ag.valid(deliveries).filter("batter != ''").groupBy("match_id", F.col("batter").alias("player"))
         .agg(F.sum("runs_batter").alias("score"))
         .withColumn("kind", F.lit("bat"))
         .withColumn("line", F.concat("player", F.lit(" ("), F.col("score").cast("string"), F.lit(")")))
     )
     bowl = (
-        deliveries.filter("bowler != ''").groupBy("match_id", F.col("bowler").alias("player"))
+        ag.valid(deliveries).filter("bowler != ''").groupBy("match_id", F.col("bowler").alias("player"))
         .agg(
             F.sum(F.when(rates.credited_wicket(), 1).otherwise(0)).alias("score"),
             F.sum(F.expr("runs_batter + extras_wides + extras_noballs")).alias("conceded"),
@@ -291,7 +281,7 @@ def home_summary(profiles: DataFrame, teams: DataFrame, matches: DataFrame, n: i
 def player_form(deliveries: DataFrame, n: int = 3) -> DataFrame:
     """Runs of the last ``n`` matches of every batter."""
     per_match = (
-        deliveries.filter("batter != ''")
+        ag.valid(deliveries).filter("batter != ''")
         .groupBy(F.col("batter").alias("player"), "match_id")
         .agg(
             F.sum("runs_batter").alias("runs"),

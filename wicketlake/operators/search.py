@@ -180,11 +180,13 @@ def search_entities(
 
 
 def search_page(queries: DataFrame, aliases: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
-    """One page of results per query, with how many were found up to its end."""
+    """One page of results per query, with how many there are in all."""
     offset = (max(1, page) - 1) * limit
-    found = search_entities(queries, aliases, offset + limit)
+    found = search_entities(queries, aliases, None)
     totals = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return found.filter(F.col("place") > offset).join(totals, "query_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity")
+    placed = found.withColumn("place", F.row_number().over(w)).filter((F.col("place") > offset) & (F.col("place") <= offset + limit))
+    return placed.join(totals, "query_id")
 
 
 def rank_by_query(queries: DataFrame, names: DataFrame, least: float = 0.3) -> DataFrame:

@@ -267,21 +267,6 @@ def leaderboard_qualified(spark, sf_dir):
     return bd.leaderboard(profiles(spark, sf_dir), "strike_rate").select(*BOARD_COLUMNS)
 
 
-@register(
-    "leaderboard_sixes_cut_first",
-    over_deliveries(
-        "SELECT row_number() OVER (ORDER BY sixes DESC, matches DESC, player) AS rank, player, sixes AS value "
-        "FROM (SELECT * FROM profiles ORDER BY sixes DESC, matches DESC, player LIMIT 100) p "
-        "WHERE (matches >= 20 AND runs >= 1000) OR NOT EXISTS (SELECT 1 FROM (SELECT * FROM profiles "
-        "ORDER BY sixes DESC, matches DESC, player LIMIT 100) z WHERE z.matches >= 20 AND z.runs >= 1000) "
-        "ORDER BY rank LIMIT 10",
-        sq.PROFILES,
-    ),
-)
-def leaderboard_sixes_cut_first(spark, sf_dir):
-    return bd.leaderboard_cut_first(profiles(spark, sf_dir), "sixes").select("rank", "player", "value")
-
-
 @register(
     "team_leaders",
     over_deliveries(

@@ -358,7 +358,7 @@ def _title_sql() -> str:
 
 @register(
     "pages_extract",
-    "SELECT page_id, CASE WHEN u <> '' THEN u ELSE substr(regexp_replace(lower(name), '[^\\p{L}\\p{N}_]+', '-', 'g'), 1, 48) END AS match_id, "
+    "SELECT page_id, CASE WHEN u <> '' THEN u ELSE substr(regexp_replace(lower(name), '[^\\p{L}\\p{N}_]+', '-', 'g'), 1, 48) || '-' || substr(sha256(name), 1, 12) END AS match_id, "
     f"name, 0 AS innings FROM (SELECT page_id, {_title_sql()} AS name, regexp_extract(url, '/([0-9]{{5,}})(?:[/?#]|$)', 1) AS u FROM pages) p",
 )
 def pages_extract(spark, sf_dir):

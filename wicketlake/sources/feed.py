@@ -160,7 +160,7 @@ def live_docs(matches: DataFrame) -> DataFrame:
 
     ``matches``: normalised feed columns with ``winner`` and ``narrative``.
     """
-    teams = F.array_join(F.slice(F.filter("teams", lambda t: F.trim(t) != ""), 1, 2), " vs ")
+    teams = F.array_join(F.filter("teams", lambda t: F.trim(t) != ""), " vs ")
     date = first_non_empty("date_time_gmt", "date")
     meta = F.create_map(
         *[

@@ -52,9 +52,9 @@ def readable(files: DataFrame) -> DataFrame:
 
 
 def quarantined(files: DataFrame) -> DataFrame:
-    """Malformed files: source, path and the start of their text as the error."""
+    """Malformed files: source, path and their text as the error."""
     return files.filter(F.col(CORRUPT).isNotNull()).select(
-        "source_folder", "path", F.substring(CORRUPT, 1, 200).alias("error")
+        "source_folder", "path", F.col(CORRUPT).alias("error")
     )
 
 

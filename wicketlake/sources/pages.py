@@ -188,7 +188,12 @@ def match_meta(parts: DataFrame) -> DataFrame:
         "page_id",
         first_non_empty(
             find("url", PAGE_ID_PATTERN),
-            F.substring(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}_]+", "-"), 1, 48),
+            # a title alone gets a digest, so that long equal beginnings stay apart
+            F.concat(
+                F.substring(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}_]+", "-"), 1, 48),
+                F.lit("-"),
+                F.substring(F.sha2("name", 256), 1, 12),
+            ),
         ).alias("match_id"),
         "name",
         F.filter(F.array(left, right), lambda t: t != "").alias("teams"),
@@ -206,7 +211,7 @@ def match_meta(parts: DataFrame) -> DataFrame:
 
 
 def score_lines(texts="score_texts") -> Column:
-    """First four distinct score lines of a page, in page order."""
+    """Distinct score lines of a page, in page order."""
     lines = F.transform(
         F.filter(texts, lambda t: t.rlike(SCORE_PATTERN)),
         lambda t: F.struct(
@@ -216,7 +221,7 @@ def score_lines(texts="score_texts") -> Column:
             clean_text(find(t, SCORE_PATTERN, 4)).alias("overs"),
         ),
     )
-    return F.slice(F.array_distinct(lines), 1, 4)
+    return F.array_distinct(lines)
 
 
 def _key(c: Column) -> Column:
