@@ -84,7 +84,24 @@ def op4(spark, sf_dir):
     )
 
 
-@query("op1_url_filters")
+OP1_SQL = """
+WITH rules(verdict, r_host, r_path) AS (
+  VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), rest AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), cut AS (SELECT page_id, r, regexp_extract(r, '^[^/?#]*') AS h FROM rest
+), urls AS (
+  SELECT row_number() OVER () AS n, page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(r, length(h) + 1), '^[^?#]*') AS path FROM cut
+), fit AS (
+  SELECT n, max_by(r_host || r_path, length(r_host || r_path)) AS rule, max_by(verdict, length(r_host || r_path)) AS verdict
+  FROM urls JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path) GROUP BY n
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls LEFT JOIN fit USING (n)
+"""
+
+
+@query("op1_url_filters", OP1_SQL)
 def op1(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     judged = url_filters.filter_urls(pages, url_filters.rule_table(spark, url_filters.RULES))
