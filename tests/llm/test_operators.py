@@ -138,6 +138,47 @@ def test_vantage_search_finds_every_pair(spark):
     assert {v: roots.get(v, v) for v in values} == {v: find(v) for v in values}
 
 
+def plain_copies(texts, similarity=0.8):
+    """Smallest place reachable by pairs of similar sets of five-word shingles."""
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(table)) for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    root = list(range(len(texts)))
+    for _ in texts:
+        before = list(root)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if len(a & b) >= similarity * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            return root
+
+
+def test_near_copies(spark, docs, none):
+    random = np.random.default_rng(11)
+    vocabulary = [f"W{i}" for i in range(500)]
+    texts = [None, "", "one", "ONE ", "one two three", "one two three four", "a b c d e", "A\tb c d e", "word " * 20_000, "word " * 19_000]
+    for size in (12, 60, 300):
+        for _ in range(4):
+            base = random.choice(vocabulary, size=size).tolist()
+            texts += [" ".join(base)] * 2
+            for changes in (1, 1, 2, 3, 5, 9):
+                copy = list(base)
+                for place in random.integers(0, size, size=max(1, changes * size // 300 if size == 300 else changes - 1)):
+                    copy[place] = "changed"
+                texts.append(" ".join(copy))
+    base = random.choice(vocabulary, size=150).tolist()  # a crowd of copies in one band of sizes
+    texts += [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(100)]
+    want = plain_copies(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    for options in ({}, {"shard": 40, "block": 16}):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.copy_components(frame, **options).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+    assert {r["doc_id"] for r in simhash.keep_one_of_each(frame).collect()} == set(want)
+    assert simhash.copy_components(docs).count() == len(TEXTS) + 1  # the row without an id is not compared
+    assert simhash.copy_components(none).collect() == [] and simhash.keep_one_of_each(none).collect() == []
+
+
 def test_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
