@@ -171,7 +171,7 @@ def test_near_copies(spark, docs, none):
     texts += [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(100)]
     want = plain_copies(texts)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
-    for options in ({}, {"shard": 40, "block": 16}):
+    for options in ({}, {"shard": 40, "block": 16, "leaders": 2}):
         got = {r["doc_id"]: r["component_id"] for r in simhash.copy_components(frame, **options).collect()}
         assert [got[i] for i in range(len(texts))] == want
     assert {r["doc_id"] for r in simhash.keep_one_of_each(frame).collect()} == set(want)

@@ -8,12 +8,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wicketlake.llm.common import checkpointed, in_blocks, named, text_groups, with_computed
 from wicketlake.llm.components import connected_components
+from wicketlake.session import written
 
 SMALL_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -286,15 +287,14 @@ def close_profiles(classes: DataFrame, similarity: float, shard: int) -> DataFra
     return points.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(search, "a binary, b binary")
 
 
-def similar_links(members: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links (a, b) of the word sequences of ``members`` (crowd, words, f0, f1, hashes) of at least this Jaccard
-    similarity, enough to connect what all such links within reach in a crowd connect.
+def similar_links(members: DataFrame, asking: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links (a, b) of at least this Jaccard similarity between word sequences of one crowd, one of each side
+    (both: crowd, words, f0, f1, hashes), enough to connect what all such links within reach connect.
 
-    Pairs are taken in order of their differing bits; a pair that earlier links connect needs no check, so
-    the checks of a crowd of copies are about as many as its members.
+    Pairs are taken in order of their differing bits; a pair that earlier links connect needs no check.
     """
     wide = reach(similarity, 128)
-    queries = members.withColumnRenamed("words", "asked")
+    queries = asking.withColumnRenamed("words", "asked")
     points, queries, by = in_blocks(members, queries, ["crowd"], block, "words", "asked")
 
     def confirm(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -334,9 +334,29 @@ def similar_links(members: DataFrame, similarity: float, block: int) -> DataFram
     return points.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(confirm, "a binary, b binary")
 
 
+def crowd_links(members: DataFrame, similarity: float, block: int, leaders: int) -> DataFrame:
+    """Links (a, b) that connect what all links of ``members`` within a crowd connect.
+
+    First all meet a few leaders of their crowd, the first by digest. Where that leaves a larger crowd in
+    parts, all of it meets what lies outside its largest part. So a crowd of copies of any size is sent
+    about twice, not once for every block of it.
+    """
+    order = Window.partitionBy("crowd").orderBy("words")
+    leading = members.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= leaders).drop("_n")
+    first = checkpointed(similar_links(members, leading, similarity, block))
+    parts = connected_components(first).withColumnRenamed("node", "words")
+    held = members.select("crowd", "words").join(parts, "words", "left").withColumn("root", F.coalesce("root", "words"))
+    held = checkpointed(held)
+    sizes = held.groupBy("crowd", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("crowd").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("one"))
+    outside = held.join(largest.where(F.col("all") > leaders), "crowd").where(F.col("root") != F.col("one.root"))
+    second = similar_links(members, members.join(outside.select("words"), "words", "left_semi"), similarity, block)
+    return first.unionByName(second)
+
+
 def copy_components(
     docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shard: int = 16384, block: int = 512,
-    doc_id: str = "doc_id", text: str = "text",
+    leaders: int = 32, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` that has an id: near copies by word shingles.
 
@@ -353,10 +373,12 @@ def copy_components(
     crowds = connected_components(close_profiles(classes, similarity, shard))
     crowds = checkpointed(crowds.select(F.col("node").alias("words"), F.col("root").alias("crowd")))
     members = classes.join(crowds, "words")
-    texts = source.join(members.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # written, so that the planner knows the size of the ids and need not move texts where they are few
+    wanted = written(members.select(F.col("least").alias("doc_id")).distinct(), "candidates")
+    texts = source.join(wanted, "doc_id", "left_semi")
     sets = with_profiles(texts, shingle, "text", [], listed=True)
     members = sets.join(members.select("words", "crowd", "f0", "f1"), "words").dropDuplicates(["words"])
-    links = similar_links(checkpointed(members), similarity, block)
+    links = crowd_links(checkpointed(members), similarity, block, leaders)
     roots = connected_components(links).withColumnRenamed("node", "words")
     placed = classes.join(roots, "words", "left").withColumn("root", F.coalesce("root", "words"))
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -371,8 +393,12 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     without an id stay.
     """
     parts = copy_components(docs, doc_id=doc_id, text=text, **options)
-    kept = parts.where(named(doc_id) == F.col("component_id")).select(named(doc_id)).distinct()
-    held = docs.join(kept, doc_id, "left_semi").groupBy(named(doc_id)).agg(
+    own = F.max(named(doc_id) == F.col("component_id"))
+    ids = parts.groupBy(named(doc_id)).agg(F.count("*").alias("_rows"), own.alias("_own")).where("_own")
+    ids = written(ids.select(named(doc_id), "_rows"), "kept")
+    once = docs.join(ids.where("_rows = 1"), doc_id, "left_semi")
+    repeated = docs.join(ids.where("_rows > 1"), doc_id, "left_semi").groupBy(named(doc_id)).agg(
         F.min_by(F.struct(*[named(c) for c in docs.columns]), F.coalesce(named(text), F.lit(""))).alias("one")
     )
-    return held.select("one.*").unionByName(docs.where(named(doc_id).isNull()))
+    columns = [named(c) for c in docs.columns]
+    return once.select(*columns).unionByName(repeated.select("one.*")).unionByName(docs.where(named(doc_id).isNull()))
