@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -349,6 +350,30 @@ def test_language_id(spark, docs, none):
     assert {(r["lang_pred"], r["score"], r["rejected"]) for r in language_id.predict(docs, nothing).collect()} == {("und", 0.0, True)}
 
 
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr"])
+def test_language_not_learned(spark, left_out):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    known = table.where(F.col("lang") != left_out)
+    model = language_id.train(known)
+    foreign = language_id.predict(table.where(F.col("lang") == left_out), model).collect()
+    assert sum(r["rejected"] for r in foreign) >= 0.95 * len(foreign)
+    assert language_id.predict(known, model).where("rejected").count() <= 0.01 * known.count()
+    # texts of two known languages, half and half
+    half = F.pmod(F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")), F.lit(100))
+    one = known.withColumn("n", half).groupBy("lang", "n").agg(F.min("text").alias("t"))
+    both = one.alias("a").join(one.alias("b"), "n").where("a.lang < b.lang").select(F.concat_ws(" ", "a.t", "b.t").alias("text"))
+    mixed = language_id.predict(both, model).collect()
+    assert len(mixed) > 50 and sum(r["rejected"] for r in mixed) <= 0.02 * len(mixed)
+
+
+def test_language_limits_ignore_an_outlier():
+    import pandas as pd
+
+    usual = pd.Series([0.1 * i for i in range(30)])
+    assert language_id.usual_most(pd.concat([usual, pd.Series([1000.0])])) <= 1.5 * usual.max()
+    assert language_id.usual_most(pd.Series([5.0])) == language_id.usual_most(pd.Series([], dtype=float)) == 0.0
+
+
 def test_language_probabilities_sum_to_one():
     import pandas as pd
 

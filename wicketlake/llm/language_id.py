@@ -154,9 +154,10 @@ def row_slices(column: pa.Array, size: int = 2 << 20):
         first = last
 
 
-def cross_entropies(models: CharacterModels, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the sum of -log p in each language and the number of characters; each distinct word is scored once."""
-    sums, chars = [], []
+def cross_entropies(models: CharacterModels, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text the sum of -log p in each language, the same with each word in its best language, and the number
+    of characters; each distinct word is scored once."""
+    sums, mixed, chars = [], [], []
     for part in row_slices(texts):
         lists = letter_words(pc.fill_null(part, ""))
         coded = lists.flatten().dictionary_encode()
@@ -164,6 +165,7 @@ def cross_entropies(models: CharacterModels, texts: pa.Array) -> tuple[np.ndarra
         real = np.array([bool(w) for w in words], dtype=bool)
         per_doc = np.diff(lists.offsets.to_numpy())
         total = np.zeros((len(part), len(models.languages)))
+        least = np.zeros(len(part))
         n = np.zeros(len(part), dtype=np.int64)
         if real.any() and models.languages:
             logs, sizes = np.zeros((len(words), len(models.languages))), np.zeros(len(words), dtype=np.int64)
@@ -172,12 +174,14 @@ def cross_entropies(models: CharacterModels, texts: pa.Array) -> tuple[np.ndarra
             first = (np.cumsum(per_doc) - per_doc)[some]
             for i in range(len(models.languages)):
                 total[some, i] = -np.add.reduceat(logs[place, i], first)
+            least[some] = -np.add.reduceat(logs.max(axis=1)[place], first)
             n[some] = np.add.reduceat(sizes[place], first)
         sums.append(total)
+        mixed.append(least)
         chars.append(n)
     if not sums:
-        return np.zeros((0, len(models.languages))), np.zeros(0, dtype=np.int64)
-    return np.concatenate(sums), np.concatenate(chars)
+        return np.zeros((0, len(models.languages))), np.zeros(0), np.zeros(0, dtype=np.int64)
+    return np.concatenate(sums), np.concatenate(mixed), np.concatenate(chars)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -216,40 +220,56 @@ def gram_counts(sample: DataFrame, order: int) -> DataFrame:
 
 @dataclass
 class LanguageModel:
-    """Character models with, per language, the mean cross-entropy and the spread that known texts stay within."""
+    """Character models with, per language, the mean cross-entropy of known texts, each word in its best language,
+    and what they stay within above it: ``slack`` a character at any length, ``spread`` by the root of the length."""
 
     models: CharacterModels
     mean: np.ndarray
-    spread: float
-    slack: float
+    spread: np.ndarray
+    slack: np.ndarray
+
+
+def usual_most(values: pd.Series) -> float:
+    """One and a half times what 98 in 100 values stay within, the largest never counting; 0 for fewer than two."""
+    return 1.5 * max(float(np.quantile(values, 0.98, method="lower")), 0.0) if len(values) > 1 else 0.0
 
 
 def train(
     docs: DataFrame,
     per_language: int = 300,
     order: int = 5,
-    slack: float = 2.0,
+    slack: float = 0.5,
+    fewest: int = 20,
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
 ) -> LanguageModel:
     """Learn from at most ``per_language`` documents of each language: four fifths for the character models, the
-    rest to set the limit of rejection. The driver receives counts of sequences of that sample only."""
+    rest to set the limits of rejection. The driver receives counts of sequences of that sample only.
+
+    A language with fewer than ``fewest`` texts in the rest takes the limits of all languages together; ``slack``
+    is the least that a language has.
+    """
     sample = training_sample(docs, per_language, doc_id, text, lang)
     counts = gram_counts(sample.where("fold <> 0"), order).toPandas()
     models = CharacterModels(counts, order)
     n = len(models.languages)
-    mean, spread = np.zeros(n), 0.0
+    mean, spread, slacks = np.full(n, math.inf), np.zeros(n), np.full(n, float(slack))
     if n:
         found = entropies(sample.where("fold = 0").select("text"), models, "text").toPandas()
         found = found[found["chars"] > 0]
-        excess = []
-        for i in range(n):
-            own = found[found["best"] == i]
-            mean[i] = np.average(own["entropy"], weights=own["chars"]) if len(own) else found["entropy"].mean() if len(found) else math.inf
-            excess.append((own["entropy"] - mean[i]) * np.sqrt(own["chars"]))
-        spread = 1.5 * float(pd.concat(excess).max()) if len(found) else 0.0
-    return LanguageModel(models, mean, max(spread, 0.0), slack)
+        if len(found):
+            for i in range(n):
+                own = found[found["best"] == i]
+                mean[i] = np.average(own["entropy"], weights=own["chars"]) if len(own) else found["entropy"].mean()
+            found["above"] = found["entropy"] - mean[found["best"]]
+            found["scaled"] = found["above"] * np.sqrt(found["chars"])
+            for i in range(n):
+                own = found[found["best"] == i]
+                own = own if len(own) >= fewest else found
+                spread[i] = usual_most(own["scaled"])
+                slacks[i] = max(slack, usual_most(own[own["chars"] >= own["chars"].median()]["above"]))
+    return LanguageModel(models, mean, spread, slacks)
 
 
 def entropies(docs: DataFrame, models: CharacterModels, text: str) -> DataFrame:
@@ -259,9 +279,9 @@ def entropies(docs: DataFrame, models: CharacterModels, text: str) -> DataFrame:
         own = sent()
 
         def step(texts):
-            sums, chars = cross_entropies(own, texts)
+            sums, mixed, chars = cross_entropies(own, texts)
             best = sums.argmin(axis=1) if sums.shape[1] else np.zeros(len(chars), dtype=np.int64)
-            entropy = sums[np.arange(len(best)), best] / np.maximum(chars, 1)
+            entropy = mixed / np.maximum(chars, 1)
             return [pa.array(best, pa.int32()), pa.array(entropy, pa.float64()), pa.array(chars, pa.int64())]
 
         return step
@@ -280,8 +300,9 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
     lang_pred is the language of the lowest cross-entropy per character (of equals the first in order), "und"
     for a text that is null or has no letter, or if nothing was learned; score is that language's share of
     the likelihoods per character, weighted up to 40 characters (0 for "und"). rejected tells texts that are
-    unlike all learned languages: "und", or an entropy above the language's mean by more than ``slack`` and
-    by more than the spread of known texts, which shrinks with the root of the length. Whole texts count.
+    unlike all learned languages: "und", or a cross-entropy with each word in its own best language (so that
+    texts of several known languages stay) above the mean of lang_pred by more than that language's slack and
+    by more than its spread of known texts, which shrinks with the root of the length. Whole texts count.
     Repeated rows repeat; input columns with the names of new ones are replaced.
     """
     sent = shared(docs.sparkSession, model)
@@ -291,7 +312,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
         names = np.array([*m.models.languages, UNDETERMINED], dtype=object)
 
         def step(texts):
-            sums, chars = cross_entropies(m.models, texts)
+            sums, mixed, chars = cross_entropies(m.models, texts)
             known = (chars > 0) & (sums.shape[1] > 0)
             n = np.maximum(chars, 1)
             if sums.shape[1]:
@@ -300,7 +321,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
                 lowest = means[np.arange(len(best)), best]
                 odds = np.exp(-(means - lowest[:, None]) * np.minimum(n, 40)[:, None])
                 score = np.where(known, 1 / odds.sum(axis=1), 0.0)
-                limit = m.mean[best] + np.maximum(m.slack, m.spread / np.sqrt(n))
+                limit = m.mean[best] + np.maximum(m.slack[best], m.spread[best] / np.sqrt(n))
             else:
                 best, lowest, score, limit = np.zeros(len(n), int), np.zeros(len(n)), np.zeros(len(n)), np.zeros(len(n))
             label = names[np.where(known, best, len(names) - 1)]
@@ -308,7 +329,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", keep: lis
                 pa.array(label, pa.string()),
                 pa.array(score, pa.float64()),
                 pa.array(lowest, pa.float64()),
-                pa.array(~known | (lowest > limit), pa.bool_()),
+                pa.array(~known | (mixed / n > limit), pa.bool_()),
             ]
 
         return step
