@@ -78,6 +78,16 @@ class Scanner:
         found.sort()
         return [(line.count(b" ", 0, at), label) for at, label in found]
 
+    def confirmed(self, i: int, line: str, low: int, high: int):
+        """Matches of a notice that don't overlap: the best of a window, then those of the parts before and after it."""
+        shortest, parts = len(self.notices[i].text) - self.notices[i].edits, [(low, high)]
+        while parts:
+            low, high = parts.pop()
+            m = self.patterns[i].search(line, low, high) if high - low > shortest else None
+            if m:
+                yield m
+                parts += [(low, m.start()), (m.end(), high)]
+
     def fuzzy(self, line: str) -> list[tuple[str, str, int, int, int]]:
         """(label, notice, first word, words, edits) of every place that the bounded-error search confirms."""
         windows: dict[int, list[list[int]]] = {}
@@ -95,7 +105,7 @@ class Scanner:
         found = []
         for i, spans in windows.items():
             for low, high in spans:
-                for m in self.patterns[i].finditer(line, max(0, low), min(len(line), high)):
+                for m in self.confirmed(i, line, max(0, low), min(len(line), high)):
                     word = line.count(" ", 0, m.start() + 1) - 1
                     found.append((self.notices[i].label, self.notices[i].text, word, m[0].count(" ") + 1, sum(m.fuzzy_counts)))
         return sorted(found, key=lambda x: (x[2], x[0], x[1]))
