@@ -129,6 +129,28 @@ def test_near_question_needs_similar_text(spark):
     assert "c" not in got and "d" not in got
 
 
+def test_cached_questions_of_stop_words_and_stored_responses(spark):
+    cache = spark.createDataFrame(
+        [("1", "What is the?", "x", None), ("2", "rohit sharma sixes", "", '{"rows": [1]}'), ("3", "dhoni sixes", " ", "not json"), ("4", "kohli sixes", None, "null")],
+        "id string, question_text string, answer_text string, response_json string",
+    )
+    asked = spark.createDataFrame(
+        [("a", "what is  THE"), ("b", "sixes of Rohit Sharma"), ("c", "dhoni sixes"), ("d", "kohli sixes"), ("e", "the is what"), ("f", "???")],
+        "question_id string, text string",
+    )
+    assert {r.question_id: r.cached_id for r in ve.exact_hits(asked, cache).collect()} == {"a": "1", "b": "2"}
+    # the same words in another order are at distance 0 and similar as texts
+    assert {r.question_id: r.cached_id for r in ve.near_hits(asked, cache).collect()} == {"a": "1", "b": "2", "e": "1"}
+
+
+def test_nearest_question_is_chosen_before_its_test(spark):
+    near, far = "virat kohli average in odi cricket", "virat kohli averge in odi cricket now"
+    asked = spark.createDataFrame([("a", "virat kohli average in odi cricket now")], "question_id string, text string")
+    cached = lambda *texts: spark.createDataFrame([(str(i), t, "x") for i, t in enumerate(texts)], "id string, question_text string, answer_text string")
+    assert [r.cached_id for r in ve.near_hits(asked, cached(far), 0.25).collect()] == ["0"]
+    assert ve.near_hits(asked, cached(far, near), 0.25).collect() == []
+
+
 def test_numbering_equals_the_plain_window(spark):
     rows = spark.createDataFrame([(k, s, o) for k in range(3) for s in range(4) for o in range(5)], "k int, s int, o int")
     got = numbered(rows, ["k"], "s", ["o"], "n").collect()

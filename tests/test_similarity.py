@@ -137,3 +137,13 @@ def test_external_names(spark):
     queries = spark.createDataFrame([(1, "Virat Kohly"), (2, "zzzz")], "query_id int, text string")
     got = se.external_match(queries, aliases(spark)).collect()
     assert [(r.query_id, r.external_name, r.shown_name) for r in got] == [(1, "virat kohli", "virat kohli")]
+
+
+def test_every_question_has_a_row(spark):
+    knowledge = spark.createDataFrame([("lbw", "", "LBW", ["lbw"], ["pad"])], "id string, sub_intent string, title string, aliases array<string>, keywords array<string>")
+    asked = spark.createDataFrame([(1, "what is lbw", ""), (2, "nonsense zzz", ""), (3, None, None)], "question_id int, text string, sub_intent string")
+    got = {r.question_id: (r.id, r.found, r.score > 0) for r in se.lookup_knowledge(asked, knowledge, every=True).collect()}
+    assert got == {1: ("lbw", True, True), 2: (None, False, False), 3: (None, False, False)}
+    queries = spark.createDataFrame([(1, "Virat Kohly"), (2, "zzzz"), (3, None)], "query_id int, text string")
+    got = {r.query_id: (r.external_name, r.shown_name, r.found) for r in se.external_match(queries, aliases(spark), every=True).collect()}
+    assert got == {1: ("virat kohli", "virat kohli", True), 2: (None, "zzzz", False), 3: (None, "", False)}

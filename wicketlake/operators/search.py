@@ -403,10 +403,13 @@ def _knowledge_scores(entry: dict, questions: list, topics: list) -> np.ndarray:
     return out
 
 
-def lookup_knowledge(questions: DataFrame, knowledge: DataFrame, limit: int = 5, bound: int = 2000) -> DataFrame:
+def lookup_knowledge(
+    questions: DataFrame, knowledge: DataFrame, limit: int = 5, bound: int = 2000, every: bool = False
+) -> DataFrame:
     """Best knowledge entries per question: (``question_id``, ``id``, ``score``, ``place``).
 
-    ``questions`` is (``question_id``, ``text``, ``sub_intent``). Equal questions are scored once.
+    ``questions`` is (``question_id``, ``text``, ``sub_intent``). Equal questions are scored once. With ``every``
+    a question without an entry has a row of score 0 and no id, and ``found`` tells them apart.
     """
     entries = knowledge.select(
         "id",
@@ -444,21 +447,29 @@ def lookup_knowledge(questions: DataFrame, knowledge: DataFrame, limit: int = 5,
     titled = scored.join(knowledge.select("id", F.col("title").alias("_title")), "id")
     w = Window.partitionBy("q", "topic").orderBy(F.desc("score"), "_title", "id")
     best = titled.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    if every:
+        return asked.join(best, ["q", "topic"], "left").select(
+            "question_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"), "place", F.col("place").isNotNull().alias("found")
+        )
     return asked.join(best, ["q", "topic"]).select("question_id", "id", "score", "place")
 
 
-def external_match(queries: DataFrame, names: DataFrame, least: float = EXTERNAL_SCORE) -> DataFrame:
-    """The most similar external name per query, when similar enough; shown instead when very similar."""
+def external_match(queries: DataFrame, names: DataFrame, least: float = EXTERNAL_SCORE, every: bool = False) -> DataFrame:
+    """The most similar external name per query, when similar enough; shown instead when very similar.
+
+    With ``every`` a query without such a name has a row that shows the query itself, and ``found`` tells them apart.
+    """
     pairs = similar_names(queries, names, least)
     best = pairs.groupBy("q").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "a")).alias("b"))
     return (
         queries.select("query_id", normalize_text("text").alias("q"))
-        .join(best, "q")
+        .join(best, "q", "left" if every else "inner")
         .select(
             "query_id",
             F.col("b.a").alias("external_name"),
             F.round(-F.col("b.s"), 6).alias("score"),
             F.when(-F.col("b.s") >= PREFERRED_SCORE, F.col("b.a")).otherwise(F.col("q")).alias("shown_name"),
+            *([F.col("b").isNotNull().alias("found")] if every else []),
         )
     )
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wicketlake.functions.text import cache_document
+from wicketlake.functions.text import cache_document, normalize_text
 from wicketlake.operators.blocks import compare_blocks
 from wicketlake.operators.search import compatible, pair_similarity
 
@@ -60,14 +60,14 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
 def similar_documents(left: DataFrame, right: DataFrame, max_distance: float = MAX_CACHE_DISTANCE) -> DataFrame:
     """Pairs of distinct word-bag documents within a cosine distance: (``l_doc``, ``r_doc``, ``distance``).
 
-    A document is its distinct words in one string. Bags that are close share most words, so they
+    A document is words in one string, of which repeated ones count once. Bags that are close share most words, so they
     share one of their rarest few: only those are joined on, and the pairs are then verified. A
     word that is in most documents is in hardly any prefix, so no group of the join is hot.
     """
     t2 = (1.0 - max_distance) ** 2
     l = left.select(F.col("document").alias("doc")).filter("doc != ''").distinct().withColumn("side", F.lit("l"))
     r = right.select(F.col("document").alias("doc")).filter("doc != ''").distinct().withColumn("side", F.lit("r"))
-    both = l.unionByName(r).withColumn("words", F.split("doc", " ")).withColumn("n", F.size("words"))
+    both = l.unionByName(r).withColumn("words", F.array_distinct(F.split("doc", " "))).withColumn("n", F.size("words"))
     words = both.select("side", "doc", "n", F.explode("words").alias("word"))
     often = words.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
     # Bags of n words at cosine distance d share at least (1 - d)^2 * n of them.
@@ -90,33 +90,50 @@ def similar_documents(left: DataFrame, right: DataFrame, max_distance: float = M
     return candidates.select("l_doc", "r_doc", distance.alias("distance")).filter(F.col("distance") < max_distance)
 
 
+def question_document(text: str) -> Column:
+    """Bag of the meaningful words of a question, or its normalised text where it has none."""
+    bag = cache_document(text)
+    return F.when(bag != "", bag).otherwise(normalize_text(text))
+
+
+def answered(cache: DataFrame) -> DataFrame:
+    """Entries with an answer text or, where there is a column ``response_json``, with a stored response."""
+    has_answer = F.coalesce(F.trim("answer_text"), F.lit("")) != ""
+    if "response_json" in cache.columns:
+        response = F.to_json(F.try_parse_json("response_json"))
+        has_answer = has_answer | F.coalesce(~response.isin("null", "false", "0", '""'), F.lit(False))
+    return cache.filter(has_answer)
+
+
 def exact_hits(questions: DataFrame, cache: DataFrame) -> DataFrame:
-    """Cached entry with the same word bag; the smallest id when several match.
+    """Cached entry with the same document (word bag, else text); the smallest id when several match.
 
-    ``questions`` is (``question_id``, ``text``), ``cache`` is (``id``, ``question_text``, ``answer_text``).
+    ``questions`` is (``question_id``, ``text``), ``cache`` is (``id``, ``question_text``, ``answer_text``) and
+    may have ``response_json``.
     """
     entries = (
-        cache.filter("coalesce(trim(answer_text), '') != ''")
-        .select("id", cache_document("question_text").alias("document"))
+        answered(cache)
+        .select("id", question_document("question_text").alias("document"))
         .filter("document != ''")
         .groupBy("document")
         .agg(F.min("id").alias("cached_id"))
     )
-    asked = questions.select("question_id", cache_document("text").alias("document"))
+    asked = questions.select("question_id", question_document("text").alias("document"))
     return asked.join(entries, "document").select("question_id", "cached_id")
 
 
 def near_hits(questions: DataFrame, cache: DataFrame, max_distance: float = MAX_CACHE_DISTANCE) -> DataFrame:
-    """Nearest cached entry within the distance whose question is compatible.
+    """Nearest cached entry within the distance, of equals the smallest id, if its question is compatible.
 
-    An entry with the same word bag is at distance 0 and compatible, so only the questions without
-    one are compared by words; those must be very similar as texts too.
+    An entry with the same document is at distance 0 and compatible, so only the questions without
+    one are compared by words; those must be very similar as texts too. Farther entries don't step in
+    for a nearest one that is not compatible.
     """
-    asked = questions.select("question_id", "text", cache_document("text").alias("l_doc"))
+    asked = questions.select("question_id", "text", question_document("text").alias("l_doc"))
     # One entry per document and text; equal texts behave equally.
     entries = (
-        cache.filter("coalesce(trim(answer_text), '') != ''")
-        .select("id", "question_text", cache_document("question_text").alias("r_doc"))
+        answered(cache)
+        .select("id", "question_text", question_document("question_text").alias("r_doc"))
         .groupBy("r_doc", "question_text")
         .agg(F.min("id").alias("cached_id"))
     )
@@ -126,11 +143,13 @@ def near_hits(questions: DataFrame, cache: DataFrame, max_distance: float = MAX_
     docs = similar_documents(
         texts.select(F.col("l_doc").alias("document")), entries.select(F.col("r_doc").alias("document")), max_distance
     )
-    pairs = pair_similarity(docs.join(texts, "l_doc").join(entries, "r_doc"), "text", "question_text", "similarity")
-    best = (
-        pairs.filter(compatible(F.col("similarity"), "text", "question_text", "l_doc", "r_doc"))
-        .groupBy("l_doc", "text")
-        .agg(F.min(F.struct("distance", "cached_id")).alias("b"))
+    nearest = (
+        docs.join(entries, "r_doc")
+        .groupBy("l_doc")
+        .agg(F.min(F.struct("distance", "cached_id", "r_doc", "question_text")).alias("b"))
+        .select("l_doc", "b.*")
     )
-    fuzzy = asked.join(best, ["l_doc", "text"]).select("question_id", "b.cached_id", "b.distance")
+    pairs = pair_similarity(texts.join(nearest, "l_doc"), "text", "question_text", "similarity")
+    best = pairs.filter(compatible(F.col("similarity"), "text", "question_text", "l_doc", "r_doc"))
+    fuzzy = asked.join(best, ["l_doc", "text"]).select("question_id", "cached_id", "distance")
     return direct.unionByName(fuzzy)

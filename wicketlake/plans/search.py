@@ -128,7 +128,7 @@ def entity_resolution(spark, sf_dir):
 @register("external_names")
 def external_names(spark, sf_dir):
     names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_type").alias("alias")).distinct()
-    return se.external_match(typed_names(spark, sf_dir), names)
+    return se.external_match(typed_names(spark, sf_dir), names, every=True)
 
 
 _VECTORS = "SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings"
@@ -227,7 +227,7 @@ def knowledge_lookup(spark, sf_dir):
         F.concat(F.lit("what is "), F.expr(TYPED), F.lit(" "), "p_type").alias("text"),
         F.col("p_type").alias("sub_intent"),
     )
-    return se.lookup_knowledge(asked, entries, 3)
+    return se.lookup_knowledge(asked, entries, 3, every=True)
 
 
 @register(
