@@ -4,7 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wicketlake.llm import ann_forest, common, embedding_dedup, language_id, licenses, mixing, secret_rules, sentencepiece_codec, simhash, token_counts, url_filters
+from wicketlake.llm import (
+    ann_forest,
+    centroids,
+    checks,
+    common,
+    embedding_dedup,
+    language_id,
+    licenses,
+    merkle,
+    mixing,
+    secret_rules,
+    sentencepiece_codec,
+    sharding,
+    simhash,
+    token_counts,
+    url_filters,
+)
 from wicketlake.plans.registry import Entry
 
 ENTRIES: dict[str, Entry] = {}
@@ -128,3 +144,21 @@ def op7(spark, sf_dir):
 def op8(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return ann_forest.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
+@query("op11_merkle_manifest", checks.OP11)
+def op11(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*merkle.FIELDS)
+    return merkle.merkle_manifest(docs, fanout=16, every=5)
+
+
+@query("op12_histogram_shards", checks.OP12)
+def op12(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return sharding.shard_documents(docs, shards=24)
+
+
+@query("op13_centroid_clusters", checks.OP13)
+def op13(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return centroids.clusters(vectors, k=16, rounds=3)
