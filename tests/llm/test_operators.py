@@ -22,6 +22,7 @@ from wicketlake.llm import (
     language_id,
     licenses,
     mixing,
+    near_copies,
     secret_rules,
     sentencepiece_codec,
     simhash,
@@ -112,8 +113,6 @@ def test_simhash_groups(spark, docs, none):
             assert r["fingerprint"] % 2**64 == whole[r["doc_id"]]
     groups = {r["doc_id"]: r["component_id"] for r in got}
     assert groups[0] == groups[1] == groups[2] == groups[3] == 0 and groups[6] == 5
-    kept = [r["doc_id"] for r in simhash.keep_one_of_each(docs).collect()]
-    assert kept.count(5) == 1 and 6 not in kept and 1 not in kept and None in kept
     assert simhash.simhash_components(none).collect() == []
 
 
@@ -172,12 +171,39 @@ def test_near_copies(spark, docs, none):
     texts += [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(100)]
     want = plain_copies(texts)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
-    for options in ({}, {"shard": 40, "block": 16, "leaders": 2}):
-        got = {r["doc_id"]: r["component_id"] for r in simhash.copy_components(frame, **options).collect()}
+    for options in ({}, {"block": 16, "rows": 50, "share": 0.5}):
+        found = near_copies.copy_components(frame, **options).collect()
+        least = {}
+        for r in found:
+            least[r["component"]] = min(r["doc_id"], least.get(r["component"], r["doc_id"]))
+        got = {r["doc_id"]: least[r["component"]] for r in found}
         assert [got[i] for i in range(len(texts))] == want
-    assert {r["doc_id"] for r in simhash.keep_one_of_each(frame).collect()} == set(want)
-    assert simhash.copy_components(docs).count() == len(TEXTS) + 1  # the row without an id is not compared
-    assert simhash.copy_components(none).collect() == [] and simhash.keep_one_of_each(none).collect() == []
+    assert {r["doc_id"] for r in near_copies.keep_one_of_each(frame).collect()} == set(want)
+    kept = [r["doc_id"] for r in near_copies.keep_one_of_each(docs).collect()]
+    assert kept.count(5) == 1 and 6 not in kept and 1 not in kept and None in kept
+    assert near_copies.copy_components(none).collect() == [] and near_copies.keep_one_of_each(none).collect() == []
+
+
+def test_near_copies_tell_rows_apart(spark):
+    a, b = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "y"), (7, b, "z"), (None, b, "x"), (None, "alone at last here", "x"), (None, "alone at last here", "x")]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, _gone string")
+    kept = sorted(near_copies.keep_one_of_each(frame).collect(), key=str)
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == [(0, "alone at last here"), (3, a), (7, b)]
+    assert near_copies.keep_one_of_each(frame).columns == frame.columns
+
+
+@pytest.mark.parametrize("size", [32, 40, 100, 1000])
+def test_fingerprints_of_sets_at_the_limit_are_within_reach(size):
+    random, most = np.random.default_rng(size), 0
+    for _ in range(1000):
+        both = random.integers(0, 2**63, size=size + size // 9, dtype=np.uint64)
+        left, right = both[:size], both[size // 9 :]
+        bits = 0
+        for f in (lambda h: h, near_copies.remixed):
+            bits += ((simhash.majority(f(left)) ^ simhash.majority(f(right))) % 2**64).bit_count()
+        most = max(most, bits)
+    assert most <= near_copies.reach(0.8, 128) - 3
 
 
 def test_components_of_a_long_chain(spark):

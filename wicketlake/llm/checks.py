@@ -117,3 +117,34 @@ SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAS
        CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(z, ',')) AS centroid_sha256
 FROM near3 JOIN kept USING (n) JOIN centroids3 USING (c)
 """
+
+# levels: caps in order of cap by weight; the first source above its part at its level sets the level of the rest.
+OP9 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS n, doc_id, source, md5(coalesce(text, '')) AS mark,
+         CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         coalesce(0.1 + 0.9 * (1 - length(regexp_replace(text, '[\p{L}\p{M} ]+', '', 'g')) / greatest(length(text), 1)), 0.1) AS quality
+  FROM documents
+), keys AS (
+  SELECT *, -ln((CAST(concat('0x', substr(md5(concat(coalesce(CAST(doc_id AS VARCHAR), ''), '|', mark, '|')), 1, 12)) AS BIGINT) + 1)
+                / 281474976710658.0) / CAST(quality AS DOUBLE) AS e FROM docs
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM docs GROUP BY source
+), caps AS (
+  SELECT *, 2.0 * source_size AS cap, row_number() OVER (ORDER BY 2.0 * source_size / w, source NULLS LAST) AS k FROM sizes
+), levels AS (
+  SELECT *, ((SELECT sum(source_size) FROM sizes) * 1.5 - coalesce(sum(cap) OVER before, 0))
+            / ((SELECT sum(w) FROM sizes) - coalesce(sum(w) OVER before, 0)) AS level
+  FROM caps WINDOW before AS (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), first_free AS (SELECT min(k) AS k, arg_min(level, k) AS level FROM levels WHERE level * w <= cap), goals AS (
+  SELECT l.source, l.source_size, CAST(CASE WHEN f.k IS NULL OR l.k < f.k THEN l.cap ELSE least(l.cap, f.level * l.w) END AS DOUBLE) AS target
+  FROM levels l LEFT JOIN first_free f ON true
+), sums AS (
+  SELECT keys.*, g.source_size, g.target, CASE WHEN g.source_size > 0 THEN CAST(floor(g.target / g.source_size) AS BIGINT) ELSE 0 END AS epochs,
+         sum(size) OVER (PARTITION BY keys.source ORDER BY e, doc_id, mark) AS upto
+  FROM keys JOIN goals g ON keys.source IS NOT DISTINCT FROM g.source
+)
+SELECT doc_id, size, source_size, target, CAST(size * (epochs + CASE WHEN epochs < 2 AND upto - size / 2.0 <= target - epochs * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM sums
+"""

@@ -19,8 +19,8 @@ def word_count(text: Column) -> Column:
 
 
 def letter_share(text: Column) -> Column:
-    """A document's quality weight, 0.1 to 1: the share of its characters that are ASCII letters or spaces."""
-    other = F.length(F.regexp_replace(text, r"[A-Za-z ]+", ""))
+    """A document's quality weight, 0.1 to 1: the share of its characters that are letters of any script or spaces."""
+    other = F.length(F.regexp_replace(text, r"[\p{L}\p{M} ]+", ""))
     share = 1 - other / F.greatest(F.length(text), F.lit(1))
     return F.coalesce(F.lit(0.1) + F.lit(0.9) * share, F.lit(0.1))
 
@@ -54,14 +54,23 @@ def targets(sources: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float
 
 
 def keyed(docs: DataFrame, size: str, quality: str, tie: Sequence[str], source: str, bins: int) -> DataFrame:
-    """``docs`` with _source, _size, _bin and _place; _place orders a source's documents, taken first first."""
+    """doc (all columns of ``docs``), _source, _size, _bin and _place; _place orders a source's documents, taken first first.
+
+    The order is that of the exponential -ln(u) / quality. Bins are steps of its logarithm, ``bins`` for each
+    doubling: a quality moves that distribution and does not change its shape, so that documents of one
+    quality, whatever it is, put less than 1 / ``bins`` of their number into a bin.
+    """
     digest = F.md5(F.concat_ws("|", *[F.coalesce(named(c).cast("string"), F.lit("")) for c in tie]))
     u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 1) / F.lit(float(2**48 + 2))
     weight = F.when(named(quality) > 0, named(quality).cast("double")).otherwise(F.lit(0.001))
-    d = docs.withColumn("_size", F.coalesce(named(size), F.lit(0)).cast("long")).withColumn("_source", named(source))
-    d = d.withColumn("_down", 1 - F.pow(u, F.lit(1.0) / weight))
-    d = d.withColumn("_bin", F.least(F.floor(F.col("_down") * bins), F.lit(bins - 1)).cast("int"))
-    return d.withColumn("_place", F.struct("_down", *[named(c).alias(f"t{i}") for i, c in enumerate(tie)])).drop("_down")
+    ties = [named(c).alias(f"t{i}") for i, c in enumerate(tie)]
+    d = docs.select(
+        F.struct(*[named(c) for c in docs.columns]).alias("doc"),
+        named(source).alias("_source"),
+        F.coalesce(named(size), F.lit(0)).cast("long").alias("_size"),
+        F.struct((-F.log(u) / weight).alias("e"), *ties).alias("_place"),
+    )
+    return d.withColumn("_bin", F.floor(F.log2("_place.e") * bins).cast("int"))
 
 
 def decisions(rows: DataFrame, weights: Sequence[int], share: float) -> DataFrame:
@@ -109,12 +118,13 @@ def mix(
     The order within a source is never one group: sizes are summed by (source, bin of keys) first, and only
     the documents of each source's bin at the boundary are sorted. What is decided is one row per source.
     Sizes are whole numbers >= 0 (null: 0); a document of size 0 has taken 0. A quality that is null or not
-    above 0 counts as 0.001. Rows equal in all of ``tie`` are taken or left together. A null source is a
-    source. Input columns with the names of new ones are replaced; an empty table gives no rows.
+    above 0 counts as 0.001. Rows equal in all of ``tie`` are taken or left together, so give columns that
+    tell documents apart. A null source is a source. Input columns with the names of new ones are replaced;
+    an empty table gives no rows.
     """
     new = ("source_size", "target", "taken", "times")
     kept = [c for c in docs.columns if c not in new]
-    d = keyed(docs.select(*[named(c) for c in kept]), size, quality, tie, source, bins)
+    d = keyed(docs, size, quality, tie, source, bins)
     rows = checkpointed(d.select("_source", "_size", "_bin", "_place"))
     plan = written(decisions(rows, weights, share), "mix")
     out = d.join(plan, F.col("_source").eqNullSafe(F.col("_of")))
@@ -122,7 +132,7 @@ def mix(
     extra = F.col("_cut_bin").isNull() | (F.col("_bin") < F.col("_cut_bin")) | in_edge
     times = F.col("_epochs") + F.when(extra & (F.col("_epochs") < 2), 1).otherwise(0)
     return out.select(
-        *[named(c) for c in kept],
+        *[F.col("doc").getField(c).alias(c) for c in kept],
         "source_size",
         "target",
         (times * F.col("_size")).alias("taken"),
@@ -132,5 +142,7 @@ def mix(
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: each document as many times as it is taken."""
-    taken = mix(docs, **options)
-    return taken.where("times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("_copy")
+    taken = mix(docs, **options).where("times > 0")
+    copies = F.explode(F.sequence(F.lit(1), F.col("times")))
+    rows = taken.select(F.struct(*[named(c) for c in taken.columns]).alias("doc"), copies.alias("copy"))
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in taken.columns])

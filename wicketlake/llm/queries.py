@@ -74,15 +74,17 @@ def op2(spark, sf_dir):
     return found.select("doc_id", simhash.hex_digits(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
-@query("op9_source_mix")
+@query("op9_source_mix", checks.OP9)
 def op9(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    text, row = F.col("text"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
     narrow = common.checkpointed(
         docs.select(
-            "doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.letter_share(F.col("text")).alias("quality")
+            "doc_id", "source", F.md5(F.coalesce(text, F.lit(""))).alias("mark"), row.alias("row"),
+            mixing.word_count(text).alias("size"), mixing.letter_share(text).alias("quality"),
         )
-    )
-    mixed = mixing.mix(narrow, "size", "quality", ["doc_id"])
+    )
+    mixed = mixing.mix(narrow, "size", "quality", ["doc_id", "mark", "row"])
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -8,13 +8,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wicketlake.llm.common import checkpointed, in_blocks, named, text_groups, with_computed
 from wicketlake.llm.components import connected_components
-from wicketlake.session import written
 
 SMALL_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED = 42
@@ -37,9 +36,12 @@ def shingle_hashes(text: str, shingle: int) -> tuple[bytes, list[int]]:
 
 
 def majority(hashes: np.ndarray) -> int:
-    """Bits set in over half of the unsigned hashes, as a signed number."""
-    bits = np.unpackbits(hashes.astype(">u8").view(np.uint8)).reshape(len(hashes), 64)
-    return int(np.packbits(bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)).view(">i8")[0])
+    """Bits set in over half of the unsigned hashes, as a signed number; bits are unpacked in slices."""
+    total = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 14):
+        part = hashes[at : at + (1 << 14)].astype(">u8")
+        total += np.unpackbits(part.view(np.uint8)).reshape(len(part), 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(hashes)).view(">i8")[0])
 
 
 def fingerprint(text: str, shingle: int) -> int:
@@ -200,205 +202,3 @@ def simhash_components(
     return rows.join(component, "fp").select(
         F.col("doc_id").alias(doc_id), F.col("fp").alias("fingerprint"), "component_id"
     )
-
-
-def reach(similarity: float, bits: int, spread: float = 3.5) -> int:
-    """The number of differing bits up to which fingerprints of sets of a Jaccard similarity are looked at.
-
-    A bit differs with the share of the angle between the sets in half a turn; ``spread`` standard
-    deviations are added to the mean.
-    """
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(bits * share + spread * math.sqrt(bits * share * (1 - share)))
-
-
-def remixed(hashes: np.ndarray) -> np.ndarray:
-    """A second hash of each hash, for the second half of a wide fingerprint."""
-    h = hashes ^ (hashes >> np.uint64(29))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-
-
-def with_profiles(docs: DataFrame, shingle: int, text: str, keep: list[str], listed: bool = False) -> DataFrame:
-    """``keep`` with words (binary, a 128-bit digest of the word sequence) and, of the set of shingles, n (its
-    size), f0 and f1 (fingerprints of its hashes and of second hashes), or where ``listed`` its sorted hashes."""
-    fields = [T.StructField("words", T.BinaryType())]
-    if listed:
-        fields.append(T.StructField("hashes", T.ArrayType(T.LongType())))
-    else:
-        fields += [T.StructField(c, T.LongType()) for c in ("n", "f0", "f1")]
-
-    def start():
-        def step(texts):
-            made: list[list] = [[] for _ in fields]
-            for _, group in text_groups(texts):
-                for one in group:
-                    line, hashes = shingle_hashes(one, shingle)
-                    kinds = np.unique(np.array(hashes, dtype=np.uint64))
-                    made[0].append(xxhash.xxh3_128_digest(line))
-                    if listed:
-                        made[1].append(kinds.view(np.int64))
-                    else:
-                        made[1].append(len(kinds))
-                        made[2].append(majority(kinds) if hashes else 0)
-                        made[3].append(majority(remixed(kinds)) if hashes else 0)
-            types = [pa.binary(), pa.list_(pa.int64())] if listed else [pa.binary()] + [pa.int64()] * 3
-            return [pa.array(column, t) for column, t in zip(made, types)]
-
-        return step
-
-    return with_computed(docs, [text], fields, start, keep)
-
-
-def close_profiles(classes: DataFrame, similarity: float, shard: int) -> DataFrame:
-    """Links (a, b) of word sequences whose wide fingerprints lie within reach, enough to connect all of them.
-
-    Similar sets have similar sizes, so shards are bands of sizes as wide as the similarity allows, and a
-    set asks its own band and the next one for sets not smaller than itself. A shard is dealt out in blocks.
-    In a block a vantage-point tree finds the pairs near in the first half; the second half confirms them.
-    """
-    near, wide = reach(similarity, 64), reach(similarity, 128)
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(similarity))
-    points = classes.select("words", "n", "f0", "f1", band.alias("band"))
-    queries = classes.select(
-        F.col("words").alias("asked"), "n", "f0", "f1", F.explode(F.array(band, band + 1)).alias("band")
-    )
-    points, queries, by = in_blocks(points, queries, ["band"], shard, "words", "asked")
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        side = lambda df: [df[c].to_numpy(np.int64).view(np.uint64) for c in ("f0", "f1")] + [df["n"].to_numpy(np.int64)]
-        (p0, p1, pn), (q0, q1, qn) = side(left), side(right)
-        names, code = np.unique(pd.concat([left["words"], right["asked"]]).to_numpy(object), return_inverse=True)
-        p, q = code[: len(left)], code[len(left) :]
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        held = 0
-        for i, j in vantage_pairs(p0, q0, near):
-            bits = np.bitwise_count(q0[i] ^ p0[j]).astype(np.int16) + np.bitwise_count(q1[i] ^ p1[j])
-            fit = (bits <= wide) & (qn[i] <= pn[j]) & (qn[i] >= similarity * pn[j] - 1e-9) & (q[i] != p[j])
-            a.append(q[i[fit]])
-            b.append(p[j[fit]])
-            held += len(a[-1])
-            if held > 1 << 20:  # a crowd of copies: what connects them is enough
-                x, y = forest_of(np.concatenate(a), np.concatenate(b))
-                a, b, held = [x], [y], 0
-        x, y = forest_of(np.concatenate(a), np.concatenate(b))
-        return pd.DataFrame({"a": names[x], "b": names[y]})
-
-    return points.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(search, "a binary, b binary")
-
-
-def similar_links(members: DataFrame, asking: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Links (a, b) of at least this Jaccard similarity between word sequences of one crowd, one of each side
-    (both: crowd, words, f0, f1, hashes), enough to connect what all such links within reach connect.
-
-    Pairs are taken in order of their differing bits; a pair that earlier links connect needs no check.
-    """
-    wide = reach(similarity, 128)
-    queries = asking.withColumnRenamed("words", "asked")
-    points, queries, by = in_blocks(members, queries, ["crowd"], block, "words", "asked")
-
-    def confirm(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        both = pd.concat([left, right.rename(columns={"asked": "words"})]).drop_duplicates("words", ignore_index=True)
-        place = {w: i for i, w in enumerate(both["words"])}
-        p = np.array([place[w] for w in left["words"]])
-        q = np.array([place[w] for w in right["asked"]])
-        f = [both[c].to_numpy(np.int64).view(np.uint64) for c in ("f0", "f1")]
-        sets = [np.asarray(h, dtype=np.int64) for h in both["hashes"]]
-        sizes = np.array([len(h) for h in sets])
-        bits = sum(np.bitwise_count(one[q][:, None] ^ one[p][None, :]).astype(np.int16) for one in f)
-        low = np.minimum(sizes[q][:, None], sizes[p][None, :])
-        high = np.maximum(sizes[q][:, None], sizes[p][None, :])
-        i, j = np.nonzero((bits <= wide) & (low >= similarity * high - 1e-9) & (q[:, None] != p[None, :]))
-        order = np.argsort(bits[i, j], kind="stable")
-        root = list(range(len(both)))
-
-        def find(x):
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        links, checked = [], set()
-        for a, b in zip(q[i[order]].tolist(), p[j[order]].tolist()):
-            x, y = find(a), find(b)
-            if x == y or (b, a) in checked:  # a failed pair comes again from its other side
-                continue
-            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if common >= similarity * (len(sets[a]) + len(sets[b]) - common) - 1e-9:
-                root[x] = y
-                links.append((both["words"][a], both["words"][b]))
-            else:
-                checked.add((a, b))
-        return pd.DataFrame(links, columns=["a", "b"])
-
-    return points.groupBy(*by).cogroup(queries.groupBy(*by)).applyInPandas(confirm, "a binary, b binary")
-
-
-def crowd_links(members: DataFrame, similarity: float, block: int, leaders: int) -> DataFrame:
-    """Links (a, b) that connect what all links of ``members`` within a crowd connect.
-
-    First all meet a few leaders of their crowd, the first by digest. Where that leaves a larger crowd in
-    parts, all of it meets what lies outside its largest part. So a crowd of copies of any size is sent
-    about twice, not once for every block of it.
-    """
-    order = Window.partitionBy("crowd").orderBy("words")
-    leading = members.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= leaders).drop("_n")
-    first = checkpointed(similar_links(members, leading, similarity, block))
-    parts = connected_components(first).withColumnRenamed("node", "words")
-    held = members.select("crowd", "words").join(parts, "words", "left").withColumn("root", F.coalesce("root", "words"))
-    held = checkpointed(held)
-    sizes = held.groupBy("crowd", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("crowd").agg(F.sum("n").alias("all"), F.max(F.struct("n", "root")).alias("one"))
-    outside = held.join(largest.where(F.col("all") > leaders), "crowd").where(F.col("root") != F.col("one.root"))
-    second = similar_links(members, members.join(outside.select("words"), "words", "left_semi"), similarity, block)
-    return first.unionByName(second)
-
-
-def copy_components(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, shard: int = 16384, block: int = 512,
-    leaders: int = 32, doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs`` that has an id: near copies by word shingles.
-
-    Texts are linked if the sets of their shingles have at least this Jaccard similarity; lower-cased A-Z,
-    words between ASCII white space, a text of fewer words than a shingle is one shingle. Candidates are
-    pairs whose 128-bit fingerprints lie within ``reach`` (a pair at exactly the similarity is missed about
-    once in two thousand), each confirmed on the whole sets. component_id is the smallest doc_id that links
-    reach. Equal word sequences meet once; null texts and texts without words are copies of each other.
-    Repeated rows repeat; an empty table gives no rows.
-    """
-    source = docs.where(named(doc_id).isNotNull()).select(named(doc_id).alias("doc_id"), named(text).alias("text"))
-    rows = checkpointed(with_profiles(source, shingle, "text", ["doc_id"]))
-    classes = checkpointed(rows.groupBy("words", "n", "f0", "f1").agg(F.min("doc_id").alias("least")))
-    crowds = connected_components(close_profiles(classes, similarity, shard))
-    crowds = checkpointed(crowds.select(F.col("node").alias("words"), F.col("root").alias("crowd")))
-    members = classes.join(crowds, "words")
-    # written, so that the planner knows the size of the ids and need not move texts where they are few
-    wanted = written(members.select(F.col("least").alias("doc_id")).distinct(), "candidates")
-    texts = source.join(wanted, "doc_id", "left_semi")
-    sets = with_profiles(texts, shingle, "text", [], listed=True)
-    members = sets.join(members.select("words", "crowd", "f0", "f1"), "words").dropDuplicates(["words"])
-    links = crowd_links(checkpointed(members), similarity, block, leaders)
-    roots = connected_components(links).withColumnRenamed("node", "words")
-    placed = classes.join(roots, "words", "left").withColumn("root", F.coalesce("root", "words"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = placed.join(smallest, "root").select("words", "component_id")
-    return rows.join(component, "words").select(F.col("doc_id").alias(doc_id), "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` without near copies: of each component the document of the smallest doc_id stays.
-
-    Options are those of ``copy_components``. Of rows that share an id one stays, the first by text. Rows
-    without an id stay.
-    """
-    parts = copy_components(docs, doc_id=doc_id, text=text, **options)
-    own = F.max(named(doc_id) == F.col("component_id"))
-    ids = parts.groupBy(named(doc_id)).agg(F.count("*").alias("_rows"), own.alias("_own")).where("_own")
-    ids = written(ids.select(named(doc_id), "_rows"), "kept")
-    once = docs.join(ids.where("_rows = 1"), doc_id, "left_semi")
-    repeated = docs.join(ids.where("_rows > 1"), doc_id, "left_semi").groupBy(named(doc_id)).agg(
-        F.min_by(F.struct(*[named(c) for c in docs.columns]), F.coalesce(named(text), F.lit(""))).alias("one")
-    )
-    columns = [named(c) for c in docs.columns]
-    return once.select(*columns).unionByName(repeated.select("one.*")).unionByName(docs.where(named(doc_id).isNull()))
