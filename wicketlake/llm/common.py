@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 from collections.abc import Callable, Sequence
 from types import ModuleType
@@ -34,6 +36,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Return memory that a worker no longer uses: Spark keeps workers for later tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_computed(
     df: DataFrame,
     inputs: Sequence[str],
@@ -58,6 +67,8 @@ def with_computed(
         for batch in batches:
             made = step(*[batch.column(read.index(c)) for c in inputs])
             yield pa.RecordBatch.from_arrays([batch.column(read.index(c)) for c in kept] + list(made), names=names)
+            del batch, made
+            give_back()
 
     return df.select(*[named(c) for c in read]).mapInArrow(run, schema)
 

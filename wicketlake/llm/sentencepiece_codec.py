@@ -33,7 +33,7 @@ class PieceBpe:
     A token is the id of its piece; a character that is no piece is -1 - its code point.
     """
 
-    def __init__(self, path: str, remembered: int = 150_000):
+    def __init__(self, path: str, remembered: int = 60_000):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.normalize = model.normalize
         self.end_id, self.unknown_id = model.eos_id(), model.unk_id()
