@@ -1,12 +1,14 @@
-"""Edit distance and similarity against plain definitions; blocks both ways."""
+"""Edit distance, similarity and candidate joins against plain definitions."""
 
 import itertools
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from wicketlake.functions import similarity as sim
+from wicketlake.operators import candidates as ca
 from wicketlake.operators import search as se
 
 WORDS = st.text(alphabet="abcd ", max_size=9).map(lambda s: " ".join(s.split()))
@@ -34,16 +36,53 @@ def test_osa_examples():
     assert list(sim.osa_distances(["ab", "ca", "", "kitten"], ["ba", "abc", "xyz", "sitting"])) == [1, 3, 3, 3]
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(WORDS, min_size=1, max_size=6), st.lists(WORDS, min_size=1, max_size=6), st.sampled_from([0.3, 0.45, 0.72]))
-def test_no_similar_pair_is_lost(queries, names, least):
-    qi, ni, score = sim.similar_pairs(queries, names, least)
-    got = {(i, j): s for i, j, s in zip(qi, ni, score)}
-    every = list(itertools.product(range(len(queries)), range(len(names))))
-    full = sim.similarity_scores([queries[i] for i, _ in every], [names[j] for _, j in every])
-    wanted = {p: s for p, s in zip(every, full) if s >= least and queries[p[0]] and names[p[1]]}
-    assert set(got) == set(wanted)
-    assert all(0 <= s <= 1 and abs(s - wanted[p]) < 1e-12 for p, s in got.items())
+def typed(word):
+    """A word with a typing error or two."""
+    for _ in range(random.choice([0, 1, 1, 2])):
+        i = random.randrange(len(word) + 1)
+        word = random.choice([word[:i] + random.choice("abx") + word[i:], word[:i] + word[i + 1 :], word[:i] + word[i : i + 2][::-1] + word[i + 2 :]])
+    return word
+
+
+def odd_texts(seed, n):
+    random.seed(seed)
+    words = ["virat", "kohli", "rohit", "sharma", "singh", "ab", "de", "villiers", "williamson", "x", "steven", "abcdefghijklmnop"]
+    texts = [" ".join(typed(random.choice(words)) for _ in range(random.randint(1, 4))) for _ in range(n)]
+    return list(dict.fromkeys(" ".join(t.split()) for t in texts if t.split()))
+
+
+@pytest.mark.parametrize("least", [0.3, 0.45, 0.6249, 0.72])
+def test_no_similar_pair_is_lost(spark, least):
+    queries, names = odd_texts(1, 60), odd_texts(2, 150) + ["a", "ohl", "virat kohli rohit sharma"]
+    frame = lambda texts, name: spark.createDataFrame([(t,) for t in texts], f"{name} string")
+    every = list(itertools.product(queries, names))
+    full = sim.similarity_scores([q for q, _ in every], [a for _, a in every])
+    wanted = {p: s for p, s in zip(every, full) if s >= least - 1e-12}
+    got = {(r["q"], r["a"]): r["similarity"] for r in se.similar_names(frame(queries, "text"), frame(names, "alias"), least).collect()}
+    assert set(got) == set(wanted) and all(abs(s - wanted[p]) < 1e-12 for p, s in got.items())
+    # without edits only pairs are lost that are alike by edit distance of the whole alone
+    near = {(r["q"], r["a"]) for r in ca.alike(frame(queries, "q"), frame(names, "a"), least, edits=False).collect()}
+    assert near <= set(every) and all(1 - osa(q, a) / max(len(q), len(a)) >= least - 1e-9 for q, a in set(wanted) - near)
+
+
+def test_candidates_are_few_among_many_names(spark):
+    """Names of random words: hardly any pair shares a word, so hardly any pair may meet."""
+    random.seed(5)
+    word = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randint(5, 9)))
+    names = [f"{word()} {word()}" for _ in range(20_000)]
+    queries = [f"{typed(a.split()[0])} {a.split()[1]}" for a in names[:200]]
+    frame = lambda texts, name: spark.createDataFrame([(t,) for t in texts], f"{name} string")
+    met = ca.alike(frame(queries, "q"), frame(names, "a"), 0.45, edits=False).collect()
+    assert {(q, a) for q, a in zip(queries, names)} <= {(r["q"], r["a"]) for r in met}
+    assert len(met) <= 20 * len(queries)  # of 4,000,000 pairs
+
+
+def test_edit_pairs_in_blocks(spark):
+    texts = odd_texts(3, 80)
+    frame = lambda name: spark.createDataFrame([(t,) for t in texts], f"{name} string")
+    want = {(a, b) for a, b in itertools.product(texts, texts) if 1 - osa(a, b) / max(len(a), len(b)) >= 0.6}
+    for block in (4096, 9):
+        assert {tuple(r) for r in ca.edit_pairs(frame("q"), frame("a"), 0.6, block).collect()} == want
 
 
 def test_similarity_tiers():
@@ -63,13 +102,39 @@ def aliases(spark):
     return names.selectExpr("entity", "entity AS alias")
 
 
-def test_both_ways_of_comparing_agree(spark):
-    random.seed(7)
-    texts = NAMES + ["".join(random.choice("abcdefghij ") for _ in range(12)) for _ in range(20)]
-    queries = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
-    shipped = se.search_entities(queries, aliases(spark), None, bound=1000).collect()
-    blocked = se.search_entities(queries, aliases(spark), None, bound=5).collect()
-    assert sorted(map(tuple, shipped)) == sorted(map(tuple, blocked)) and shipped
+def test_equal_hits_go_by_strength(spark):
+    """A bare surname names the stronger player, not the first by name."""
+    names = spark.createDataFrame([("Anil Sharma", "Anil Sharma"), ("Rohit Sharma", "Rohit Sharma"), ("Zed Sharma", "Zed Sharma")], "entity string, alias string")
+    strength = spark.createDataFrame([("Anil Sharma", 10, 900), ("Rohit Sharma", 9000, 200), ("Zed Sharma", 9000, 300)], "entity string, first long, second long")
+    asked = spark.createDataFrame([(1, "sharma")], "query_id int, text string")
+    order = lambda rows: [r.entity for r in sorted(rows, key=lambda r: r.place)]
+    assert order(se.search_entities(asked, names, 3, strength=strength).collect()) == ["Zed Sharma", "Rohit Sharma", "Anil Sharma"]
+    assert order(se.search_page(asked, names, 1, 3, strength).collect()) == ["Zed Sharma", "Rohit Sharma", "Anil Sharma"]
+    assert se.resolve(asked, names, strength=strength).collect()[0].entity == "Zed Sharma"
+
+
+def test_own_score_of_a_candidate(spark):
+    asked = spark.createDataFrame([(1, "zzz", False)], "query_id int, text string, live_leaning boolean")
+    candidates = spark.createDataFrame([("Virat Kohli", "Virat Kohli", "vector", False), ("Joe Root", "Joe Root", "x", False)], "entity string, alias string, source string, is_active boolean")
+    own = spark.createDataFrame([(1, "Virat Kohli", 0.8), (1, "Joe Root", 0.3)], "query_id int, entity string, score double")
+    got = {r.entity: r.weighted_score for r in se.weighted_entities(asked, candidates, own=own).collect()}
+    assert got == {"Virat Kohli": 0.84, "Joe Root": 0.3}
+
+
+def test_leaning_to_live_matches(spark):
+    asked = spark.createDataFrame(
+        [(1, "virat kohli", True), (2, "root", True), (3, "new boy", True), (4, "virat kohli", False), (5, "the king", True), (6, "qqqq", True)],
+        "query_id int, text string, live_leaning boolean",
+    )
+    live = spark.createDataFrame([("Virat Kohli", True), ("New Boy", False)], "name string, is_active boolean")
+    manual = spark.createDataFrame([("the king", "Virat Kohli")], "alias_norm string, canonical string")
+    got = {r.query_id: r for r in se.resolve_leaning(asked, aliases(spark), live, manual=manual).collect()}
+    assert (got[1].status, got[1].entity, got[1].branch) == ("resolved", "Virat Kohli", "archive")
+    assert (got[1].score, got[4].score) == (2.63, 2.0)  # 1 + 1 + 0.18 + 0.45 live; plain: 1 + 1
+    assert (got[2].status, got[2].entity, got[2].branch) == ("resolved", "Joe Root", "archive")
+    assert (got[3].status, got[3].entity, got[3].branch) == ("resolved", "New Boy", "live")
+    assert (got[4].branch, got[5].branch, got[5].entity) == ("plain", "plain", "Virat Kohli")
+    assert (got[6].status, got[6].branch) == ("not_found", "plain")
 
 
 def test_search_order_and_scores(spark):
@@ -115,13 +180,13 @@ def test_knowledge_scores(spark):
     assert not [k for k in rows if k[0] == 2]
 
 
-def test_mentions_both_ways(spark):
+def test_mentions(spark):
     texts = spark.createDataFrame([(i, f"Player {i} of NATION_{i}") for i in range(30)], "text_id int, text string")
-    names = spark.createDataFrame([(f"NATION_{i}",) for i in range(30)] + [("nobody",)], "name string")
+    names = spark.createDataFrame([(f"NATION_{i}",) for i in range(30)] + [("nobody",), ("4",), ("of",), ("  ",), (None,)], "name string")
     a = sorted(map(tuple, se.entity_mentions(texts, names).collect()))
-    b = sorted(map(tuple, se.entity_mentions(texts, names, bound=4).collect()))
-    brute = sorted((str(i), f"NATION_{j}") for i in range(30) for j in range(30) if f"NATION_{j}" in f"Player {i} of NATION_{i}")
-    assert a == b == brute
+    known = [*(f"NATION_{j}" for j in range(30)), "4", "of"]
+    brute = sorted((str(i), name) for i in range(30) for name in known if name in f"Player {i} of NATION_{i}")
+    assert a == brute
 
 
 def test_second_page(spark):

@@ -21,6 +21,7 @@ _ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def _codes(strings):
+    """Letters as numbers from 1 (0 beyond the end), one row a string, and the lengths."""
     lengths = np.array([len(s) for s in strings], dtype=np.int32)
     width = int(lengths.max()) if len(lengths) else 0
     codes = np.zeros((len(strings), width), dtype=np.int32)
@@ -30,40 +31,78 @@ def _codes(strings):
     return codes, lengths
 
 
-def osa_distances(left, right, cells: int = 4_000_000):
-    """Optimal string alignment distance of each pair: edits and swaps of neighbours, each part edited once."""
-    out = np.zeros(len(left), dtype=np.int32)
-    if len(left) == 0:
-        return out
-    longest = max(max(len(s) for s in right) + 1, 1)
-    step = max(1, cells // longest)
-    for start in range(0, len(left), step):
-        out[start : start + step] = _osa_chunk(left[start : start + step], right[start : start + step])
-    return out
+def osa_distances(left, right):
+    """Optimal string alignment distance of each pair: edits and swaps of neighbours, each part edited once.
 
-
-def _osa_chunk(left, right):
-    a, la = _codes(left)
-    b, lb = _codes(right)
-    n, width = len(left), b.shape[1]
-    columns = np.arange(width + 1, dtype=np.int32)
-    before, above = None, np.tile(columns, (n, 1))
-    result = np.where(la == 0, lb, 0)
-    for i in range(1, a.shape[1] + 1):
-        row = np.empty((n, width + 1), dtype=np.int32)
-        row[:, 0] = i
-        differs = (a[:, i - 1 : i] != b).astype(np.int32)
-        row[:, 1:] = np.minimum(above[:, 1:] + 1, above[:, :-1] + differs)
-        if i > 1 and width > 1:
-            swapped = (a[:, i - 1 : i] == b[:, :-1]) & (a[:, i - 2 : i - 1] == b[:, 1:])
-            through = before[:, :-2] + differs[:, 1:]
-            row[:, 2:] = np.where(swapped, np.minimum(row[:, 2:], through), row[:, 2:])
-        # An insertion costs one per step to the right: running minimum of value minus position.
-        row = np.minimum.accumulate(row - columns, axis=1) + columns
-        ended = np.nonzero(la == i)[0]
-        result[ended] = row[ended, lb[ended]]
-        before, above = above, row
-    return result
+    Distinct pairs are aligned once. The shorter text is the pattern: a column of the alignment is two bit
+    vectors of one word for each letter of it, so that a letter of the other text costs a few operations for
+    all pairs at once. Patterns of more than 64 letters take several words.
+    """
+    if len(left) == 0:
+        return np.zeros(0, dtype=np.int32)
+    ordered = [(a, b) if len(a) <= len(b) else (b, a) for a, b in zip(left, right)]
+    distinct = {pair: n for n, pair in enumerate(dict.fromkeys(ordered))}
+    pairs, out = list(distinct), np.zeros(len(distinct), dtype=np.int32)
+    by_words = {}
+    for n, (a, _) in enumerate(pairs):
+        by_words.setdefault(max(1, -(-len(a) // 64)), []).append(n)
+    for words, group in by_words.items():
+        for start in range(0, len(group), 1 << 16):
+            part = group[start : start + (1 << 16)]
+            out[part] = _aligned([pairs[n][0] for n in part], [pairs[n][1] for n in part], words)
+    return out[[distinct[pair] for pair in ordered]]
+
+
+def _shifted(v, carry_in):
+    """``v`` moved up by one place over its words (first axis), with the lowest place from ``carry_in``."""
+    moved = v << np.uint64(1)
+    moved[1:] |= v[:-1] >> np.uint64(63)
+    moved[0] |= np.uint64(carry_in)
+    return moved
+
+
+def _sum(a, b):
+    """Sum of two numbers over their words, without the last carry."""
+    total = a + b
+    for w in range(1, len(a)):
+        total[w] += _carried(a[w - 1], b[w - 1], total[w - 1])
+    return total
+
+
+def _carried(a, b, total):
+    return ((a & b) | ((a | b) & ~total)) >> np.uint64(63)
+
+
+def _aligned(patterns, texts, words):
+    rows = {p: n for n, p in enumerate(dict.fromkeys(patterns))}
+    row = np.array([rows[p] for p in patterns])
+    a, la = _codes(list(rows))
+    b, lb = _codes(texts)
+    letters, code = np.unique(np.concatenate([[0], a.ravel(), b.ravel()]), return_inverse=True)
+    a, b = code[1 : 1 + a.size].reshape(a.shape), code[1 + a.size :].reshape(b.shape)
+    places = np.zeros((words, len(rows), len(letters)), dtype=np.uint64)  # where a pattern has a letter
+    for i in range(a.shape[1]):
+        inside = np.flatnonzero(la > i)
+        places[i // 64, inside, a[inside, i]] |= np.uint64(1) << np.uint64(i % 64)
+    la = la[row]
+    last = np.zeros((words, len(row)), dtype=np.uint64)
+    some = np.flatnonzero(la > 0)
+    last[(la[some] - 1) // 64, some] = np.uint64(1) << ((la[some] - 1) % 64).astype(np.uint64)
+    distance = la.astype(np.int32).copy()
+    down, up = np.full_like(last, ~np.uint64(0)), np.zeros_like(last)
+    diagonal, before = np.zeros_like(last), np.zeros_like(last)
+    for j in range(b.shape[1]):
+        here = places[:, row, b[:, j]]
+        swapped = _shifted(~diagonal & here, 0) & before
+        diagonal = (_sum(here & down, down) ^ down) | here | up | swapped
+        right_up, right_down = up | ~(diagonal | down), diagonal & down
+        inside = lb > j
+        distance += (inside & ((right_up & last) != 0).any(axis=0)).astype(np.int32)
+        distance -= (inside & ((right_down & last) != 0).any(axis=0)).astype(np.int32)
+        right_up = _shifted(right_up, 1)
+        down, up = _shifted(right_down, 0) | ~(diagonal | right_up), diagonal & right_up
+        before = here
+    return np.where(la == 0, lb, distance)
 
 
 def near_word_scores(left, right):
@@ -157,42 +196,34 @@ def similarity_scores(left, right, near=None, optimistic=False):
     return score
 
 
-def similar_pairs(queries, names, least: float):
-    """Index pairs that may reach ``least``, with their exact similarity.
+def edit_pairs(queries, names, least: float, cells: int = 1 << 22):
+    """Index pairs of non-empty texts whose edit distance leaves at least the share ``least`` of the longer one."""
+    pick_q, pick_n = [np.zeros(0, int)], [np.zeros(0, int)]
+    if not queries or not names:
+        return pick_q[0], pick_n[0]
+    name_counts, name_lengths = _counts(names).astype(np.int16), np.array([len(s) for s in names], dtype=np.int32)
+    query_counts = _counts(queries).astype(np.int16)
+    held = 0
+    waiting_q, waiting_n = [], []
+
+    def align():
+        qi, ni = np.concatenate(waiting_q), np.concatenate(waiting_n)
+        longest = np.maximum([len(queries[i]) for i in qi], name_lengths[ni])
+        near = 1 - osa_distances([queries[i] for i in qi], [names[i] for i in ni]) / longest >= least - 1e-12
+        pick_q.append(qi[near])
+        pick_n.append(ni[near])
 
-    A pair can reach it by a shared or near word, by containment, by being two edits apart, or by
-    edit distance for its length. The letters the two strings have in common bound the edits from
-    below, so only pairs within that bound are aligned. No pair that reaches ``least`` is lost.
-    """
-    words_of = {}
-    for i, s in enumerate(names):
-        for w in set(s.split()):
-            words_of.setdefault(w, []).append(i)
-    near = _near_words({w for q in queries for w in q.split()}, set(words_of))
-    name_counts = _counts(names)
-    name_lengths = np.array([len(s) for s in names], dtype=np.int32)
-    name_array = np.array(names, dtype=np.str_)
-    pick_q, pick_n = [], []
-    query_counts = _counts(queries)
     for qi, q in enumerate(queries):
         if not q:
             continue
         common = np.minimum(name_counts, query_counts[qi]).sum(axis=1)
-        longest = np.maximum(name_lengths, len(q))
-        wanted = common >= least * longest - 1e-9
-        wanted |= common >= longest - 2
-        wanted |= (common == len(q)) & (np.char.find(name_array, q) >= 0)
-        wanted |= (common == name_lengths) & (np.char.find(np.array(q), name_array) >= 0)
-        for w in set(q.split()):
-            for v in near.get(w, ()):
-                wanted[words_of[v]] = True
-        wanted &= name_lengths > 0
-        hits = np.nonzero(wanted)[0]
-        pick_q.append(np.full(len(hits), qi))
-        pick_n.append(hits)
-    if not pick_q:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    qi, ni = np.concatenate(pick_q), np.concatenate(pick_n)
-    score = similarity_scores([queries[i] for i in qi], [names[i] for i in ni], near)
-    kept = score >= min(least, 1.0) - 1e-12 if least > 0 else score >= 0
-    return qi[kept], ni[kept], score[kept]
+        hits = np.flatnonzero((common >= least * np.maximum(name_lengths, len(q)) - 1e-9) & (name_lengths > 0))
+        waiting_q.append(np.full(len(hits), qi))
+        waiting_n.append(hits)
+        held += len(hits)
+        if held > cells // 16:
+            align()
+            waiting_q, waiting_n, held = [], [], 0
+    if waiting_q:
+        align()
+    return np.concatenate(pick_q), np.concatenate(pick_n)

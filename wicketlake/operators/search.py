@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicketlake.functions import similarity as sim
 from wicketlake.functions.text import normalize_text, token_overlap, tokens
-from wicketlake.operators.blocks import compare_blocks
+from wicketlake.operators.candidates import alike, containment
+from wicketlake.session import written
 
 LEAST_SCORE = 0.45
 FOUND_SCORE = 0.55
@@ -105,33 +105,27 @@ def canonical_names(df: DataFrame, name: str, aliases: DataFrame) -> DataFrame:
     )
 
 
-def _similar(mine: pd.DataFrame, batch: pd.DataFrame, least: float) -> pd.DataFrame:
-    queries, names = mine["q"].tolist(), batch["a"].tolist()
-    qi, ni, score = sim.similar_pairs(queries, names, least)
-    return pd.DataFrame(
-        {"q": [queries[i] for i in qi], "a": [names[i] for i in ni], "similarity": score.astype("float64")}
-    )
-
-
-def similar_names(queries: DataFrame, names: DataFrame, least: float, bound: int = 2000) -> DataFrame:
-    """(``q``, ``a``, ``similarity``) for distinct normalised texts whose similarity reaches ``least``."""
-    left = queries.select(normalize_text("text").alias("q")).filter("q != ''").distinct()
-    right = names.select(normalize_text("alias").alias("a")).filter("a != ''").distinct()
+def similar_names(queries: DataFrame, names: DataFrame, least: float, edits: bool = True) -> DataFrame:
+    """(``q``, ``a``, ``similarity``) for distinct normalised texts whose similarity reaches ``least``.
 
-    def compare(mine, batch):
-        return _similar(mine, batch, least)
-
-    return compare_blocks(left, right, compare, "q string, a string, similarity double", bound)
+    Pairs alike by words, initials or containment meet in equality joins. With ``edits`` every query also meets
+    every name in blocks, since texts may be as similar by edit distance alone without agreeing in any part.
+    """
+    left = written(queries.select(normalize_text("text").alias("q")).filter("q != ''").distinct(), "queries")
+    right = written(names.select(normalize_text("alias").alias("a")).filter("a != ''").distinct(), "names")
+    scored = pair_similarity(alike(left, right, least, edits), "q", "a", "similarity", normalized=True)
+    return scored.filter(F.col("similarity") >= least - 1e-12)
 
 
-def pair_similarity(df: DataFrame, left: str, right: str, name: str) -> DataFrame:
-    """Adds the similarity of two text columns of each row."""
+def pair_similarity(df: DataFrame, left: str, right: str, name: str, normalized: bool = False) -> DataFrame:
+    """Adds the similarity of two text columns of each row; 0 where one has no text."""
 
     @F.pandas_udf("double")
     def score(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(sim.similarity_scores(a.tolist(), b.tolist()))
 
-    return df.withColumn(name, score(normalize_text(left), normalize_text(right)))
+    text = F.col if normalized else normalize_text
+    return df.withColumn(name, score(text(left), text(right)))
 
 
 def osa_distance(left, right) -> Column:
@@ -161,54 +155,75 @@ def search_score() -> Column:
     )
 
 
+def by_score(df: DataFrame, key: str, strength: DataFrame | None) -> DataFrame:
+    """Adds ``place`` within ``key``: best score first; of equal ones the entity with more of ``first``, then of
+    ``second`` (columns of ``strength``, one row an entity: runs and matches, or wins and matches), then by name."""
+    order = [F.desc("score"), F.col("entity")]
+    if strength is not None:
+        df = df.join(strength.select("entity", "first", "second"), "entity", "left")
+        order[1:1] = [F.coalesce("first", F.lit(0)).desc(), F.coalesce("second", F.lit(0)).desc()]
+    placed = df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+    return placed.drop("first", "second")
+
+
 def search_entities(
-    queries: DataFrame, aliases: DataFrame, limit: int | None = 20, least: float = LEAST_SCORE, bound: int = 2000
-) -> DataFrame:
+    queries: DataFrame, aliases: DataFrame, limit: int | None = 20, least: float = LEAST_SCORE,
+    strength: DataFrame | None = None, edits: bool = True,
+) -> DataFrame:
     """Best entities per query: (``query_id``, ``text``, ``entity``, ``score``, ``place``).
 
-    ``queries`` is (``query_id``, ``text``), ``aliases`` is (``entity``, ``alias``). Distinct texts
-    are compared once, however many queries or entities share them.
+    ``queries`` is (``query_id``, ``text``), ``aliases`` is (``entity``, ``alias``), ``strength`` orders equal
+    scores (see ``by_score``). Distinct texts are compared once, however many queries or entities share them.
     """
-    pairs = similar_names(queries, aliases, least, bound).withColumn("score", search_score()).filter(F.col("score") >= least)
+    pairs = similar_names(queries, aliases, least, edits).withColumn("score", search_score()).filter(F.col("score") >= least)
     entities = aliases.select("entity", normalize_text("alias").alias("a")).distinct()
     scored = pairs.join(entities, "a").groupBy("q", "entity").agg(F.round(F.max("score"), 6).alias("score"))
     if limit is not None:
-        w = Window.partitionBy("q").orderBy(F.desc("score"), "entity")
-        scored = scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+        scored = by_score(scored, "q", strength).filter(F.col("place") <= limit)
     asked = queries.select("query_id", "text", normalize_text("text").alias("q"))
     return asked.join(scored, "q").drop("q")
 
 
-def search_page(queries: DataFrame, aliases: DataFrame, page: int = 1, limit: int = 20) -> DataFrame:
+def search_page(queries: DataFrame, aliases: DataFrame, page: int = 1, limit: int = 20, strength: DataFrame | None = None) -> DataFrame:
     """One page of results per query, with how many there are in all."""
     offset = (max(1, page) - 1) * limit
-    found = search_entities(queries, aliases, None)
-    totals = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entity")
-    placed = found.withColumn("place", F.row_number().over(w)).filter((F.col("place") > offset) & (F.col("place") <= offset + limit))
-    return placed.join(totals, "query_id")
+    found = by_score(search_entities(queries, aliases, None), "query_id", strength)
+    of_query = Window.partitionBy("query_id")
+    counted = found.withColumn("total", F.count(F.lit(1)).over(of_query))
+    return counted.filter((F.col("place") > offset) & (F.col("place") <= offset + limit))
 
 
-def rank_by_query(queries: DataFrame, names: DataFrame, least: float = 0.3) -> DataFrame:
-    """Names kept for a query with a smaller bonus for equality, prefix and containment."""
+def rank_by_query(queries: DataFrame, names: DataFrame, least: float = 0.3, limit: int | None = None) -> DataFrame:
+    """Names kept for a query with a smaller bonus for equality, prefix and containment; the best ``limit`` of them."""
     score = F.col("similarity") + match_bonus(prefix=0.4)
     pairs = similar_names(queries, names, least).withColumn("score", F.round(score, 6)).filter(F.col("score") >= least)
-    return (
+    ranked = (
         queries.select("query_id", normalize_text("text").alias("q"))
         .join(pairs, "q")
         .join(names.select("alias", normalize_text("alias").alias("a")).distinct(), "a")
         .select("query_id", "alias", "score")
     )
+    if limit is None:
+        return ranked
+    placed = ranked.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "alias")))
+    return placed.filter(F.col("place") <= limit)
 
 
-def weighted_entities(queries: DataFrame, candidates: DataFrame, live_names: DataFrame | None = None) -> DataFrame:
+def weighted_entities(
+    queries: DataFrame, candidates: DataFrame, live_names: DataFrame | None = None, own: DataFrame | None = None,
+    limit: int | None = None, pairs: DataFrame | None = None,
+) -> DataFrame:
     """Candidate score with bonuses for all words, live names, activity and source.
 
-    ``candidates``: (``entity``, ``alias``, ``source``, ``is_active``). A query is (``query_id``,
-    ``text``, ``live_leaning``).
+    ``candidates``: (``entity``, ``alias``, ``source``, ``is_active``). A query is (``query_id``, ``text``,
+    ``live_leaning``). ``own`` (``query_id``, ``entity``, ``score``) are scores that candidates bring along, as
+    from a search: a candidate never counts less than its own, and those are candidates whatever their likeness.
+    ``limit`` keeps the best of a query, of equal ones that with the larger own score, then by name. ``pairs``
+    (``q``, ``a``, ``similarity``) are texts to score where they are known already.
     """
     words, alias_words = F.split("q", " "), F.split("a", " ")
-    pairs = similar_names(queries, candidates, LEAST_SCORE)
+    if pairs is None:
+        pairs = similar_names(queries, candidates, LEAST_SCORE)
     if live_names is None:
         pairs = pairs.withColumn("is_live", F.lit(False))
     else:
@@ -227,14 +242,25 @@ def weighted_entities(queries: DataFrame, candidates: DataFrame, live_names: Dat
         .join(entities, "a")
         .join(asked, "q")
         .withColumn("score", F.col("base") + F.when(F.col("live_leaning") & F.col("is_live"), 0.45).otherwise(0.0))
-        .groupBy("query_id", "live_leaning", "entity", "source", "is_active")
-        .agg(F.max("score").alias("score"))
+        .select("query_id", "live_leaning", "entity", "source", "is_active", "score", F.lit(0.0).alias("own"))
+    )
+    if own is not None:
+        facts = candidates.select("entity", "source", "is_active").distinct()
+        brought = own.select("query_id", "entity", F.col("score").alias("own")).join(facts, "entity")
+        brought = brought.join(queries.select("query_id", "live_leaning"), "query_id").withColumn("score", F.col("own"))
+        scored = scored.unionByName(brought.select(*scored.columns))
+    scored = scored.groupBy("query_id", "live_leaning", "entity", "source", "is_active").agg(
+        F.max("score").alias("score"), F.max("own").alias("own")
     )
     extra = F.when(
         F.col("live_leaning"),
         F.when(F.col("is_active"), 0.3).otherwise(0.0) + F.when(F.col("source") == "cricapi", 0.22).otherwise(0.0),
     ).otherwise(F.when(F.col("source").isin("archive", "vector"), 0.04).otherwise(0.0))
-    return scored.select("query_id", "entity", F.round(F.col("score") + extra, 4).alias("weighted_score"))
+    out = scored.select("query_id", "entity", F.round(F.col("score") + extra, 4).alias("weighted_score"), "own")
+    if limit is not None:
+        order = Window.partitionBy("query_id").orderBy(F.desc("weighted_score"), F.desc("own"), "entity")
+        out = out.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+    return out.drop("own")
 
 
 def alias_hits(queries: DataFrame, manual: DataFrame) -> DataFrame:
@@ -250,18 +276,31 @@ def alias_hits(queries: DataFrame, manual: DataFrame) -> DataFrame:
     )
 
 
-def resolve(queries: DataFrame, aliases: DataFrame, manual: DataFrame | None = None, choices: int = 5) -> DataFrame:
+def resolve(
+    queries: DataFrame, aliases: DataFrame, manual: DataFrame | None = None, choices: int = 5, strength: DataFrame | None = None
+) -> DataFrame:
     """One row per query: resolved, clarify or not_found, with up to five choices.
 
     A manual alias replaces the text first. Order of tests: the alias names an entity; best score
     at least 0.55; then a weak or close best score asks for clarification, unless an alias was hit.
     """
-    if manual is not None:
-        queries = queries.join(alias_hits(queries, manual), "query_id", "left")
-    else:
-        queries = queries.withColumn("alias_hit", F.lit(None).cast("string"))
-    asked = queries.select("query_id", F.coalesce("alias_hit", "text").alias("text"))
-    found = search_entities(asked, aliases, choices)
+    asked = with_alias_hits(queries, manual)
+    return judged(asked, search_aliased(asked, aliases, choices, strength))
+
+
+def with_alias_hits(queries: DataFrame, manual: DataFrame | None) -> DataFrame:
+    if manual is None:
+        return queries.withColumn("alias_hit", F.lit(None).cast("string"))
+    return queries.join(alias_hits(queries, manual), "query_id", "left")
+
+
+def search_aliased(asked: DataFrame, aliases: DataFrame, choices: int, strength: DataFrame | None) -> DataFrame:
+    """What is found for a query, or for the manual alias it hit."""
+    return search_entities(asked.select("query_id", F.coalesce("alias_hit", "text").alias("text")), aliases, choices, strength=strength)
+
+
+def judged(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """``resolve`` of queries with ``alias_hit`` by the entities found for them."""
     per_query = found.groupBy("query_id").agg(
         F.max("score").alias("best_score"),
         F.min_by("entity", "place").alias("best"),
@@ -297,8 +336,9 @@ def resolve(queries: DataFrame, aliases: DataFrame, manual: DataFrame | None = N
     )
 
 
-def resolve_live_leaning(weighted: DataFrame) -> DataFrame:
-    """Resolution of live-leaning queries by weighted score: weak or close ones always ask."""
+def resolve_live_leaning(weighted: DataFrame, least: float | None = None) -> DataFrame:
+    """Resolution of live-leaning queries by weighted score: weak or close ones ask, or with ``least`` (names of
+    a live feed only) the best one that reaches it is taken and no other."""
     w = Window.partitionBy("query_id").orderBy(F.desc("weighted_score"), "entity")
     top = weighted.withColumn("place", F.row_number().over(w)).filter("place <= 2")
     best = top.groupBy("query_id").agg(
@@ -306,10 +346,55 @@ def resolve_live_leaning(weighted: DataFrame) -> DataFrame:
         F.min_by("entity", "place").alias("entity"),
         F.coalesce(F.max(F.when(F.col("place") == 2, F.col("weighted_score"))), F.lit(0.0)).alias("second"),
     )
+    if least is not None:
+        return best.filter(F.col("score") >= least).select("query_id", F.lit("resolved").alias("status"), "entity", "score")
     unclear = (F.col("score") < CLEAR_SCORE) | (F.col("second") >= F.col("score") - CLEAR_GAP)
     return best.select("query_id", F.when(unclear, "clarify").otherwise("resolved").alias("status"), "entity", "score")
 
 
+def resolve_leaning(
+    queries: DataFrame, aliases: DataFrame, feed: DataFrame, playing: DataFrame | None = None, manual: DataFrame | None = None,
+    strength: DataFrame | None = None, choices: int = 5,
+) -> DataFrame:
+    """One row per query (``query_id``, ``text``, ``live_leaning``): ``status``, ``entity``, ``score`` and ``branch``.
+
+    A query that leans to live matches and names no alias is settled by the weighted scores of what the archive
+    search finds for it, or where that finds nothing by the names of the live feed (``feed``: ``name`` and, if
+    known, ``is_active``) at ``LIVE_SCORE`` or more; all others, and those that neither settles, as by ``resolve``.
+    ``playing`` (``name``) are further names that count as live.
+    """
+    active = F.col("is_active") if "is_active" in feed.columns else F.lit(False)
+    feed = feed.select("name", active.alias("is_active"))
+    live = feed.select("name") if playing is None else feed.select("name").unionByName(playing.select("name"))
+    asked = written(with_alias_hits(queries, manual), "asked")
+    found = written(search_aliased(asked.drop("live_leaning"), aliases, choices, strength), "found")
+    plain = judged(asked.drop("live_leaning"), found)
+    leaning = asked.filter("live_leaning AND alias_hit IS NULL").drop("alias_hit")
+    mine = found.join(leaning.select("query_id"), "query_id", "left_semi")
+    known = mine.join(aliases, "entity").select("query_id", "entity", "alias", normalize_text("text").alias("q"), normalize_text("alias").alias("a"))
+    pairs = pair_similarity(known.filter("q != '' AND a != ''").select("q", "a").distinct(), "q", "a", "similarity", normalized=True)
+    facts = known.select("entity", "alias", F.lit("vector").alias("source"), F.lit(False).alias("is_active")).distinct()
+    archive = weighted_entities(leaning, facts, live, mine.select("query_id", "entity", "score"), pairs=pairs.filter(F.col("similarity") >= LEAST_SCORE - 1e-12))
+    first = resolve_live_leaning(archive.join(mine.select("query_id", "entity"), ["query_id", "entity"], "left_semi"))
+    names = feed.select(F.col("name").alias("entity"), F.col("name").alias("alias"), F.lit("cricapi").alias("source"), "is_active")
+    rest = written(leaning.join(mine.select("query_id").distinct(), "query_id", "left_anti"), "rest")
+    second = resolve_live_leaning(weighted_entities(rest, names, live), LIVE_SCORE)
+    settled = first.withColumn("branch", F.lit("archive")).unionByName(second.withColumn("branch", F.lit("live")))
+    settled = settled.select("query_id", *[F.col(c).alias(f"of_{c}") for c in ("status", "entity", "score", "branch")])
+    out = plain.join(settled, "query_id", "left")
+    live_one = F.col("of_status").isNotNull()
+    pick = lambda mine, other: F.when(live_one, F.col(mine)).otherwise(other)
+    resolved = F.when(F.col("of_status") == "resolved", F.col("of_entity"))
+    return out.select(
+        "query_id",
+        "text",
+        pick("of_status", F.col("status")).alias("status"),
+        F.when(live_one, resolved).otherwise(F.col("entity")).alias("entity"),
+        pick("of_score", F.col("score")).alias("score"),
+        F.coalesce("of_branch", F.lit("plain")).alias("branch"),
+    )
+
+
 def best_variant(resolved: DataFrame, variants: DataFrame) -> DataFrame:
     """Best resolution over several texts of one question (``question_id``, ``position``, ``query_id``).
 
@@ -333,26 +418,16 @@ def best_variant(resolved: DataFrame, variants: DataFrame) -> DataFrame:
     )
 
 
-def entity_mentions(texts: DataFrame, names: DataFrame, bound: int = 50000) -> DataFrame:
-    """(``text_id``, ``name``) for every known name inside a text; ``texts`` is (``text_id``, ``text``)."""
-
-    def compare(mine: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        import ahocorasick
+def entity_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(``text_id``, ``name``) for every known name inside a text; ``texts`` is (``text_id``, ``text``).
 
-        automaton = ahocorasick.Automaton()
-        for name in mine["name"]:
-            automaton.add_word(name, name)
-        automaton.make_automaton()
-        ids, found = [], []
-        for text_id, text in zip(batch["text_id"], batch["text"]):
-            for name in {name for _, name in automaton.iter(text)}:
-                ids.append(text_id)
-                found.append(name)
-        return pd.DataFrame({"text_id": pd.Series(ids, dtype=object), "name": pd.Series(found, dtype=object)})
-
-    known = names.select(F.trim("name").alias("name")).filter("name != ''").distinct()
-    clean = texts.select(F.col("text_id").cast("string").alias("text_id"), F.trim("text").alias("text"))
-    return compare_blocks(known, clean, compare, "text_id string, name string", bound)
+    A name meets the texts that hold its rarest three letters; only those are looked through.
+    """
+    known = names.select(F.trim("name").alias("inner")).filter("inner != ''").distinct()
+    clean = written(texts.select(F.col("text_id").cast("string").alias("text_id"), F.trim("text").alias("text")), "texts")
+    met = containment(known, clean, "text", "text_id").groupBy(F.col("key").alias("text_id")).agg(F.collect_set("inner").alias("names"))
+    inside = F.filter("names", lambda name: F.contains(F.col("text"), name))
+    return clean.join(met, "text_id").select("text_id", F.explode(inside).alias("name")).distinct()
 
 
 # Scores of a knowledge entry.
@@ -364,52 +439,33 @@ KNOWLEDGE_WORD = 0.35
 KNOWLEDGE_TITLE_FLOOR = 0.35
 KNOWLEDGE_TOPIC = 0.8
 KNOWLEDGE_LEAST = 0.9
-
-
-def _alias_score(questions: list, alias: str, exact: np.ndarray) -> np.ndarray:
-    """Alias score where one contains the other, else the similarity in ``exact``."""
-    return np.array(
-        [
-            KNOWLEDGE_SAME if q == alias else KNOWLEDGE_INSIDE if alias in q else KNOWLEDGE_AROUND if q in alias else s
-            for q, s in zip(questions, exact)
-        ]
-    )
-
-
-def _alias_and_title(entry: dict, questions: list, optimistic: bool) -> np.ndarray:
-    """Best alias score plus what the title adds, for each question."""
-    best, title = np.zeros(len(questions)), np.zeros(len(questions))
-    for alias in entry["aliases"]:
-        score = sim.similarity_scores(questions, [alias] * len(questions), optimistic=optimistic)
-        best = np.maximum(best, _alias_score(questions, alias, score))
-        if alias == entry["title"]:
-            title = score
-    return best + np.maximum(0.0, title - KNOWLEDGE_TITLE_FLOOR)
-
-
-def _knowledge_scores(entry: dict, questions: list, topics: list) -> np.ndarray:
-    """Score of one entry for a batch of normalised, non-empty questions; 0 where it cannot be enough."""
-    words = [set(q.split()) for q in questions]
-    total = np.array([KNOWLEDGE_TOPIC if t and t == entry["sub_intent"] else 0.0 for t in topics])
-    for k in entry["keywords"]:
-        parts = k.split()
-        if parts:
-            worth = KNOWLEDGE_PHRASE if len(parts) > 1 else KNOWLEDGE_WORD
-            total += np.array([worth if all(p in w for p in parts) else 0.0 for w in words])
-    # Edit distances are worked out only where the best they could be is enough.
-    enough = np.nonzero(total + _alias_and_title(entry, questions, True) >= KNOWLEDGE_LEAST - 1e-4)[0]
-    out = np.zeros(len(questions))
-    out[enough] = np.round(total[enough] + _alias_and_title(entry, [questions[i] for i in enough], False), 4)
-    return out
-
-
-def lookup_knowledge(
-    questions: DataFrame, knowledge: DataFrame, limit: int = 5, bound: int = 2000, every: bool = False
-) -> DataFrame:
+#: s + (s - floor of titles) reaches the least score from here on.
+KNOWLEDGE_ALIKE = 0.6249
+
+
+def _keyword_worth(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(``q``, ``id``, ``worth``): what the keywords add whose words are all in the question; each keyword meets the
+    questions that hold its rarest word."""
+    words = asked.select("q").distinct().select("q", F.array_distinct(F.split("q", " ")).alias("words"))
+    held = words.select("q", F.explode("words").alias("word"))
+    often = held.groupBy("word").agg(F.count("*").alias("often"))
+    keys = entries.select("id", F.posexplode("keywords").alias("n", "keyword")).filter("keyword != ''")
+    keys = keys.withColumn("parts", F.array_distinct(F.split("keyword", " ")))
+    parts = keys.withColumn("word", F.explode("parts")).join(often, "word")
+    rare = parts.groupBy("id", "n", "keyword", "parts").agg(F.min_by("word", "often").alias("word"))
+    met = rare.join(held, "word").join(words, "q").filter(F.forall("parts", lambda p: F.array_contains("words", p)))
+    worth = F.when(F.contains("keyword", F.lit(" ")), KNOWLEDGE_PHRASE).otherwise(KNOWLEDGE_WORD)
+    return met.groupBy("q", "id").agg(F.sum(worth).alias("worth"))
+
+
+def lookup_knowledge(questions: DataFrame, knowledge: DataFrame, limit: int = 5, every: bool = False, edits: bool = True) -> DataFrame:
     """Best knowledge entries per question: (``question_id``, ``id``, ``score``, ``place``).
 
     ``questions`` is (``question_id``, ``text``, ``sub_intent``). Equal questions are scored once. With ``every``
     a question without an entry has a row of score 0 and no id, and ``found`` tells them apart.
+
+    Without its topic or a keyword an entry is enough only by an alias of similarity ``KNOWLEDGE_ALIKE``, so
+    questions meet the entries of their topic, of their keywords and of such aliases, and only those are scored.
     """
     entries = knowledge.select(
         "id",
@@ -420,31 +476,27 @@ def lookup_knowledge(
         ).alias("aliases"),
         F.transform("keywords", normalize_text).alias("keywords"),
     )
+    entries = written(entries, "entries")
     asked = questions.select(
         "question_id", normalize_text("text").alias("q"), F.coalesce("sub_intent", F.lit("")).alias("topic")
     )
-
-    def compare(mine: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        qs, topics = batch["q"].tolist(), batch["topic"].tolist()
-        parts = []
-        for entry in mine.to_dict("records"):
-            score = _knowledge_scores(entry, qs, topics)
-            kept = np.nonzero(score >= KNOWLEDGE_LEAST)[0]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "q": [qs[i] for i in kept],
-                        "topic": [topics[i] for i in kept],
-                        "id": [entry["id"]] * len(kept),
-                        "score": score[kept],
-                    }
-                )
-            )
-        return pd.concat(parts)
-
-    distinct = asked.filter("q != ''").select("q", "topic").distinct()
-    scored = compare_blocks(entries, distinct, compare, "q string, topic string, id string, score double", bound)
-    titled = scored.join(knowledge.select("id", F.col("title").alias("_title")), "id")
+    distinct = written(asked.filter("q != ''").select("q", "topic").distinct(), "questions")
+    aliases = entries.select("id", "sub_intent", "title", F.explode(F.array_distinct("aliases")).alias("a"))
+    worth = written(_keyword_worth(distinct, entries), "keywords")
+    same = distinct.filter("topic != ''").join(entries.select("id", F.col("sub_intent").alias("topic")), "topic").select("q", "topic", "id")
+    word = distinct.join(worth, "q").select("q", "topic", "id")
+    like = similar_names(distinct.select(F.col("q").alias("text")), aliases.select(F.col("a").alias("alias")), KNOWLEDGE_ALIKE, edits)
+    like = like.select("q", "a").join(aliases.select("a", "id").distinct(), "a").join(distinct, "q").select("q", "topic", "id")
+    met = same.unionByName(word).unionByName(like).distinct().join(aliases, "id")
+    scores = pair_similarity(met.select("q", "a").distinct(), "q", "a", "similarity", normalized=True)
+    q, a, s = F.col("q"), F.col("a"), F.col("similarity")
+    by_alias = F.when(q == a, KNOWLEDGE_SAME).when(F.contains(q, a), KNOWLEDGE_INSIDE).when(F.contains(a, q), KNOWLEDGE_AROUND).otherwise(s)
+    above = F.when(F.col("title") == a, F.greatest(s - KNOWLEDGE_TITLE_FLOOR, F.lit(0.0))).otherwise(0.0)
+    best = met.join(scores, ["q", "a"]).groupBy("q", "topic", "id", "sub_intent").agg(F.max(by_alias).alias("alias"), F.max(above).alias("above"))
+    on_topic = F.when((F.col("topic") != "") & (F.col("topic") == F.col("sub_intent")), KNOWLEDGE_TOPIC).otherwise(0.0)
+    total = F.col("alias") + F.col("above") + F.coalesce("worth", F.lit(0.0)) + on_topic
+    scored = best.join(worth, ["q", "id"], "left").select("q", "topic", "id", F.round(total, 4).alias("score"))
+    titled = scored.filter(F.col("score") >= KNOWLEDGE_LEAST).join(knowledge.select("id", F.col("title").alias("_title")), "id")
     w = Window.partitionBy("q", "topic").orderBy(F.desc("score"), "_title", "id")
     best = titled.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
     if every:
