@@ -36,6 +36,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of an Arrow batch: a worker and its task's writer and reader hold a few of them at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes, also in a session made elsewhere; the default bounds 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Return memory that a worker no longer uses: Spark keeps workers for later tasks and stages."""
     pa.default_memory_pool().release_unused()
@@ -54,8 +63,9 @@ def with_computed(
 
     ``start`` runs once per task and returns the function from input arrays to output arrays. ``keep``
     names the columns to carry along (default: all); a kept column with the name of a new one is replaced.
-    Spark bounds an Arrow batch by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+    Batches are bounded by ``BATCH_BYTES``.
     """
+    bounded_batches(df.sparkSession)
     new = {f.name for f in fields}
     kept = [c for c in (df.columns if keep is None else keep) if c not in new]
     read = list(dict.fromkeys([*kept, *inputs]))
