@@ -8,45 +8,154 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wicketlake.functions.text import cache_document, normalize_text
-from wicketlake.operators.blocks import compare_blocks
 from wicketlake.operators.search import compatible, pair_similarity
+from wicketlake.session import written
 
 MAX_CACHE_DISTANCE = 0.05
 
 
-def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", bound: int = 20000) -> DataFrame:
-    """The ``k`` nearest corpus vectors of each query: (``query_id``, ``id``, ``distance``, ``rank``).
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(vectors, axis=1)
+    return vectors / np.where(size > 0, size, 1)[:, None]
 
-    ``queries`` is (``query_id``, ``vector``), ``corpus`` is (``id``, ``vector``). Exact. Each
-    task keeps its own nearest ``k`` per query and batch, and only those are exchanged.
-    """
 
-    def compare(mine: pd.DataFrame, batch: pd.DataFrame) -> pd.DataFrame:
-        q = np.array(mine["vector"].tolist(), dtype=np.float64)
-        c = np.array(batch["vector"].tolist(), dtype=np.float64)
-        ids = batch["id"].to_numpy()
-        if metric == "cosine":
-            qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-            scale = np.outer(np.where(qn > 0, qn, 1), np.where(cn > 0, cn, 1))
-            dist = 1 - (q @ c.T) / scale
-        else:
-            dist = np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * (q @ c.T), 0.0)
-        # Rank by the rounded distance and the id, as the final cut does.
-        dist = np.round(np.sqrt(dist) if metric == "l2" else dist, 6)
-        keep = min(k, dist.shape[1])
-        parts = []
-        for i in range(len(q)):
+def _far(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Euclidean distances of two sets of vectors."""
+    return np.sqrt(np.maximum((q**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - 2 * (q @ c.T), 0.0))
+
+
+def _reported(q: np.ndarray, c: np.ndarray, metric: str) -> np.ndarray:
+    """Distances as they are reported and ranked; a zero vector is at cosine distance 1 of everything."""
+    return np.round(1 - _unit(q) @ _unit(c).T if metric == "cosine" else _far(q, c), 6)
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.array(column.tolist(), dtype=np.float64)
+
+
+class Pivots:
+    """Parts of the space: each vector belongs to its nearest pivot. Cosine distances are worked out on vectors of
+    length 1, whose Euclidean distance grows with them; zero vectors are a part of their own, number -1."""
+
+    def __init__(self, pivots: np.ndarray, metric: str):
+        self.metric, self.pivots = metric, _unit(pivots) if metric == "cosine" else pivots
+
+    def distances(self, vectors: np.ndarray) -> np.ndarray:
+        return _far(_unit(vectors) if self.metric == "cosine" else vectors, self.pivots)
+
+    def home(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = self.distances(vectors)
+        part = d.argmin(axis=1)
+        reach = d[np.arange(len(d)), part]
+        if self.metric == "cosine":
+            zero = ~vectors.any(axis=1)
+            part, reach = np.where(zero, -1, part), np.where(zero, 0.0, reach)
+        return part, reach
+
+    def least(self, vectors: np.ndarray, parts: dict[int, tuple[int, float, float]]) -> dict[int, np.ndarray]:
+        """For each part, the least Euclidean distance its members may have: by the ring in which they lie, and by
+        the border to the pivot nearest to the query. Nothing is known of zero vectors."""
+        d, found = self.distances(vectors), {}
+        near = d.argmin(axis=1)
+        between = _far(self.pivots, self.pivots)
+        zero = ~vectors.any(axis=1) if self.metric == "cosine" else np.zeros(len(d), bool)
+        for part, (_, low, high) in parts.items():
+            if part < 0:
+                found[part] = np.zeros(len(d))
+                continue
+            gap = between[part, near]
+            border = np.where(gap > 0, (d[:, part] ** 2 - d.min(axis=1) ** 2) / np.where(gap > 0, 2 * gap, 1), 0.0)
+            found[part] = np.where(zero, 0.0, np.maximum.reduce([d[:, part] - high, low - d[:, part], border, np.zeros(len(d))]))
+        return found
+
+
+def _visits(queries: DataFrame, space: Pivots, parts: dict, k: int, bounded: bool) -> DataFrame:
+    """(query_id, vector, part): the nearest parts that hold ``k`` vectors, or if ``bounded`` all others that may hold
+    one within the distance ``bound`` of the query."""
+
+    def run(batches):
+        for frame in batches:
+            if not len(frame):
+                continue
+            v = _stack(frame["vector"])
+            least = space.least(v, parts)
+            names = np.array(list(least))
+            table = np.column_stack([least[p] for p in names])
+            middle = space.distances(v)
+            order = np.column_stack([middle[:, p] if p >= 0 else np.full(len(v), np.inf) for p in names])
+            sizes = np.array([parts[p][0] for p in names])
+            rank = np.argsort(order, axis=1, kind="stable")
+            held = np.cumsum(sizes[rank], axis=1) - sizes[rank]
+            first = np.zeros(table.shape, bool)
+            np.put_along_axis(first, rank, held < k, axis=1)
+            if bounded:
+                limit = frame["bound"].to_numpy(dtype=np.float64)
+                # a distance as reported, as a Euclidean one, with room for its rounding
+                reach = np.sqrt(2 * np.maximum(limit, 0)) + 1e-3 if space.metric == "cosine" else limit
+                pick = ~first & (table <= (reach + 1e-5)[:, None])
+            else:
+                pick = first
+            i, j = np.nonzero(pick)
+            yield pd.DataFrame({"query_id": frame["query_id"].to_numpy()[i], "vector": frame["vector"].to_numpy(object)[i], "part": names[j]})
+
+    return queries.mapInPandas(run, f"query_id {dict(queries.dtypes)['query_id']}, vector array<double>, part bigint")
+
+
+def _nearest_in_parts(visits: DataFrame, corpus: DataFrame, chunks: DataFrame, k: int, metric: str) -> DataFrame:
+    """(query_id, id, distance) of the ``k`` nearest of each visited chunk of a part."""
+    types = f"query_id {dict(visits.dtypes)['query_id']}, id {dict(corpus.dtypes)['id']}, distance double"
+
+    def compare(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        dist, ids = _reported(_stack(mine["vector"]), _stack(other["vector"]), metric), other["id"].to_numpy()
+        keep, found = min(k, dist.shape[1]), []
+        for i, query in enumerate(mine["query_id"]):
             limit = np.partition(dist[i], keep - 1)[keep - 1]
             near = np.nonzero(dist[i] <= limit)[0]
             near = near[np.lexsort((ids[near], dist[i][near]))][:keep]
-            parts.append(pd.DataFrame({"query_id": mine["query_id"].iloc[i], "id": ids[near], "distance": dist[i][near]}))
-        return pd.concat(parts)
+            found.append(pd.DataFrame({"query_id": query, "id": ids[near], "distance": dist[i][near]}))
+        return pd.concat(found)
+
+    asked = visits.join(chunks, "part").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    placed = corpus.join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).drop("chunks")
+    placed = placed.join(asked.select("part", "chunk").distinct(), ["part", "chunk"], "left_semi")
+    asked = asked.join(placed.select("part", "chunk").distinct(), ["part", "chunk"], "left_semi")
+    return asked.groupBy("part", "chunk").cogroup(placed.groupBy("part", "chunk")).applyInPandas(compare, types)
+
+
+def knn(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l2", pivots: int = 64, block: int = 20000) -> DataFrame:
+    """The ``k`` nearest corpus vectors of each query: (``query_id``, ``id``, ``distance``, ``rank``).
+
+    ``queries`` is (``query_id``, ``vector``), ``corpus`` is (``id``, ``vector``). Exact. ``pivots`` corpus vectors,
+    chosen by a hash of their ids, divide the space. A query first visits the nearest parts that hold ``k``
+    vectors; its k-th distance there bounds the parts that it need visit besides. A part of any size is dealt
+    out in chunks of about ``block`` vectors, each of which gives its own nearest ``k``. The driver sees the
+    pivots, and the size and the ring of each part.
+    """
+    queries = written(queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")), "queries")
+    vectors = corpus.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    chosen = vectors.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect()
+    types = f"query_id {dict(queries.dtypes)['query_id']}, id {dict(vectors.dtypes)['id']}, distance double"
+    if not chosen:
+        return queries.sparkSession.createDataFrame([], types + ", rank int")
+    space = Pivots(np.unique(np.array([r["vector"] for r in chosen], dtype=np.float64), axis=0), metric)
+
+    def deal(batches):
+        for frame in batches:
+            if len(frame):
+                part, reach = space.home(_stack(frame["vector"]))
+                yield frame.assign(part=part, reach=reach)
 
-    types = dict(queries.dtypes)
-    schema = f"query_id {types['query_id']}, id {dict(corpus.dtypes)['id']}, distance double"
-    near = compare_blocks(queries, corpus, compare, schema, bound)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    dealt = written(vectors.mapInPandas(deal, f"id {dict(vectors.dtypes)['id']}, vector array<double>, part bigint, reach double"), "parts")
+    rings = dealt.groupBy("part").agg(F.count("*").alias("n"), F.min("reach").alias("low"), F.max("reach").alias("high"))
+    parts = {r["part"]: (r["n"], r["low"], r["high"]) for r in rings.collect()}
+    chunks = rings.select("part", F.ceil(F.col("n") / block).cast("int").alias("chunks"))
+    placed = dealt.select("id", "vector", "part")
+    first = written(_nearest_in_parts(_visits(queries, space, parts, k, False), placed, chunks, k, metric), "first")
+    of_query = Window.partitionBy("query_id").orderBy("distance", "id")
+    bound = first.withColumn("n", F.row_number().over(of_query)).where(F.col("n") <= k).groupBy("query_id").agg(F.max("distance").alias("bound"))
+    rest = _visits(queries.join(bound, "query_id"), space, parts, k, True)
+    near = first.unionByName(_nearest_in_parts(rest, placed, chunks, k, metric))
+    return near.withColumn("rank", F.row_number().over(of_query)).filter(F.col("rank") <= k)
 
 
 def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
@@ -61,30 +170,33 @@ def similar_documents(left: DataFrame, right: DataFrame, max_distance: float = M
     """Pairs of distinct word-bag documents within a cosine distance: (``l_doc``, ``r_doc``, ``distance``).
 
     A document is words in one string, of which repeated ones count once. Bags that are close share most words, so they
-    share one of their rarest few: only those are joined on, and the pairs are then verified. A
-    word that is in most documents is in hardly any prefix, so no group of the join is hot.
+    share one of their rarest few, and only those are joined on. A word meets only bags of a fitting size, so
+    that a frequent one is split by sizes, and only at places that leave enough words behind them to be shared.
+    Each side is read once; the pairs left are verified.
     """
-    t2 = (1.0 - max_distance) ** 2
+    t = 1.0 - max_distance
     l = left.select(F.col("document").alias("doc")).filter("doc != ''").distinct().withColumn("side", F.lit("l"))
     r = right.select(F.col("document").alias("doc")).filter("doc != ''").distinct().withColumn("side", F.lit("r"))
     both = l.unionByName(r).withColumn("words", F.array_distinct(F.split("doc", " "))).withColumn("n", F.size("words"))
-    words = both.select("side", "doc", "n", F.explode("words").alias("word"))
+    words = written(both.select("side", "doc", "n", F.explode("words").alias("word")), "words")
     often = words.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
     # Bags of n words at cosine distance d share at least (1 - d)^2 * n of them.
-    must_share = F.ceil(F.col("n") * F.lit(t2) - F.lit(1e-9))
-    ordered = (
-        words.join(often, "word")
-        .groupBy("side", "doc", "n")
-        .agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("rare_first"))
-        .select(
-            "side", "doc", "n",
-            F.explode(F.slice("rare_first", F.lit(1), (F.col("n") - must_share + 1).cast("int"))).alias("w"),
-        )
+    must_share = F.ceil(F.col("n") * F.lit(t * t) - F.lit(1e-9))
+    first = F.slice("rare_first", F.lit(1), (F.col("n") - must_share + 1).cast("int"))
+    band = F.floor(F.log(F.col("n")) / -np.log(t * t)).cast("int") if 0 < t < 1 else F.col("n")
+    ordered = words.join(often, "word").groupBy("side", "doc", "n").agg(
+        F.array_sort(F.collect_list(F.struct("often", "word"))).alias("rare_first")
     )
-    a = ordered.filter("side = 'l'").select(F.col("doc").alias("l_doc"), F.col("n").alias("l_n"), "w.word")
-    b = ordered.filter("side = 'r'").select(F.col("doc").alias("r_doc"), F.col("n").alias("r_n"), "w.word")
-    sized = (F.col("r_n") >= F.col("l_n") * t2 - 1e-9) & (F.col("l_n") >= F.col("r_n") * t2 - 1e-9)
-    candidates = a.join(b, "word").filter(sized).select("l_doc", "r_doc", "l_n", "r_n").distinct()
+    ordered = written(ordered.select("side", "doc", "n", band.alias("band"), F.posexplode(first).alias("place", "w")), "rare-words")
+    a = ordered.filter("side = 'l'").select(F.col("doc").alias("l_doc"), F.col("n").alias("l_n"), "band", F.col("place").alias("l_at"), "w.word")
+    b = ordered.filter("side = 'r'").select(
+        F.col("doc").alias("r_doc"), F.col("n").alias("r_n"), F.col("place").alias("r_at"), "w.word",
+        F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"),
+    )
+    sized = (F.col("r_n") >= F.col("l_n") * (t * t) - 1e-9) & (F.col("l_n") >= F.col("r_n") * (t * t) - 1e-9)
+    left_over = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at"))
+    enough = left_over >= t * F.sqrt(F.col("l_n").cast("double") * F.col("r_n")) - 1e-6
+    candidates = a.join(b, ["word", "band"]).filter(sized & enough).select("l_doc", "r_doc", "l_n", "r_n").distinct()
     shared = F.size(F.array_intersect(F.split("l_doc", " "), F.split("r_doc", " ")))
     distance = F.round(1 - shared / F.sqrt(F.col("l_n").cast("double") * F.col("r_n")), 6)
     return candidates.select("l_doc", "r_doc", distance.alias("distance")).filter(F.col("distance") < max_distance)

@@ -358,7 +358,43 @@ def cache_exact_hits(spark, sf_dir):
     return ve.exact_hits(questions(spark, sf_dir), cached_questions(spark, sf_dir))
 
 
-@register("cache_near_hits")
+def _tokens(e: str) -> str:
+    return f"list_distinct(list_filter(string_split({sq.norm(e)}, ' '), lambda x: x <> ''))"
+
+
+def _overlap(left: str, right: str) -> str:
+    l, r = _tokens(left), _tokens(right)
+    return f"CASE WHEN len({l}) = 0 OR len({r}) = 0 THEN 0.0 ELSE CAST(len(list_intersect({l}, {r})) AS DOUBLE) / len({l}) END"
+
+
+_DOC = "CASE WHEN {0} <> '' THEN {0} ELSE {1} END"
+_NEAR = (
+    f"asks AS (SELECT question_id, text, {_DOC.format(cache_document_sql('text'), sq.norm('text'))} AS l_doc FROM questions), "
+    "stored AS (SELECT r_doc, question_text, min(id) AS cached_id FROM (SELECT q.question_id AS id, k.text AS question_text, q.l_doc AS r_doc FROM asks q "
+    "JOIN questions k USING (question_id) JOIN conversations a ON a.conv_id = k.conv_id AND a.turn = k.turn + 1 WHERE trim(a.text) <> '') s GROUP BY 1, 2), "
+    "same AS (SELECT r_doc AS l_doc, min(cached_id) AS cached_id FROM stored WHERE r_doc <> '' GROUP BY 1), "
+    "alone AS (SELECT DISTINCT l_doc, text FROM asks WHERE l_doc <> '' AND l_doc NOT IN (SELECT l_doc FROM same)), "
+    "l_words AS (SELECT l_doc, len(w) AS n, unnest(w) AS word FROM (SELECT DISTINCT l_doc, list_distinct(string_split(l_doc, ' ')) AS w FROM alone) t), "
+    "r_words AS (SELECT r_doc, len(w) AS n, unnest(w) AS word FROM (SELECT DISTINCT r_doc, list_distinct(string_split(r_doc, ' ')) AS w FROM stored WHERE r_doc <> '') t), "
+    "close AS (SELECT l_doc, r_doc, round(1 - count(*) / sqrt(CAST(l.n AS DOUBLE) * r.n), 6) AS distance FROM l_words l JOIN r_words r USING (word) "
+    "GROUP BY l_doc, r_doc, l.n, r.n HAVING round(1 - count(*) / sqrt(CAST(l.n AS DOUBLE) * r.n), 6) < 0.2), "
+    "nearest AS (SELECT l_doc, b.distance AS distance, b.cached_id AS cached_id, b.r_doc AS r_doc, b.question_text AS question_text FROM ("
+    "SELECT l_doc, min({'distance': distance, 'cached_id': cached_id, 'r_doc': r_doc, 'question_text': question_text}) AS b FROM close JOIN stored USING (r_doc) GROUP BY l_doc) t), "
+    f"met AS (SELECT l_doc, text, distance, cached_id, r_doc, question_text, {sq.norm('text')} AS q, {sq.norm('question_text')} AS a FROM alone JOIN nearest USING (l_doc)), "
+    + ss.similar("SELECT q, a FROM met")
+    + f", fit AS (SELECT l_doc, text, distance, cached_id FROM met LEFT JOIN sim USING (q, a) WHERE {sq.norm('l_doc')} <> '' AND {sq.norm('l_doc')} = {sq.norm('r_doc')} "
+    f"OR coalesce(similarity, 0) >= 0.92 AND greatest({_overlap('text', 'question_text')}, {_overlap('l_doc', 'r_doc')}) >= 0.75)"
+)
+
+
+@register(
+    "cache_near_hits",
+    over_questions(
+        "SELECT question_id, cached_id, 0.0 AS distance FROM asks JOIN same USING (l_doc) UNION ALL "
+        "SELECT question_id, cached_id, distance FROM asks JOIN fit USING (l_doc, text)",
+        _NEAR,
+    ),
+)
 def cache_near_hits(spark, sf_dir):
     return ve.near_hits(questions(spark, sf_dir), cached_questions(spark, sf_dir), 0.2)
 

@@ -15,6 +15,7 @@ ENGINE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "8192",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
 }
 
 
@@ -47,18 +48,16 @@ def run_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    """Have the file system remove a folder when the application ends; until then lost tasks may need it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by writing ``df`` to the shared folder and reading it back."""
+    """Cut lineage by writing ``df`` to the shared folder and reading it back; the folder goes with the application."""
     spark = df.sparkSession
     path = run_folder(spark, label)
     df.write.parquet(path)
+    removed_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def bounded_rows(df: DataFrame, bound: int):
-    """Rows of ``df`` when there are at most ``bound`` of them, else ``None``.
-
-    Never brings more than ``bound + 1`` rows to the driver.
-    """
-    rows = df.limit(bound + 1).collect()
-    return rows if len(rows) <= bound else None
