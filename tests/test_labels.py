@@ -111,3 +111,47 @@ def test_action_from_context(spark):
     df = spark.createDataFrame([("glossary", "what is his average", "A B", None), ("glossary", "what is his average", None, None)], "action string, raw string, known_player string, known_team string")
     df = df.withColumn("q", F.lower("raw"))
     assert [r[0] for r in df.select(lb.action_in_context()).collect()] == ["player_stats", "glossary"]
+
+
+SUBJECTS = {
+    "South Africa stats": (None, None),
+    "New Zealand versus West Indies": (None, None),
+    "Virat Kohli stats": ("Virat Kohli", None),
+    "Virat Kohli runs in 2019": ("Virat Kohli", None),
+    "India team summary": (None, "India"),
+    "compare Joe Root and Kane Williamson": (None, None),
+}
+
+
+def test_subjects_of_turns(spark):
+    """A team of two words is no player, and only a player's or a team's statistics name one."""
+    df = spark.createDataFrame([(q, q) for q in SUBJECTS], "question_id string, text string")
+    routed = lb.context(lb.intent(lb.signals(lb.sides(lb.scope(lb.prepared(df))))))
+    got = {r.question_id: r for r in lb.named_subjects(routed).collect()}
+    assert {q: (r.player_name, r.team_name) for q, r in got.items()} == SUBJECTS
+    assert got["Virat Kohli runs in 2019"].season_name == "2019" and got["India team summary"].action_name == "team_stats"
+    teams = spark.createDataFrame([("virat kohli", "Royal Challengers"), ("nobody", "x")], "player string, team string")
+    with_team = {r.question_id: r.team_name for r in lb.named_subjects(routed, teams).collect()}
+    assert with_team["Virat Kohli stats"] == "Royal Challengers" and with_team["South Africa stats"] is None
+
+
+def test_all_hints_are_given(spark):
+    text = "matches of India, Australia, England and Pakistan"
+    df = lb.intent(lb.signals(lb.sides(lb.scope(lb.prepared(spark.createDataFrame([(1, text)], "question_id int, text string"))))))
+    every, two = lb.hints(df).collect()[0], lb.hints(df, limit=2).collect()[0]
+    assert {"India", "Australia", "England", "Pakistan"} <= set(every.team_hints) and two.team_hints == every.team_hints[:2]
+
+
+def test_records_fall_back_to_leaders(spark):
+    asked = spark.createDataFrame([(1, "highest individual score in odi"), (2, "most wickets on record"), (3, "record economy")], "question_id int, text string")
+    leaders = spark.createDataFrame([("wickets", 2, "B", 7.0), ("wickets", 1, "A", 9.0), ("runs", 1, "C", 100.0)], "metric string, rank int, player string, value double")
+    got = {r.question_id: (r.record_title, r.record_holders) for r in lb.record_answers(lb.prepared(asked), leaders).collect()}
+    assert got[1] == ("Highest ODI Score", ["Rohit Sharma 264"])
+    assert got[2] == ("Cricket Record", ["A 9.0", "B 7.0"]) and got[3] == ("Cricket Record", [])
+
+
+def test_glossary_has_its_text(spark):
+    asked = spark.createDataFrame([(1, "what is economy"), (2, "what is a googly"), (3, "explain lbw")], "question_id int, text string")
+    known = spark.createDataFrame([("economy", "runs an over"), ("not a term", "x")], "term string, explanation string")
+    got = {r.question_id: (r.glossary_term, r.explanation) for r in lb.glossary_term(lb.prepared(asked), known).collect()}
+    assert got[1] == ("economy", "runs an over") and got[2][0] == "" and got[3][0] == "lbw" and got[2][1] == got[3][1]

@@ -401,8 +401,9 @@ def flags(df: DataFrame) -> DataFrame:
     )
 
 
-def hints(df: DataFrame) -> DataFrame:
-    """Text without generic words, capitalised phrases, and player and team hints from them."""
+def hints(df: DataFrame, limit: int | None = None, max_chars: int | None = None, max_words: int | None = None) -> DataFrame:
+    """Text without generic words, capitalised phrases, and player and team hints from them: all of them, or the
+    first ``limit``, and of the sides those within ``max_chars`` and ``max_words``."""
     year = qr.YEAR
     kept = F.filter(
         F.split("q", " "), lambda w: (w != "") & ~w.isin(qr.GENERIC_WORDS) & ~w.rlike(year)
@@ -413,18 +414,19 @@ def hints(df: DataFrame) -> DataFrame:
     given = F.filter(
         F.array("side_left", "side_right"),
         lambda s: (s != "")
-        & (F.length(s) <= qr.HINT_MAX_CHARS)
         & (normalize_text(s) != F.col("q"))
-        & (F.size(F.split(s, r"\s+")) <= qr.HINT_MAX_WORDS),
+        & (F.lit(True) if max_chars is None else F.length(s) <= max_chars)
+        & (F.lit(True) if max_words is None else F.size(F.split(s, r"\s+")) <= max_words),
     )
     several = F.filter("capitalised", lambda p: p.rlike(r"\s"))
     single = F.filter("capitalised", lambda p: ~p.rlike(r"\s"))
     by_players = F.col("rule").isin("compare", "predict", "reasoning")
     none = F.array().cast("array<string>")
+    cut = lambda found: found if limit is None else F.slice(found, 1, limit)
     return out.withColumns(
         {
-            "player_hints": F.slice(F.array_distinct(F.concat(F.when(by_players, given).otherwise(none), several)), 1, 2),
-            "team_hints": F.slice(F.array_distinct(F.concat(F.when(by_players, none).otherwise(given), single)), 1, 2),
+            "player_hints": cut(F.array_distinct(F.concat(F.when(by_players, given).otherwise(none), several))),
+            "team_hints": cut(F.array_distinct(F.concat(F.when(by_players, none).otherwise(given), single))),
         }
     )
 
@@ -440,33 +442,55 @@ def cacheable(df: DataFrame, in_session=False) -> DataFrame:
     )
 
 
-def curated_record(df: DataFrame) -> DataFrame:
-    """The first curated record whose patterns all hold; its number, metric, title, holder and value."""
-    number = None
-    for i, (_, _, patterns) in enumerate(qr.CURATED_RECORDS, 1):
+RECORD_FIELDS = ["record_metric", "record_title", "record_patterns", "record_holder", "record_value"]
+
+
+def curated_record(df: DataFrame, records: list = qr.CURATED_RECORDS) -> DataFrame:
+    """The first of ``records`` whose patterns all hold: its metric, title, holder and value; empty without one."""
+    tests = []
+    for record in records:
         test = F.lit(True)
-        for p in patterns:
+        for p in record[2]:
             test = test & _q(p)
-        number = F.when(test, i) if number is None else number.when(test, i)
+        tests.append(test)
+    made = {}
+    for n, name in enumerate(RECORD_FIELDS):
+        if name != "record_patterns":
+            made[name] = _first([(record[n], test) for record, test in zip(records, tests)], "")
+    return df.withColumns(made)
+
 
-    def pick(values) -> Column:
-        return F.coalesce(F.try_element_at(F.array(*[F.lit(v) for v in values]), F.col("record_no")), F.lit(""))
+def record_answers(df: DataFrame, leaders: DataFrame, records: list = qr.CURATED_RECORDS) -> DataFrame:
+    """Answers of record questions: a curated record, else the leaders by the metric asked for.
 
-    out = df.withColumn("record_no", number)
+    ``leaders`` is (``metric``, ``rank``, ``player``, ``value``), a few rows for each metric of a leaderboard, so it
+    goes to all tasks. ``record_title`` and ``record_holders`` (best first, in text) say what was found.
+    """
+    out = metric(curated_record(df, records))
+    listed = F.array_sort(F.collect_list(F.struct("rank", "player", "value")))
+    best = leaders.groupBy("metric").agg(F.transform(listed, lambda r: F.concat(r.player, F.lit(" "), r.value.cast("string"))).alias("_leaders"))
+    out = out.join(F.broadcast(best), "metric", "left")
+    curated = F.col("record_title") != ""
     return out.withColumns(
         {
-            "record_metric": pick([m for m, _, _ in qr.CURATED_RECORDS]),
-            "record_title": pick([t for _, t, _ in qr.CURATED_RECORDS]),
-            "record_holder": pick([h for h, _, _ in qr.CURATED_FACTS]),
-            "record_value": pick([v for _, v, _ in qr.CURATED_FACTS]),
+            "record_holders": F.when(curated, F.array(F.concat("record_holder", F.lit(" "), "record_value"))).otherwise(
+                F.coalesce("_leaders", F.array().cast("array<string>"))
+            ),
+            "record_title": F.when(curated, F.col("record_title")).otherwise(qr.OTHER_RECORD),
         }
-    )
+    ).drop("_leaders")
 
 
-def glossary_term(df: DataFrame) -> DataFrame:
-    """The first glossary term the question contains; empty without one."""
+def glossary_term(df: DataFrame, explanations: DataFrame | None = None) -> DataFrame:
+    """The first glossary term the question contains, empty without one, and if there are ``explanations`` (``term``,
+    ``explanation``, one row for each of the few terms) its text, or what the glossary covers."""
     rules = [(term, F.contains("q", F.lit(term.replace("_", " ")))) for term in qr.GLOSSARY_TERMS]
-    return df.withColumn("glossary_term", _first(rules, ""))
+    out = df.withColumn("glossary_term", _first(rules, ""))
+    if explanations is None:
+        return out
+    known = explanations.filter(F.col("term").isin(qr.GLOSSARY_TERMS)).dropDuplicates(["term"])
+    known = known.select(F.col("term").alias("glossary_term"), "explanation")
+    return out.join(F.broadcast(known), "glossary_term", "left").withColumn("explanation", F.coalesce("explanation", F.lit(qr.GLOSSARY_OTHER)))
 
 
 def entity_type(name, kind=None, role=None) -> Column:
@@ -489,12 +513,13 @@ def routed(questions: DataFrame) -> DataFrame:
 
 
 def carry_context(turns: DataFrame, step_rows: int = 1000) -> DataFrame:
-    """Last known player and team before each turn, and the text with pronouns filled in.
+    """Last known subjects before each turn, and the text with pronouns filled in.
 
-    ``turns``: (``conv_id``, ``at`` integer order, ``text``, ``player_name``, ``team_name``); names
-    are null where a turn names none.
+    ``turns``: (``conv_id``, ``at`` integer order, ``text``, ``player_name``, ``team_name`` and, if there,
+    ``season_name``, ``format_name``, ``action_name``); names are null where a turn names none.
     """
-    known = carried(turns, ["conv_id"], "at", step_rows, {"player_name": "known_player", "team_name": "known_team"})
+    names = [c for c in ("player", "team", "season", "format", "action") if f"{c}_name" in turns.columns]
+    known = carried(turns, ["conv_id"], "at", step_rows, {f"{c}_name": f"known_{c}" for c in names})
     player, team = F.coalesce("known_player", F.lit("")), F.coalesce("known_team", F.lit(""))
     use_player = matches("text", qr.PLAYER_PRONOUN) & (player != "")
     use_team = matches("text", qr.TEAM_PRONOUN) & (team != "")
@@ -536,12 +561,22 @@ def action_in_context(action="action", text="raw", normalized="q", player="known
     )
 
 
-def named_subjects(df: DataFrame) -> DataFrame:
-    """``player_name`` and ``team_name`` a turn names outright, null without one."""
-    people = proper_names("raw")
-    return explicit_team(df).withColumns(
-        {
-            "player_name": F.try_element_at(people, F.lit(1)),
-            "team_name": F.nullif("explicit_team", F.lit("")),
-        }
-    )
+def named_subjects(df: DataFrame, teams_of: DataFrame | None = None) -> DataFrame:
+    """What a routed turn leaves behind for later ones: ``player_name``, ``team_name``, ``season_name``,
+    ``format_name`` and ``action_name``, null where it leaves none.
+
+    A player is named by a player's statistics only and a team by a team's or a live question; a run of
+    capitalised words that is a team is no player. ``teams_of`` (``player``, ``team``) adds the player's own team.
+    """
+    out = explicit_team(df)
+    teams = [n.lower() for n in sorted({*qr.KNOWN_TEAMS, *[name for name, _ in qr.TEAM_PHRASES], *qr.TEAM_WORDS.values()})]
+    people = F.filter(proper_names("raw"), lambda v: ~F.lower(v).isin(teams))
+    person = F.when(F.col("action").isin("player_stats", "player_season_stats"), F.try_element_at(people, F.lit(1)))
+    team = F.when(F.col("action").isin("team_stats", "live_update"), F.nullif("explicit_team", F.lit("")))
+    out = out.withColumns({"player_name": person, "team_name": team})
+    if teams_of is not None:
+        own = teams_of.select(normalize_text("player").alias("_player"), F.nullif("team", F.lit("")).alias("_team")).dropDuplicates(["_player"])
+        out = out.withColumn("_player", normalize_text("player_name")).join(own, "_player", "left")
+        out = out.withColumn("team_name", F.coalesce("team_name", "_team")).drop("_player", "_team")
+    names = {"season_name": "season", "format_name": "format", "action_name": "action"}
+    return out.withColumns({new: F.nullif(old, F.lit("")) for new, old in names.items()})

@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from wicketlake.functions import question_rules as qr
 from wicketlake.functions.text import BLOCKED_PHRASES, PROPER_NAME
+from wicketlake.operators import aggregates as ag
+from wicketlake.operators import boards
 from wicketlake.operators import labels as lb
-from wicketlake.plans.registry import over_questions, register
-from wicketlake.plans.sqltext import has, norm, quoted, sql_list
+from wicketlake.plans.registry import over_deliveries, over_questions, register
+from wicketlake.plans.sqltext import PROFILES, has, norm, quoted, sql_list
 from wicketlake.plans.text import _first_seen
-from wicketlake.sources.star import questions
+from wicketlake.session import written
+from wicketlake.sources.star import deliveries, question_source_sql, questions, table
 
 RAW = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 BASE = f"base AS (SELECT question_id, conv_id, turn, {RAW} AS raw, {norm(RAW)} AS q FROM questions)"
@@ -359,8 +362,7 @@ _REDUCED = (
 )
 _CAPS = f"list_filter(regexp_extract_all(raw, {quoted(qr.CAPITALISED_PHRASE)}), lambda v: NOT list_contains({sql_list(qr.COMMON_CAPITALISED)}, v))"
 _GIVEN_SIDES = (
-    f"list_filter([side_left, side_right], lambda s: s <> '' AND length(s) <= 60 AND {norm('s')} <> q "
-    "AND len(regexp_split_to_array(s, '\\s+')) <= 6)"
+    f"list_filter([side_left, side_right], lambda s: s <> '' AND {norm('s')} <> q)"
 )
 _PEOPLE = "list_concat(CASE WHEN rule IN ('compare', 'predict', 'reasoning') THEN given_sides ELSE [] END, list_filter(caps, lambda p: regexp_matches(p, '\\s')))"
 _SQUADS = "list_concat(CASE WHEN rule IN ('compare', 'predict', 'reasoning') THEN [] ELSE given_sides END, list_filter(caps, lambda p: NOT regexp_matches(p, '\\s')))"
@@ -370,8 +372,8 @@ _SQUADS = "list_concat(CASE WHEN rule IN ('compare', 'predict', 'reasoning') THE
     "label_hints",
     over_questions(
         f"SELECT question_id, reduced, array_to_string({_first_seen('caps')}, '|') AS capitalised, "
-        f"array_to_string(list_slice({_first_seen('people')}, 1, 2), '|') AS player_hints, "
-        f"array_to_string(list_slice({_first_seen('squads')}, 1, 2), '|') AS team_hints FROM (SELECT *, {_PEOPLE} AS people, {_SQUADS} AS squads FROM h)",
+        f"array_to_string({_first_seen('people')}, '|') AS player_hints, "
+        f"array_to_string({_first_seen('squads')}, '|') AS team_hints FROM (SELECT *, {_PEOPLE} AS people, {_SQUADS} AS squads FROM h)",
         ", ".join([BASE, SIDES, SIGNALS, INTENT, f"h AS (SELECT *, {_REDUCED} AS reduced, {_CAPS} AS caps, {_GIVEN_SIDES} AS given_sides FROM intent)"]),
     ),
 )
@@ -393,17 +395,14 @@ def label_cacheable(spark, sf_dir):
     return lb.cacheable(prepared(spark, sf_dir), F.col("turn") > 0).select("question_id", "cacheable")
 
 
-def _record(values) -> str:
-    return case(
-        [(" AND ".join(q(p) for p in patterns), quoted(v)) for (_, _, patterns), v in zip(qr.CURATED_RECORDS, values)], "''"
-    )
+def _record(field: int) -> str:
+    return case([(" AND ".join(q(p) for p in record[2]), quoted(record[field])) for record in qr.CURATED_RECORDS], "''")
 
 
 @register(
     "label_record",
     over_questions(
-        f"SELECT question_id, {_record([t for _, t, _ in qr.CURATED_RECORDS])} AS record_title, {_record([m for m, _, _ in qr.CURATED_RECORDS])} AS record_metric, "
-        f"{_record([h for h, _, _ in qr.CURATED_FACTS])} AS record_holder, {_record([v for _, v, _ in qr.CURATED_FACTS])} AS record_value FROM base",
+        f"SELECT question_id, {_record(1)} AS record_title, {_record(0)} AS record_metric, {_record(3)} AS record_holder, {_record(4)} AS record_value FROM base",
         BASE,
     ),
 )
@@ -413,15 +412,55 @@ def label_record(spark, sf_dir):
     )
 
 
+RECORD_METRICS = ["runs", "wickets", "strike_rate", "economy", "sixes", "fours"]
+_LEADERS = ", ".join(
+    f"top_{m} AS (SELECT '{m}' AS metric, player, CAST({m} AS DOUBLE) AS value, row_number() OVER (ORDER BY {m} DESC, matches DESC, player) AS rank FROM profiles)"
+    for m in RECORD_METRICS
+)
+
+
+@register(
+    "record_answers",
+    over_deliveries(
+        f"SELECT question_id, CASE WHEN title <> '' THEN title ELSE {quoted(qr.OTHER_RECORD)} END AS record_title, "
+        "CASE WHEN title <> '' THEN holder ELSE coalesce(names, '') END AS record_holders FROM ("
+        f"SELECT question_id, {_record(1)} AS title, concat({_record(3)}, ' ', {_record(4)}) AS holder, {case([(q(p), quoted(n)) for n, p in qr.METRICS], quoted(qr.DEFAULT_METRIC))} AS metric FROM base) r "
+        "LEFT JOIN (SELECT metric, string_agg(player, '|' ORDER BY rank) AS names FROM leaders WHERE rank <= 3 GROUP BY metric) l USING (metric)",
+        f"questions AS ({question_source_sql()}), {BASE}, {PROFILES}, {_LEADERS}, leaders AS ({' UNION ALL '.join(f'SELECT * FROM top_{m}' for m in RECORD_METRICS)})",
+    ),
+)
+def record_answers(spark, sf_dir):
+    """Record questions: curated ones by their holder, others by the three leaders of the metric."""
+    profiles = written(ag.player_profiles(deliveries(spark, sf_dir)), "profiles")
+    leaders = None
+    for name in RECORD_METRICS:
+        top = boards.leaderboard(profiles, name, 3, minimums={})
+        top = top.select(F.lit(name).alias("metric"), "rank", "player", F.col("value").cast("double").alias("value"))
+        leaders = top if leaders is None else leaders.unionByName(top)
+    answers = lb.record_answers(prepared(spark, sf_dir), leaders)
+    curated = F.col("record_title") != qr.OTHER_RECORD
+    bare = F.transform("record_holders", lambda h: F.when(curated, h).otherwise(F.regexp_replace(h, " [^ ]+$", "")))
+    return answers.select("question_id", "record_title", F.array_join(bare, "|").alias("record_holders"))
+
+
+_TERM = case([(f"contains(q, '{t.replace('_', ' ')}')", quoted(t)) for t in qr.GLOSSARY_TERMS], quoted(""))
+
+
 @register(
     "label_glossary",
     over_questions(
-        f"SELECT question_id, {case([(f'''contains(q, '{t.replace('_', ' ')}')''', quoted(t)) for t in qr.GLOSSARY_TERMS], quoted(''))} AS glossary_term FROM base",
+        f"SELECT question_id, glossary_term, coalesce(e.explanation, {quoted(qr.GLOSSARY_OTHER)}) AS explanation FROM (SELECT question_id, {_TERM} AS glossary_term FROM base) g "
+        "LEFT JOIN (SELECT term, min(text) AS explanation FROM (SELECT b.text, unnest(" + sql_list(qr.GLOSSARY_TERMS) + ") AS term FROM benchmark b) x "
+        "WHERE length(term) % 2 = 0 GROUP BY term) e ON e.term = g.glossary_term",
         BASE,
     ),
 )
 def label_glossary(spark, sf_dir):
-    return lb.glossary_term(prepared(spark, sf_dir)).select("question_id", "glossary_term")
+    """Terms with their explanations; half of the terms have one."""
+    terms = F.explode(F.array(*[F.lit(t) for t in qr.GLOSSARY_TERMS]))
+    texts = table(spark, sf_dir, "benchmark").select("text", terms.alias("term")).filter(F.length("term") % 2 == 0)
+    known = texts.groupBy("term").agg(F.min("text").alias("explanation"))
+    return lb.glossary_term(prepared(spark, sf_dir), known).select("question_id", "glossary_term", "explanation")
 
 
 @register(
@@ -452,14 +491,27 @@ def _filled(text: str, name: str, words) -> str:
     return text
 
 
+_TEAM_NAMES = sql_list(sorted({n.lower() for n in [*qr.KNOWN_TEAMS, *[name for name, _ in qr.TEAM_PHRASES], *qr.TEAM_WORDS.values()]}))
 _PEOPLE_NAMES = (
-    f"list_filter(regexp_extract_all(raw, {quoted(PROPER_NAME)}), lambda v: NOT list_contains({sql_list(BLOCKED_PHRASES)}, v))[1]"
+    f"list_filter(regexp_extract_all(t.raw, {quoted(PROPER_NAME)}), lambda v: NOT list_contains({sql_list(BLOCKED_PHRASES)}, v) "
+    f"AND NOT list_contains({_TEAM_NAMES}, lower(v)))[1]"
 )
+
+
+def _before(name: str) -> str:
+    return (
+        f"coalesce(last_value({name} IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')"
+    )
+
+
 _CARRY = (
-    f"named AS (SELECT question_id, conv_id, 2 * turn + CASE WHEN question_id LIKE '%-written' THEN 1 ELSE 0 END AS place, raw, q, "
-    f"nullif(explicit_team, '') AS team_name, {_PEOPLE_NAMES} AS player_name FROM teamed), "
-    "known AS (SELECT *, coalesce(last_value(player_name IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS p, coalesce(last_value(team_name IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS t "
-    "FROM named), "
+    "named AS (SELECT t.question_id, t.conv_id, 2 * t.turn + CASE WHEN t.question_id LIKE '%-written' THEN 1 ELSE 0 END AS place, t.raw, t.q, "
+    "CASE WHEN c.action IN ('team_stats', 'live_update') THEN nullif(explicit_team, '') END AS team_name, "
+    f"CASE WHEN c.action IN ('player_stats', 'player_season_stats') THEN {_PEOPLE_NAMES} END AS player_name, "
+    f"nullif({got('t.raw', qr.YEAR)}, '') AS season_name, nullif({case([(has('t.q', p), quoted(n)) for n, p in qr.FORMATS], quoted(''))}, '') AS format_name, "
+    "nullif(c.action, '') AS action_name FROM teamed t JOIN context c USING (question_id)), "
+    f"known AS (SELECT *, {_before('player_name')} AS p, {_before('team_name')} AS t, {_before('season_name')} AS s, {_before('format_name')} AS f, "
+    f"{_before('action_name')} AS a FROM named), "
     f"used AS (SELECT *, ({raw(qr.PLAYER_PRONOUN)} AND p <> '') AS up, ({raw(qr.TEAM_PRONOUN)} AND t <> '') AS ut FROM known), "
     f"f1 AS (SELECT *, CASE WHEN up THEN {_filled('raw', 'p', [('his', True), ('he', False), ('him', False), ('she', False), ('her', True)])} ELSE raw END AS x FROM used), "
     f"f2 AS (SELECT *, CASE WHEN ut THEN {_filled('x', 't', [('their', True), ('they', False), ('them', False)])} ELSE x END AS y FROM f1)"
@@ -469,19 +521,18 @@ _CARRY = (
 @register(
     "context_carry",
     over_questions(
-        "SELECT question_id, p AS known_player, t AS known_team, (up OR ut) AS uses_context, CASE WHEN up OR ut THEN concat(y, chr(10), chr(10), "
+        "SELECT question_id, p AS known_player, t AS known_team, s AS known_season, f AS known_format, a AS known_action, (up OR ut) AS uses_context, CASE WHEN up OR ut THEN concat(y, chr(10), chr(10), "
         "'Resolved conversation context: player=', CASE WHEN p = '' THEN 'n/a' ELSE p END, '; team=', CASE WHEN t = '' THEN 'n/a' ELSE t END, '.') ELSE raw END AS in_context FROM f2",
-        f"{BASE}, {TEAM}, {_CARRY}",
+        f"{ROUTE}, {TEAM}, {_CARRY}",
     ),
 )
 def context_carry(spark, sf_dir):
-    named = lb.named_subjects(prepared(spark, sf_dir))
+    named = lb.named_subjects(routed(spark, sf_dir))
     turns = named.withColumn("at", F.col("turn") * 2 + F.when(F.col("question_id").endswith("-written"), 1).otherwise(0))
     out = lb.carry_context(turns, 50)
     return out.select(
         "question_id",
-        F.coalesce("known_player", F.lit("")).alias("known_player"),
-        F.coalesce("known_team", F.lit("")).alias("known_team"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in ("known_player", "known_team", "known_season", "known_format", "known_action")],
         "uses_context",
         "in_context",
     )

@@ -218,8 +218,8 @@ def build_deliveries(spark: SparkSession, root: str) -> DataFrame:
     return flatten(latest_revisions(with_identity(readable(read_matches(spark, root)))))
 
 
-def dataset_manifest(files: DataFrame, selected: DataFrame, rows: DataFrame) -> DataFrame:
-    """The one-row manifest of a build."""
+def dataset_manifest(files: DataFrame, selected: DataFrame, rows: DataFrame, errors_listed: int | None = None) -> DataFrame:
+    """The one-row manifest of a build; it lists every malformed file, or the first ``errors_listed`` by path."""
     from wicketlake.operators.aggregates import dataset_profile
 
     one = F.lit(1).alias("_k")
@@ -263,10 +263,11 @@ def dataset_manifest(files: DataFrame, selected: DataFrame, rows: DataFrame) ->
             F.array_sort(F.collect_list(F.struct("source_folder", F.struct(*per_source.columns[1:]).alias("counts"))))
         ).alias("per_source"),
     ).withColumn("_k", F.lit(1))
-    # At most fifty errors are listed, as the manifest format has it; all are counted.
+    listed = quarantined(files).select("path", "error")
+    if errors_listed is not None:
+        listed = listed.orderBy("path").limit(errors_listed)
     errors = (
-        quarantined(files).select("path", "error").orderBy("path").limit(50)
-        .agg(F.array_sort(F.collect_list(F.struct("path", "error"))).alias("errors"))
+        listed.agg(F.array_sort(F.collect_list(F.struct("path", "error"))).alias("errors"))
         .withColumn("_k", F.lit(1))
     )
     out = about.join(versions, "_k").join(profile, "_k").join(sources, "_k").join(errors, "_k").drop("_k")

@@ -52,85 +52,91 @@ DERIVED_SQL = {
 TEAM_A_KEY = "l_orderkey % 25"
 TEAM_B_KEY = "(l_orderkey + 1 + l_orderkey % 24) % 25"
 
-# Question texts with slots, after the questions a user asks (fixed values).
+# Question texts with slots: some for each kind of question that the labels tell apart.
 QUESTION_TEMPLATES = [
-    "live score",
-    "current match",
-    "today match schedule",
-    "{player} stats",
-    "{player} odi average",
-    "{team} team summary",
-    "what is lbw",
-    "what is powerplay",
-    "what is free hit in cricket",
-    "difference between odi and t20",
-    "what is yorker ball",
-    "who won wc {year}",
-    "highest individual score in odi",
-    "fastest century in odi",
-    "{player} vs {player2} in odi",
-    "who may win today match",
-    "best fantasy captain today",
-    "{player} t20 sr",
-    "who is best batsman",
-    "top 10 batsmen",
-    "best bowler",
-    "best batsman in {team}",
-    "who is {player}",
-    "which team does {player} play for",
-    "{player} latest team",
-    "{team} team stats",
-    "{team} win rate",
-    "{team} last match",
-    "what is economy rate",
-    "{team} match today",
-    "unknownxyz player stats",
-    "tell me about {player}",
-    "{team} vs {team2} head to head",
-    "compare {player} and {player2}",
-    "who is better {player} or {player2}",
-    "most wickets in world cup",
-    "most sixes in t20 {year}",
-    "best bowling figures in odi",
-    "lowest total in test",
-    "fastest century in t20",
-    "{team} squad",
-    "{team} playing xi",
-    "who is the captain of {team}",
-    "match {match} scorecard",
-    "icc team rankings",
-    "points table {year}",
-    "pitch report at {team}",
-    "is {player} injured",
-    "what is strike rate",
-    "meaning of economy",
-    "tell me a joke",
-    "hello",
-    "how does drs work",
-    "explain why {team} lose",
-    "predict who will win {team} vs {team2}",
-    "which team is better {team} or {team2}",
-    "what are his runs",
-    "how many matches did they win",
-    "show her strike rate in {year}",
-    "history of cricket",
-    "best cricket bat for practice",
-    "bowling drills for fast bowlers",
-    "When is the next match of {Team}",
-    "What is {Player} record against {Team}",
-    "Show {Team} v {Team2} results {year}",
-    "{Player} compared to {Player2} stats",
+    "hey there",
+    "thanks, that was quick",
+    "sing me a song about the sea",
+    "write code for a sorting game",
+    "score of the {team} game right now",
+    "is {team} playing live at the moment",
+    "fixtures of {team} this week",
+    "upcoming schedule for {Team} and {Team2}",
+    "latest news on {Player}",
+    "{player} career numbers",
+    "give me the t20 record of {player}",
+    "{Player} runs in {year}",
+    "how did {Player} do in test cricket during {year}",
+    "{player} strike rate against {team}",
+    "recent form of {Player}",
+    "did {player} retire",
+    "injury update for {player}",
+    "for which side does {player} bat now",
+    "who exactly is {Player}",
+    "profile of {player2} please",
+    "{team} win percentage",
+    "{Team} results in the {year} season",
+    "summary of team {team2}",
+    "how many trophies has {team} lifted",
+    "home ground and coach of {team}",
+    "full squad of {team}",
+    "playing eleven of {Team} against {Team2}",
+    "previous meeting of {team} and {team2}",
+    "h2h between {team} and {team2}",
+    "{Team} versus {Team2} in one day games",
+    "put {player} next to {player2} and compare",
+    "is {Player} better than {Player2}",
+    "difference between {Player} and {Player2} in tests",
+    "{player} or {player2}: who is the stronger finisher",
+    "why is {team} so inconsistent away from home",
+    "who will win when {team} face {team2}",
+    "predict the winner of match {match}",
+    "chances of rain at the {team} ground",
+    "fantasy picks for {team} tonight",
+    "leading run scorers of {year}",
+    "players with most fours in odi",
+    "who hit the most sixes for {team}",
+    "lowest economy among bowlers in t20",
+    "top wicket takers of the world cup",
+    "quickest hundred in one day international games",
+    "highest individual score in odi history",
+    "fastest 100 in twenty20",
+    "best bowling figures in one day international",
+    "lowest total in a test match",
+    "most wickets at any wc",
+    "longest six on record",
+    "icc ranking of {team}",
+    "standings after match {match}",
+    "scorecard of match no {match}",
+    "explain the free hit",
+    "define economy rate",
+    "meaning of run rate",
+    "what is a googly",
+    "how does the drs review work",
+    "what happens under duckworth lewis",
+    "odi and test: what is the difference between them",
+    "training drill for leg spin",
+    "which bat should a beginner buy",
+    "when was the first world cup held",
+    "and what about his average",
+    "how many wickets has he taken",
+    "show her best score",
+    "did they win more matches at home",
+    "what is their record since {year}",
+    "Average of {Player} For {Team} Since {year}",
+    "South Africa stats",
+    "New Zealand Versus West Indies",
 ]
 
-# Names filled into the slots (fixed values).
+# Names filled into the slots.
 TEAM_SLOTS = [
     "india", "australia", "england", "pakistan", "new zealand", "south africa", "west indies",
     "sri lanka", "bangladesh", "afghanistan", "mumbai indians", "csk", "rcb", "kkr", "srh",
     "aus", "ind", "gt", "lsg", "united arab emirates",
 ]
 PLAYER_SLOTS = [
-    "virat kohli", "ms dhoni", "rohit sharma", "babar", "bumrah", "sachin", "steve smith",
-    "ab de villiers", "joe root", "fakeplayer123", "virat", "kane williamson",
+    "arjun mehta", "tom hale", "s r iyer", "kofi", "van der berg", "lewis grant", "dilan perera",
+    "imran sadiq", "ravi", "no such player", "ben stowe", "hamish tait",
 ]
 
 
