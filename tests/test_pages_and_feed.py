@@ -13,6 +13,7 @@ from wicketlake.sources import feed as fd
 from wicketlake.sources import matches as mt
 from wicketlake.sources import pages as pg
 from wicketlake.streaming import live as lv
+from wicketlake.streaming import store
 
 PAGE = """<html><head><title>Reds vs Blues, 1st T20I</title><style>td{}</style>
 <script type="application/ld+json">[{"@type": "SportsEvent", "startDate": "2024-03-01", "location": {"name": "Old Park"}}]</script></head>
@@ -183,8 +184,49 @@ def test_replayed_ingest_changes_nothing(spark, tmp_path):
     (source / "b.json").write_text("\n".join(json.dumps(i) for i in items[:1] + [{**items[0], "id": "6"}]))
     assert run() == ["match:1", "match:6"]
     assert run() == ["match:1", "match:6"]
-    runs = {r.batch_id: (r.completed, r.ingested, r.skipped) for r in lv.ingest_runs(spark, root).collect()}
-    assert runs == {0: (2, 1, 1), 1: (2, 1, 1)}
+    assert run_counts(spark, root) == [(2, 1, 1, 0), (1, 1, 0, 0)]  # the repeat within the lookback is not seen again
+
+
+def run_counts(spark, root):
+    return [(r.completed, r.ingested, r.skipped, r.failed) for r in lv.ingest_runs(spark, root).orderBy("batch_id").collect()]
+
+
+def feed_item(id_, status="done", hour=10):
+    return {"id": id_, "name": f"Match {id_}", "matchType": "t20", "status": status, "dateTimeGMT": f"2024-03-01T{hour}:00:00", "teams": ["Reds", "Blues"], "matchStarted": True, "matchEnded": True}
+
+
+def test_ingest_of_several_batches(spark, tmp_path):
+    """A repeat in a later batch, a broken item and untouched parts of the store."""
+    from wicketlake.schemas import FEED_ITEM_DDL
+
+    batches = [[feed_item(str(i)) for i in range(6)], [feed_item("3"), feed_item("7", "broken"), feed_item("8")], [feed_item("9", hour=11)]]
+    source, root = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    told = lambda d: d.withColumns({"winner": F.lit("Reds"), "top_batters": F.lit(""), "top_bowlers": F.lit("")}).withColumn(
+        "narrative", F.when(F.col("status") != "broken", fd.narrative())
+    )
+    reference = F.lit("2024-03-01 20:00:00").cast("timestamp")
+    for n, items in enumerate(batches):
+        (source / f"{n}.json").write_text("\n".join(json.dumps(i) for i in items))
+        stream = fd.normalize_feed(spark.readStream.schema(FEED_ITEM_DDL).json(str(source)))
+        lv.start_ingest(stream, root, told, None, reference).awaitTermination()
+    wanted = {f"match:{i}" for i in (0, 1, 2, 3, 4, 5, 8, 9)}
+    assert sorted(r.id for r in lv.ingested_docs(spark, root).collect()) == sorted(wanted)
+    assert run_counts(spark, root) == [(6, 6, 0, 0), (2, 1, 0, 1), (1, 1, 0, 0)]
+    # the last batch wrote one part only; the others are as earlier batches left them
+    latest = max(store.current_parts(spark, root).values())
+    assert list(store.current_parts(spark, root).values()).count(latest) == 1 and store.read_store(spark, root, before=latest).count() == 7
+
+
+def test_store_replaces_and_replays(spark, tmp_path):
+    root = str(tmp_path)
+    docs = lambda rows: spark.createDataFrame([(i, "t", d, {"k": d}) for i, d in rows], "id string, doc_type string, document string, metadata map<string,string>")
+    store.merge(docs([(str(i), "old") for i in range(40)]), root, 0, parts=8)
+    for _ in range(2):  # a repeated batch replaces itself
+        store.merge(docs([("3", "new"), ("99", "new")]), root, 1, parts=8)
+        got = {r.id: r.document for r in store.read_store(spark, root).collect()}
+        assert got == {**{str(i): "old" for i in range(40)}, "3": "new", "99": "new"}
+    assert store.read_store(spark, root, before=1).count() == 40 and store.read_store(spark, str(tmp_path / "none")).count() == 0
 
 
 def plan_of(df):

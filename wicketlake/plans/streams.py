@@ -55,6 +55,24 @@ def stream_ingest(spark, sf_dir):
     return lv.ingested_docs(spark, root).select("id", "document")
 
 
+@register(
+    "stream_ingest_runs",
+    f"WITH {RAW_FEED}, done AS (SELECT DISTINCT id, EXISTS (SELECT 1 FROM orders o WHERE CAST(o.o_orderkey AS VARCHAR) = feed.id AND o.o_orderstatus = 'F') AS known "
+    f"FROM feed WHERE matchEnded AND try_cast(dateTimeGMT AS TIMESTAMP) >= TIMESTAMP '{REFERENCE_TIME}' - INTERVAL 48 HOURS) "
+    "SELECT count(*) AS completed, count(*) FILTER (NOT known AND CAST(id AS BIGINT) % 3 <> 0) AS ingested, count(*) FILTER (known) AS skipped, "
+    "count(*) FILTER (NOT known AND CAST(id AS BIGINT) % 3 = 0) AS failed FROM done",
+)
+def stream_ingest_runs(spark, sf_dir):
+    """Counts of an ingest in which every third item has no account."""
+    root = run_folder(spark, "ingest")
+    archived = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("match_id"))
+    reference = F.lit(REFERENCE_TIME).cast("timestamp")
+    told = lambda done: with_narrative(done).withColumn("narrative", F.expr("CASE WHEN CAST(id AS BIGINT) % 3 <> 0 THEN narrative END"))
+    lv.start_ingest(feed_stream(spark, sf_dir), root, told, archived, reference, 48).awaitTermination()
+    runs = lv.ingest_runs(spark, root)
+    return runs.agg(*[F.sum(c).alias(c) for c in ("completed", "ingested", "skipped", "failed")])
+
+
 @register(
     "stream_dedup",
     "SELECT DISTINCT concat(CAST(user_id AS VARCHAR), '-', event_type) AS id FROM events",

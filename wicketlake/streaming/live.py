@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from wicketlake.schemas import DOCUMENT_DDL
 from wicketlake.sources import feed as fd
+from wicketlake.streaming import store
+
+RUN_DDL = "batch_id bigint, completed bigint, ingested bigint, skipped bigint, failed bigint"
 
 
 def not_archived(feed: DataFrame, archived: DataFrame) -> DataFrame:
@@ -30,52 +32,47 @@ def start_ingest(
     lookback_hours: int = 24,
     once: bool = True,
 ) -> StreamingQuery:
-    """Completed, recent, not yet archived items of a normalised feed to documents.
+    """Completed, recent, not yet archived items of a normalised feed, merged into the document store below ``root``.
+
+    ``with_narrative`` adds ``winner`` and ``narrative`` to completed items. An item that gives no document (no id or
+    no account) is counted as failed and does not stop the others.
 
-    Every batch writes its own folder below ``root/docs``, so a repeated batch replaces itself.
-    ``with_narrative`` adds ``winner`` and ``narrative`` to completed items.
+    Matches seen within the lookback are kept in state and do not count again, and older items are not recent, so no
+    batch looks up what earlier ones did; ``skipped`` are items of ``archived``. A batch is evaluated once: its documents are written, what was completed and failed is
+    observed on the way, and the written ones replace the parts of the store that they fall into.
     """
     reference = F.current_timestamp() if reference is None else reference
+    recent = fd.recent_completed(stream, reference, lookback_hours).withColumn("at", fd.at())
+    fresh_once = first_per_match(recent, "at", f"{max(1, lookback_hours)} hours").drop("at")
 
     def ingest(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = fd.recent_completed(batch, reference, lookback_hours).dropDuplicates(["id"])
-        earlier = archive_ids(spark, root, batch_id)
-        if archived is not None:
-            earlier = earlier.unionByName(archived.select("match_id"))
-        fresh = not_archived(done, earlier)
-        fd.live_docs(with_narrative(fresh)).write.mode("overwrite").parquet(f"{root}/docs/batch={batch_id}")
-        written = spark.read.schema(DOCUMENT_DDL).parquet(f"{root}/docs/batch={batch_id}")
-        summary = done.agg(F.count(F.lit(1)).alias("completed")).select(
-            F.lit(batch_id).cast("bigint").alias("batch_id"),
-            "completed",
-            F.lit(written.count()).cast("bigint").alias("ingested"),
-        )
-        summary.withColumn("skipped", F.col("completed") - F.col("ingested")).coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(f"{root}/runs/batch={batch_id}")
-
-    writer = stream.writeStream.foreachBatch(ingest).option("checkpointLocation", f"{root}/checkpoint")
+        seen, told = Observation(), Observation()
+        done = batch.observe(seen, F.count(F.lit(1)).alias("completed"))
+        fresh = done if archived is None else not_archived(done, archived.select("match_id"))
+        account = with_narrative(fresh)
+        broken = (F.coalesce(F.trim("id"), F.lit("")) == "") | (F.coalesce(F.trim("narrative"), F.lit("")) == "")
+        account = account.withColumn("broken", broken)
+        account = account.observe(told, F.count_if("broken").alias("failed"), F.count_if(~F.col("broken")).alias("ingested"))
+        docs = fd.live_docs(account.where(~F.col("broken")))
+        docs.write.mode("overwrite").parquet(f"{root}/incoming/batch={batch_id}")
+        counts = [int(seen.get["completed"]), int(told.get["ingested"]), int(told.get["failed"])]
+        if counts[0] == 0:  # a batch that only moves the watermark
+            return
+        store.merge(spark.read.schema(DOCUMENT_DDL).parquet(f"{root}/incoming/batch={batch_id}"), root, batch_id)
+        row = (batch_id, *counts[:2], counts[0] - counts[1] - counts[2], counts[2])
+        spark.createDataFrame([row], RUN_DDL).coalesce(1).write.mode("overwrite").parquet(f"{root}/runs/batch={batch_id}")
+
+    writer = fresh_once.writeStream.foreachBatch(ingest).option("checkpointLocation", f"{root}/checkpoint")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
 
 
-def archive_ids(spark, root: str, before_batch: int) -> DataFrame:
-    """Match ids written by earlier batches."""
-    try:
-        docs = spark.read.schema(DOCUMENT_DDL + ", batch bigint").parquet(f"{root}/docs")
-    except AnalysisException:  # nothing written yet
-        return spark.createDataFrame([], "match_id string")
-    return docs.filter(F.col("batch") < before_batch).select(
-        F.try_element_at("metadata", F.lit("match_id")).alias("match_id")
-    )
-
-
 def ingested_docs(spark, root: str) -> DataFrame:
-    return spark.read.schema(DOCUMENT_DDL).parquet(f"{root}/docs")
+    return store.read_store(spark, root)
 
 
 def ingest_runs(spark, root: str) -> DataFrame:
-    return spark.read.schema("batch_id bigint, completed bigint, ingested bigint, skipped bigint").parquet(f"{root}/runs")
+    return spark.read.schema(RUN_DDL).parquet(f"{root}/runs")
 
 
 def start_alerts(stream: DataFrame, root: str, once: bool = True) -> StreamingQuery:
