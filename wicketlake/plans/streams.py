@@ -115,12 +115,25 @@ def context_sessions(spark, sf_dir):
     )
 
 
+# What a turn of the events names: a condition and a value, for each field.
+_NAMED = {
+    "player": ("event_type = 'click'", "concat('PLAYER_', CAST(event_id % 40 AS STRING))"),
+    "team": ("event_type = 'purchase'", "concat('NATION_', CAST(event_id % 25 AS STRING))"),
+    "season": ("event_id % 5 = 0", "CAST(2000 + event_id % 20 AS STRING)"),
+    "format": ("event_id % 7 = 0", "CASE WHEN event_id % 2 = 0 THEN 'odi' ELSE 't20' END"),
+    "action": ("event_type <> 'error'", "event_type"),
+}
+_SAID = {field: f"CASE WHEN {test} THEN {value} END" for field, (test, value) in _NAMED.items()}
+
+
 @register(
     "stream_context",
-    "SELECT CAST(user_id AS VARCHAR) AS session_key, event_id AS turn_id, last_value(subject IGNORE NULLS) OVER (PARTITION BY user_id, n "
-    "ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS known_subject FROM (SELECT *, CASE WHEN event_type = 'click' THEN "
-    "concat('NATION_', CAST(event_id % 25 AS VARCHAR)) END AS subject, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 3600000000 THEN 1 ELSE 0 END) "
-    "OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) e) s",
+    "SELECT CAST(user_id AS VARCHAR) AS session_key, event_id AS turn_id"
+    + "".join(f", last_value({f} IGNORE NULLS) OVER before AS known_{f}" for f in _SAID)
+    + " FROM (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n "
+    + "FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev"
+    + "".join(f", {sql} AS {f}" for f, sql in _SAID.items())
+    + " FROM events) e) s WINDOW before AS (PARTITION BY user_id, n ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
 )
 def stream_context(spark, sf_dir):
     root = run_folder(spark, "context")
@@ -128,7 +141,7 @@ def stream_context(spark, sf_dir):
         F.col("user_id").cast("string").alias("session_key"),
         F.col("event_id").alias("turn_id"),
         F.col("ts").cast("timestamp").alias("at"),
-        F.when(F.col("event_type") == "click", F.concat(F.lit("NATION_"), (F.col("event_id") % 25).cast("string"))).alias("subject"),
+        *[F.expr(sql).alias(f) for f, sql in _SAID.items()],
     )
     query = (
         cx.known_subjects(turns)
@@ -140,7 +153,7 @@ def stream_context(spark, sf_dir):
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(cx.OUT_DDL).parquet(f"{root}/out")
+    return spark.read.schema(cx.known_ddl(cx.FIELDS)).parquet(f"{root}/out")
 
 
 @register(

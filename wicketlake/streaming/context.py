@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TTL_MINUTES = 60
-OUT_DDL = "session_key string, turn_id bigint, known_subject string"
-STATE_DDL = "subject string, updated_us bigint"
+FIELDS = ("player", "team", "season", "format", "action")
 
 
 def sessions(turns: DataFrame, key: str, at: str, minutes: int = TTL_MINUTES) -> DataFrame:
@@ -21,38 +22,41 @@ def sessions(turns: DataFrame, key: str, at: str, minutes: int = TTL_MINUTES) ->
     )
 
 
-def _next_turns(key, batches, state: GroupState, ttl_us: int):
+def _next_turns(key, batches, state: GroupState, ttl_us: int, fields: list[str]):
     if state.hasTimedOut:
         state.remove()
         return
-    subject, updated = state.get if state.exists else (None, None)
+    *known, updated = state.get if state.exists else (*[None] * len(fields), None)
     rows = pd.concat(list(batches)).sort_values(["at_us", "turn_id"], kind="stable")
-    known = []
-    for at_us, named in zip(rows["at_us"], rows["subject"]):
+    before = []
+    for at_us, *named in zip(rows["at_us"], *[rows[f] for f in fields]):
         if updated is not None and at_us - updated > ttl_us:
-            subject = None
-        known.append(subject)
-        if isinstance(named, str) and named:
-            subject = named
+            known = [None] * len(fields)
+        before.append(known)
+        known = [new if isinstance(new, str) and new else old for new, old in zip(named, known)]
         updated = int(at_us)
-    state.update((subject, updated))
+    state.update((*known, updated))
     state.setTimeoutTimestamp(max((updated + ttl_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({"session_key": key[0], "turn_id": rows["turn_id"].to_numpy(), "known_subject": known})
+    columns = {f"known_{f}": [row[n] for row in before] for n, f in enumerate(fields)}
+    yield pd.DataFrame({"session_key": key[0], "turn_id": rows["turn_id"].to_numpy(), **columns})
+
 
+def known_ddl(fields: Sequence[str]) -> str:
+    return "session_key string, turn_id bigint" + "".join(f", known_{f} string" for f in fields)
 
-def known_subjects(stream: DataFrame, minutes: int = TTL_MINUTES) -> DataFrame:
-    """Subject known before each turn.
 
-    ``stream``: (``session_key``, ``turn_id``, ``at`` timestamp, ``subject`` or null). State is one
-    small row per key. A key's turns of one trigger are ordered in memory, so bound the trigger
-    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) on heavy streams.
+def known_subjects(stream: DataFrame, fields: Sequence[str] = FIELDS, minutes: int = TTL_MINUTES) -> DataFrame:
+    """What is known before each turn, a column ``known_<field>`` for each of ``fields``.
+
+    ``stream``: (``session_key``, ``turn_id``, ``at`` timestamp and the fields, null where a turn names none). State
+    is one small row per key, dropped by an event-time timer. A key's turns of one trigger are ordered in memory, so
+    bound the trigger (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) on heavy streams.
     """
-    ttl_us = minutes * 60_000_000
+    ttl_us, names = minutes * 60_000_000, list(fields)
 
     def step(key, batches, state):
-        return _next_turns(key, batches, state, ttl_us)
+        return _next_turns(key, batches, state, ttl_us, names)
 
     timed = stream.withWatermark("at", f"{minutes} minutes").withColumn("at_us", F.unix_micros("at"))
-    return timed.groupBy("session_key").applyInPandasWithState(
-        step, OUT_DDL, STATE_DDL, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    held = "".join(f"{f} string, " for f in names) + "updated_us bigint"
+    return timed.groupBy("session_key").applyInPandasWithState(step, known_ddl(names), held, "append", GroupStateTimeout.EventTimeTimeout)
