@@ -194,6 +194,18 @@ def test_files_in_the_root_are_one_source(spark, tmp_path):
     assert [r.source_folder for r in got] == [tmp_path.name]
 
 
+def test_source_folders_of_odd_paths(spark, tmp_path):
+    """A folder name that repeats in the path, blanks and a plus sign in names; planning runs no job."""
+    root = tmp_path / "data" / "in put" / "data"
+    for folder in ("data", "test matches", "a+b", ".hidden", "x_csv"):
+        (root / folder / "data").mkdir(parents=True)
+        (root / folder / "data" / f"{len(folder)} m.json").write_text(json.dumps(M2))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    frame = mt.read_matches(spark, str(root) + "/")
+    assert set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) == set(jobs)
+    assert sorted(r.source_folder for r in frame.select("source_folder").collect()) == ["a+b", "data", "test matches"]
+
+
 def test_reference_data(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps([
         {"id": "r1", "title": "Rule", "answer": "Yes", "aliases": [" a ", "a", ""], "keywords": ["k"]},

@@ -314,15 +314,19 @@ def summarize_teams(teams: DataFrame) -> DataFrame:
     )
 
 
-def _meetings(teams: DataFrame) -> DataFrame:
-    """One row per pair of teams that batted in the same match, names in order.
+def team_sets(teams: DataFrame, *columns: str) -> DataFrame:
+    """One row per match: its teams in order of their names, and its ``columns``."""
+    return teams.groupBy("match_id").agg(
+        F.array_sort(F.collect_set("team")).alias("teams"), *[F.first(c).alias(c) for c in columns]
+    )
 
-    Both names sit in one (match, team) group of a handful of rows, so the pair comes from a
-    self-join on the match.
-    """
-    left = teams.select("match_id", "winner", F.col("team").alias("team_a"))
-    right = teams.select("match_id", F.col("team").alias("team_b"))
-    return left.join(right, "match_id").filter("team_a < team_b")
+
+def _meetings(teams: DataFrame) -> DataFrame:
+    """One row per pair of teams that batted in the same match, names in order; pairs are formed inside the row."""
+    pairs = F.flatten(
+        F.transform("teams", lambda a, i: F.transform(F.slice("teams", i + 2, F.size("teams")), lambda b: F.struct(a.alias("team_a"), b.alias("team_b"))))
+    )
+    return team_sets(teams, "winner").select("match_id", "winner", F.inline(pairs))
 
 
 def head_to_head_all(teams: DataFrame) -> DataFrame:

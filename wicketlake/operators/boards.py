@@ -114,21 +114,19 @@ def matches_between(match_teams: DataFrame, teams: list[str]) -> DataFrame:
 
 
 def latest_meetings(match_teams: DataFrame, requests: DataFrame) -> DataFrame:
-    """Latest match of each requested pair (``team_a``, ``team_b``; ``team_b`` may be empty)."""
-    a = match_teams.select(
-        F.col("team").alias("team_a"), "match_id", "match_date", "match_type", "venue", "winner"
-    )
-    b = match_teams.select(F.col("team").alias("_team_b"), F.col("match_id").alias("_match_b"))
-    with_a = requests.join(a, "team_a")
-    both = with_a.filter("team_b != ''").join(
-        b, (F.col("match_id") == F.col("_match_b")) & (F.col("team_b") == F.col("_team_b")), "left_semi"
+    """Latest match of each requested pair (``team_a``, ``team_b``; ``team_b`` may be empty).
+
+    Every match offers itself to the pairs of its own few teams; those are reduced to the latest before they meet
+    the requests, so that a team in many matches or requests is one row a pair.
+    """
+    fields = ["match_date", "match_type", "venue", "winner"]
+    others = F.concat(F.array(F.lit("")), F.col("teams"))
+    pairs = F.flatten(
+        F.transform("teams", lambda a: F.transform(F.filter(others, lambda b: b != a), lambda b: F.struct(a.alias("team_a"), b.alias("team_b"))))
     )
-    found = both.unionByName(with_a.filter("team_b = ''"))
-    latest = F.max_by(
-        F.struct("match_id", "match_date", "match_type", "venue", "winner"),
-        F.struct("match_date", "match_id"),
-    ).alias("m")
-    return found.groupBy("team_a", "team_b").agg(latest).select("team_a", "team_b", "m.*")
+    met = ag.team_sets(match_teams, *fields).select("match_id", *fields, F.inline(pairs))
+    latest = F.max_by(F.struct("match_id", *fields), F.struct("match_date", "match_id")).alias("m")
+    return met.groupBy("team_a", "team_b").agg(latest).join(requests.distinct(), ["team_a", "team_b"]).select("team_a", "team_b", "m.*")
 
 
 def compare_entities(profiles: DataFrame, pairs: DataFrame, metrics: list[str], name: str = "player") -> DataFrame:

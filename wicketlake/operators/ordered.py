@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wicketlake.session import written
+
 
 def numbered(df: DataFrame, keys: list[str], step: str, order: list, name: str) -> DataFrame:
     """1-based position per ``keys`` by (``step``, ``order``); ``step`` never decreases along the order."""
@@ -52,3 +54,17 @@ def carried(df: DataFrame, keys: list[str], order: str, step_rows: int, columns:
         out = out.withColumn(name, F.coalesce(f"_local_{i}", f"_enter_{i}"))
     drop = [f"_{kind}_{i}" for kind in ("local", "enter") for i in range(len(columns))]
     return out.drop("_step", *drop)
+
+
+def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """Place of each row in a total ``order``, from 1.
+
+    Rows are dealt out by ranges of the order; a place is the one within the range plus the rows of the ranges
+    before, of which there is one count for each range. Only those counts meet in one task.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = written(dealt.withColumn("_range", F.shiftright("_at", 33).cast("int")), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_rows"), F.min("_at").alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    shifts = counts.select("_range", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return dealt.join(shifts, "_range").withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")

@@ -127,22 +127,24 @@ def unindexed_matches(spark, sf_dir):
 
 @register(
     "feed_sorted",
-    f"WITH {RAW_FEED} SELECT id, try_cast(dateTimeGMT AS TIMESTAMP) IS NULL AS unreadable, date FROM feed",
+    f"WITH {RAW_FEED} SELECT id, try_cast(dateTimeGMT AS TIMESTAMP) IS NULL AS unreadable, date, "
+    "row_number() OVER (ORDER BY try_cast(dateTimeGMT AS TIMESTAMP) DESC NULLS LAST, id) AS position FROM feed",
 )
 def feed_sorted(spark, sf_dir):
     rows = fd.sorted_feed(feed_items(spark, sf_dir), ascending=False)
-    return rows.select("id", fd.at().isNull().alias("unreadable"), "date")
+    return rows.select("id", fd.at().isNull().alias("unreadable"), "date", "position")
 
 
 @register(
     "feed_relevance",
-    f"WITH {RAW_FEED} SELECT id, name, CASE WHEN team_1 = 'NATION_2' OR team_2 = 'NATION_2' THEN 300 "
+    f"WITH {RAW_FEED} SELECT id, name, relevance, row_number() OVER (ORDER BY relevance DESC, coalesce(try_cast(dateTimeGMT AS TIMESTAMP), TIMESTAMP '1970-01-01') DESC, name, id) AS position FROM ("
+    "SELECT *, CASE WHEN team_1 = 'NATION_2' OR team_2 = 'NATION_2' THEN 300 "
     "WHEN team_1 LIKE 'NATION\\_2_' ESCAPE '\\' OR team_2 LIKE 'NATION\\_2_' ESCAPE '\\' THEN 90 ELSE 0 END "
     "+ CASE WHEN contains(name, 'NATION_2') THEN 25 ELSE 0 END + CASE WHEN contains(name, 'NATION_2 vs') THEN 15 ELSE 0 END "
-    "+ CASE WHEN matchStarted AND NOT matchEnded THEN 40 ELSE 0 END AS relevance FROM feed",
+    "+ CASE WHEN matchStarted AND NOT matchEnded THEN 40 ELSE 0 END AS relevance FROM feed) r",
 )
 def feed_relevance(spark, sf_dir):
-    return fd.by_relevance(feed_items(spark, sf_dir), "Nation 2", "nation_2 vs").select("id", "name", "relevance")
+    return fd.by_relevance(feed_items(spark, sf_dir), "Nation 2", "nation_2 vs").select("id", "name", "relevance", "position")
 
 
 @register(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wicketlake.functions import rates
 from wicketlake.functions.text import bound_once, find, first_non_empty, normalize_text
+from wicketlake.operators.ordered import positions
 from wicketlake.schemas import FEED_ITEM_DDL, SCORECARD_DDL
 
 
@@ -87,8 +88,8 @@ def live(feed: DataFrame) -> DataFrame:
 
 
 def sorted_feed(feed: DataFrame, ascending: bool = True) -> DataFrame:
-    """By start; unreadable dates come last either way."""
-    return feed.orderBy(F.asc_nulls_last(at()) if ascending else F.desc_nulls_last(at()), "id")
+    """With ``position`` by start, then id; unreadable dates come last either way."""
+    return positions(feed, [F.asc_nulls_last(at()) if ascending else F.desc_nulls_last(at()), F.asc("id")])
 
 
 # How well a team name meets a hint, and what else counts.
@@ -120,10 +121,10 @@ def relevance(hint: str, question: str) -> Column:
 
 
 def by_relevance(feed: DataFrame, hint: str, question: str, ascending: bool = False) -> DataFrame:
+    """With ``relevance``, and ``position`` by it, then by start (unreadable ones count as the oldest), name and id."""
     start = F.coalesce(at(), F.lit(0).cast("timestamp"))
-    return feed.withColumn("relevance", relevance(hint, question)).orderBy(
-        F.desc("relevance"), start.asc() if ascending else start.desc(), "name", "id"
-    )
+    scored = feed.withColumn("relevance", relevance(hint, question))
+    return positions(scored, [F.desc("relevance"), start.asc() if ascending else start.desc(), F.asc("name"), F.asc("id")])
 
 
 def score_line(score="score") -> Column:

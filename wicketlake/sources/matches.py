@@ -15,14 +15,34 @@ SKIPPED_FOLDERS = r"^(\..*|all_json|__pycache__|.*_csv)$"
 CORRUPT = "_corrupt_record"
 
 
+def holds_json(spark: SparkSession, folder: str) -> bool:
+    """Whether a JSON file lies in the folder itself; the file system is asked, no job runs."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    entries = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(place)
+    while entries.hasNext():
+        entry = entries.next()
+        name = entry.getPath().getName()
+        if entry.isFile() and name.endswith(".json") and name[0] not in "._":
+            return True
+    return False
+
+
+def path_below(spark: SparkSession, path: Column, folder: str) -> Column:
+    """The rest of a file's path below ``folder``, compared as a path: without scheme and host, escapes as they are."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toUri().getRawPath().rstrip("/")
+    bare = F.regexp_replace(path, "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    return F.when(F.startswith(bare, F.lit(root + "/")), F.substring(bare, len(root) + 2, 1 << 30))
+
+
 def read_matches(spark: SparkSession, root: str) -> DataFrame:
     """Every JSON file below ``root`` with its source folder, path and age.
 
     The folder right below the root is the source; files in the root itself make the root the
-    only source. Malformed files keep their text in ``_corrupt_record``.
+    only source. Malformed files keep their text in ``_corrupt_record``. Files whose names start with
+    an underscore or a dot are hidden, as for Spark.
     """
     base = root.rstrip("/")
-    last = base.rsplit("/", 1)[-1]
     raw = (
         spark.read.schema(RAW_MATCH_DDL)
         .option("multiLine", True)
@@ -31,17 +51,16 @@ def read_matches(spark: SparkSession, root: str) -> DataFrame:
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(base)
     )
-    inside = F.regexp_extract("path", ".*?/" + last.replace(".", "[.]") + "/(.*)$", 1)
+    inside = path_below(spark, F.col("path"), base)
     folder = F.when(F.contains(inside, F.lit("/")), F.substring_index(inside, "/", 1)).otherwise(F.lit(""))
     found = raw.select(
         "*",
         F.col("_metadata.file_path").alias("path"),
         F.unix_micros(F.col("_metadata.file_modification_time")).alias("modified"),
-    ).withColumn("_folder", folder)
+    ).withColumn("_folder", F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))))
     # Files in the root itself win over folders, as one source.
-    direct = bool(found.select("_folder").filter("_folder = ''").limit(1).count())
-    if direct:
-        kept = found.filter("_folder = ''").withColumn("source_folder", F.lit(last))
+    if holds_json(spark, base):
+        kept = found.filter("_folder = ''").withColumn("source_folder", F.lit(base.rsplit("/", 1)[-1]))
     else:
         kept = found.filter(~F.lower("_folder").rlike(SKIPPED_FOLDERS)).withColumn("source_folder", F.col("_folder"))
     return kept.drop("_folder")
