@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wicketlake.functions import wiki
 from wicketlake.operators import vectors as ve
 from wicketlake.operators.ordered import numbered
-from wicketlake.sources import documents as store
+from wicketlake.sources import documents as ds
 from wicketlake.sources import feed as fd
 from wicketlake.sources import matches as mt
 from wicketlake.sources import pages as pg
@@ -100,13 +100,13 @@ def test_upsert_is_idempotent(spark, tmp_path):
     ddl = "id string, doc_type string, document string, metadata map<string,string>"
     old = spark.createDataFrame([("a", "x", "one", {}), ("b", "x", "two", {})], ddl)
     new = spark.createDataFrame([("b", "x", "new", {}), ("c", "y", "three", {}), ("", "y", "lost", {}), ("d", "y", " ", {})], ddl)
-    once = store.upsert_docs(old, new)
-    twice = store.upsert_docs(once, new)
+    once = ds.upsert_docs(old, new, [F.desc("document")])
+    twice = ds.upsert_docs(once, new, [F.desc("document")])
     assert sorted((r.id, r.document) for r in once.collect()) == [("a", "one"), ("b", "new"), ("c", "three")]
     assert sorted(r.id for r in twice.collect()) == ["a", "b", "c"]
-    path = store.write_docs(once, str(tmp_path))
-    back = store.read_docs(spark, path)
-    assert store.get_docs(back, {"doc_type": "x"}, limit=1, offset=1).first().id == "b"
+    path = ds.write_docs(once, str(tmp_path))
+    back = ds.read_docs(spark, path)
+    assert ds.get_docs(back, {"doc_type": "x"}, limit=1, offset=1).first().id == "b"
 
 
 def test_nearest_vectors_both_ways(spark):

@@ -173,5 +173,5 @@ def docs_upsert(spark, sf_dir):
         .unionByName(shape(F.concat(F.lit("new-"), F.col("item_id").cast("string"))))
         .unionByName(shape(F.lit("")))
     )
-    merged = store.upsert_docs(corpus(spark, sf_dir), updates)
+    merged = store.upsert_docs(corpus(spark, sf_dir), updates, [F.desc("document")])
     return merged.select("id", F.sha1(F.col("document").cast("binary")).alias("digest"))

@@ -36,12 +36,12 @@ def valid_updates(updates: DataFrame) -> DataFrame:
     return trimmed.filter("coalesce(id, '') != '' AND coalesce(document, '') != ''")
 
 
-def upsert_docs(target: DataFrame, updates: DataFrame, order: list | None = None) -> DataFrame:
+def upsert_docs(target: DataFrame, updates: DataFrame, order: list) -> DataFrame:
     """``target`` with ``updates`` in place of rows of the same id.
 
-    Among several updates of one id the last by ``order`` stays (default: the largest text).
+    Among several updates of one id the first by ``order`` stays, such as the latest arrival first.
     """
-    last = latest_per_key(valid_updates(updates), ["id"], order or [F.desc("document")])
+    last = latest_per_key(valid_updates(updates), ["id"], order)
     last = last.select(*target.columns)
     return target.join(last.select("id"), "id", "left_anti").unionByName(last)
 

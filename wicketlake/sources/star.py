@@ -40,8 +40,9 @@ DELIVERY_SQL = {
     " WHEN l_partkey % 8 = 6 THEN 'caught and bowled' ELSE 'retired hurt' END",
     "match_winner": "CASE WHEN o_orderstatus = 'F' THEN team_a WHEN o_orderstatus = 'O' THEN team_b ELSE '' END",
     # One number, so that the smallest is found by hash aggregation.
-    "row_seq": "CAST(l_linenumber AS BIGINT) * 1000000000000000000 + CAST(extract(year FROM l_shipdate) * 10000"
-    " + extract(month FROM l_shipdate) * 100 + extract(day FROM l_shipdate) AS BIGINT) * 10000000000 + l_partkey",
+    # Fits a long for up to 900 lines of an order; 372 and 31 keep the order of days.
+    "row_seq": "CAST(l_linenumber AS BIGINT) * 10000000000000000 + CAST(extract(year FROM l_shipdate) * 372"
+    " + extract(month FROM l_shipdate) * 31 + extract(day FROM l_shipdate) AS BIGINT) * 10000000000 + l_partkey",
 }
 # Columns that build on the ones above.
 DERIVED_SQL = {

@@ -47,12 +47,15 @@ def read_store(spark: SparkSession, root: str, before: int | None = None) -> Dat
 
 
 def merge(docs: DataFrame, root: str, version: int, parts: int = PARTS) -> list[int]:
-    """Put ``docs`` (read twice: give a written table) in place of documents of the same id; the parts replaced."""
+    """Put ``docs`` (read twice: give a written table) in place of documents of the same id; the parts replaced.
+
+    A batch should have an id once; of several, the largest text stays, whatever the order of rows.
+    """
     spark = docs.sparkSession
     touched = sorted(r["part"] for r in docs.select(part_of("id", parts).alias("part")).distinct().collect())
     held = current_parts(spark, root, version)
     old = read_parts(spark, root, {p: held[p] for p in touched if p in held})
-    merged = upsert_docs(old, docs).withColumn("part", part_of("id", parts))
+    merged = upsert_docs(old, docs, [F.desc("document")]).withColumn("part", part_of("id", parts))
     merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{root}/store/version={version}")
     rows = spark.createDataFrame([(p,) for p in touched], "part int")
     rows.coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/version={version}")
