@@ -143,7 +143,7 @@ def letter_words(texts: pa.Array) -> pa.Array:
     return pc.utf8_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), pattern=r"[^\pL]+", replacement=" "))
 
 
-def row_slices(column: pa.Array, size: int = 2 << 20):
+def row_slices(column: pa.Array, size: int = 1 << 19):
     """Slices of about ``size`` bytes; a longer text stands alone."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     first = 0
