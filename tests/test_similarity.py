@@ -212,3 +212,25 @@ def test_every_question_has_a_row(spark):
     queries = spark.createDataFrame([(1, "Virat Kohly"), (2, "zzzz"), (3, None)], "query_id int, text string")
     got = {r.query_id: (r.external_name, r.shown_name, r.found) for r in se.external_match(queries, aliases(spark), every=True).collect()}
     assert got == {1: ("virat kohli", "virat kohli", True), 2: (None, "zzzz", False), 3: (None, "", False)}
+
+def test_mentions_in_long_texts_and_of_short_names(spark):
+    from wicketlake.operators import search as se
+
+    letters = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(400))
+    texts = [(n, letters[n:] + "é𝄞 XY" + letters[: 130 + n]) for n in range(70)] + [(98, "ab"), (99, "")]
+    names = ["é𝄞", "X", "XY", "Y" + letters[:3], letters[60:70], letters[62:67], letters[126:131], letters[:64], letters[1:66], "zzzz", "ab", " "]
+    t = spark.createDataFrame(texts, "text_id long, text string")
+    k = spark.createDataFrame([(n,) for n in names], "name string")
+    found = sorted(map(tuple, se.entity_mentions(t, k).collect()))
+    assert found == sorted((str(i), n.strip()) for i, text in texts for n in names if n.strip() and n.strip() in text)
+
+
+def test_mentions_make_no_index_of_all_runs(spark):
+    """Only runs of names leave the pass over the texts: none of the others is shuffled."""
+    from wicketlake.operators.candidates import containment
+
+    texts = spark.range(3000).selectExpr("id", "concat(sha2(string(id), 512), ' Kofi ', id) AS text")
+    names = spark.createDataFrame([("Kofi",)], "inner string")
+    met = containment(names, texts, "text", "id")
+    assert met.distinct().count() == 3000
+    assert "Exchange hashpartitioning(run" not in met._jdf.queryExecution().executedPlan().toString()

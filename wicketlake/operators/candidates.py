@@ -22,6 +22,8 @@ from wicketlake.session import written
 #: Deletions are made in the first letters of a word; later ones need not agree for a candidate.
 PREFIX = 10
 GRAM = 3
+#: Texts are cut into pieces of so many letters before runs are cut from them.
+PIECE = 64
 
 
 def without_one(text: Column) -> Column:
@@ -87,27 +89,44 @@ def sharing_initial_and_last(queries: DataFrame, names: DataFrame) -> DataFrame:
     return keyed(queries, "q").join(keyed(names, "a"), ["initial", "last"]).select("q", "a")
 
 
-def letter_runs(text: Column, size: int) -> Column:
-    """The distinct runs of ``size`` letters of a text."""
-    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
-    runs = F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))
-    return F.when(F.length(text) >= size, runs).otherwise(F.array().cast("array<string>"))
+def letter_runs(df: DataFrame, key: str, text: str, sizes: list[int]) -> DataFrame:
+    """(key, run): the runs of ``sizes`` letters of the texts, one row for each place.
 
+    Texts are cut into pieces that overlap by less than a run, and runs are cut from these, so that a run costs the
+    same in a text of any length.
+    """
+    piece = rf"(?s)(?=(.{{1,{PIECE + max(sizes) - 1}}})).{{1,{PIECE}}}"
+    cut = df.select(F.col(key).alias("key"), F.explode(F.regexp_extract_all(text, F.lit(piece), F.lit(1))).alias("piece"))
+    cut = cut.select("key", "piece", F.explode(F.array(*map(F.lit, sizes))).alias("size")) if len(sizes) > 1 else cut.withColumn("size", F.lit(sizes[0]))
+    places = F.sequence(F.lit(1), F.least(F.length("piece") - F.col("size") + 1, F.lit(PIECE)))
+    cut = cut.where(F.length("piece") >= F.col("size")).select("key", "piece", "size", F.explode(places).alias("at"))
+    return cut.select("key", F.substr("piece", F.col("at"), F.col("size")).alias("run"))
 
-def containment(inner: DataFrame, outer: DataFrame, text: str = "text", key: str = "text") -> DataFrame:
-    """(inner, key) that holds every pair of an ``inner`` (column inner, not empty) that stands inside a text.
 
-    A text shorter than a run is a run itself, so runs of all sizes up to ``GRAM`` are indexed; each inner text
-    meets the texts that hold its rarest run, and none if it has a run that no text holds.
+def containment(inner: DataFrame, outer: DataFrame, text: str = "text", key: str = "text") -> DataFrame:
+    """(inner, key) that holds every pair of an ``inner`` (column inner, not empty) that stands inside a text; a pair
+    may come more than once.
+
+    A text shorter than a run is a run itself, so runs of all sizes up to ``GRAM`` count; each inner text
+    meets the texts that hold its rarest run, and none if it has a run that no text holds. Of the texts' runs only
+    those of some inner text are counted and, after the choice, only those chosen are kept, so that no index of all
+    runs is made; a table of few runs is broadcast by its written size and the runs of the texts stay where they are.
+    ``outer`` is read twice, so give a written one.
     """
-    runs = F.concat(*[letter_runs(F.col(text), size) for size in range(1, GRAM + 1)])
-    index = outer.select(F.col(key).alias("key"), F.explode(runs).alias("run"))
-    often = index.groupBy("run").agg(F.count("*").alias("n"))
-    own = F.col("inner")
-    mine = F.when(F.length(own) >= GRAM, letter_runs(own, GRAM)).otherwise(F.array(own))
-    parts = inner.select("inner", F.explode(mine).alias("run")).join(often, "run", "left")
-    rare = parts.groupBy("inner").agg(F.min_by("run", "n").alias("run"), F.count_if(F.col("n").isNull()).alias("lacking"))
-    return rare.where("lacking = 0").select("inner", "run").join(index, "run").select("inner", "key")
+    long = letter_runs(inner.where(F.length("inner") >= GRAM), "inner", "inner", [GRAM]).withColumnRenamed("key", "inner")
+    brief = inner.where(F.length("inner") < GRAM).select("inner", F.col("inner").alias("run"))
+    parts = written(long.unionByName(brief).distinct(), "runs")
+
+    def held(chosen: DataFrame, *columns: str) -> DataFrame:
+        whole = letter_runs(outer, key, text, [GRAM]).join(chosen.where(F.length("run") >= GRAM), "run")
+        # without an inner text so short this part is empty, and its side of the texts is not read
+        short = letter_runs(outer, key, text, list(range(1, GRAM))).join(chosen.where(F.length("run") < GRAM), "run")
+        return whole.select(*columns).unionByName(short.select(*columns))
+
+    often = held(parts.select("run").distinct(), "run").groupBy("run").agg(F.count("*").alias("n"))
+    counted = parts.join(often, "run", "left")
+    rare = counted.groupBy("inner").agg(F.min_by("run", "n").alias("run"), F.count_if(F.col("n").isNull()).alias("lacking"))
+    return held(written(rare.where("lacking = 0").select("inner", "run"), "rare-runs"), "inner", "key")
 
 
 def edit_pairs(queries: DataFrame, names: DataFrame, least: float, block: int = 4096) -> DataFrame:
