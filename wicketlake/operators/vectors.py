@@ -172,31 +172,38 @@ def similar_documents(left: DataFrame, right: DataFrame, max_distance: float = M
     A document is words in one string, of which repeated ones count once. Bags that are close share most words, so they
     share one of their rarest few, and only those are joined on. A word meets only bags of a fitting size, so
     that a frequent one is split by sizes, and only at places that leave enough words behind them to be shared.
-    Each side is read once; the pairs left are verified.
+    Documents are written once and have a number, which stands for them until pairs are verified. All joins are of
+    tables that grow with the documents, so they are merge joins, whatever little a written table takes on disk.
     """
     t = 1.0 - max_distance
-    l = left.select(F.col("document").alias("doc")).filter("doc != ''").distinct().withColumn("side", F.lit("l"))
-    r = right.select(F.col("document").alias("doc")).filter("doc != ''").distinct().withColumn("side", F.lit("r"))
-    both = l.unionByName(r).withColumn("words", F.array_distinct(F.split("doc", " "))).withColumn("n", F.size("words"))
-    words = written(both.select("side", "doc", "n", F.explode("words").alias("word")), "words")
+    flag = lambda df, l, r: df.select(F.col("document").alias("doc"), F.lit(l).alias("l"), F.lit(r).alias("r"))
+    both = flag(left, True, False).unionByName(flag(right, False, True)).filter("doc != ''")
+    both = both.groupBy("doc").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r"))
+    both = both.withColumn("words", F.array_distinct(F.split("doc", " "))).withColumn("n", F.size("words"))
+    both = written(both.withColumn("id", F.monotonically_increasing_id()), "documents")
+    words = both.select("id", "l", "r", "n", F.explode("words").alias("word"))
     often = words.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
     # Bags of n words at cosine distance d share at least (1 - d)^2 * n of them.
     must_share = F.ceil(F.col("n") * F.lit(t * t) - F.lit(1e-9))
     first = F.slice("rare_first", F.lit(1), (F.col("n") - must_share + 1).cast("int"))
     band = F.floor(F.log(F.col("n")) / -np.log(t * t)).cast("int") if 0 < t < 1 else F.col("n")
-    ordered = words.join(often, "word").groupBy("side", "doc", "n").agg(
+    ordered = words.join(often.hint("merge"), "word").groupBy("id", "l", "r", "n").agg(
         F.array_sort(F.collect_list(F.struct("often", "word"))).alias("rare_first")
     )
-    ordered = written(ordered.select("side", "doc", "n", band.alias("band"), F.posexplode(first).alias("place", "w")), "rare-words")
-    a = ordered.filter("side = 'l'").select(F.col("doc").alias("l_doc"), F.col("n").alias("l_n"), "band", F.col("place").alias("l_at"), "w.word")
-    b = ordered.filter("side = 'r'").select(
-        F.col("doc").alias("r_doc"), F.col("n").alias("r_n"), F.col("place").alias("r_at"), "w.word",
+    ordered = written(ordered.select("id", "l", "r", "n", band.alias("band"), F.posexplode(first).alias("place", "w")), "rare-words")
+    a = ordered.filter("l").select(F.col("id").alias("l_id"), F.col("n").alias("l_n"), "band", F.col("place").alias("l_at"), "w.word")
+    b = ordered.filter("r").select(
+        F.col("id").alias("r_id"), F.col("n").alias("r_n"), F.col("place").alias("r_at"), "w.word",
         F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"),
     )
     sized = (F.col("r_n") >= F.col("l_n") * (t * t) - 1e-9) & (F.col("l_n") >= F.col("r_n") * (t * t) - 1e-9)
     left_over = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at"))
     enough = left_over >= t * F.sqrt(F.col("l_n").cast("double") * F.col("r_n")) - 1e-6
-    candidates = a.join(b, ["word", "band"]).filter(sized & enough).select("l_doc", "r_doc", "l_n", "r_n").distinct()
+    met = a.join(b.hint("merge"), ["word", "band"]).filter(sized & enough).select("l_id", "r_id")
+    # Dealt out by the left document, where pairs are made distinct and meet its text without another shuffle.
+    pairs = met.repartition("l_id").distinct()
+    side = lambda name: both.filter(name).select(F.col("id").alias(f"{name}_id"), F.col("doc").alias(f"{name}_doc"), F.col("n").alias(f"{name}_n"))
+    candidates = pairs.join(side("l").hint("merge"), "l_id").join(side("r").hint("merge"), "r_id")
     shared = F.size(F.array_intersect(F.split("l_doc", " "), F.split("r_doc", " ")))
     distance = F.round(1 - shared / F.sqrt(F.col("l_n").cast("double") * F.col("r_n")), 6)
     return candidates.select("l_doc", "r_doc", distance.alias("distance")).filter(F.col("distance") < max_distance)
