@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from wicketlake.functions import similarity as sim
 from wicketlake.operators import candidates as ca
 from wicketlake.operators import search as se
+from wicketlake.operators import vectors as ve
 
 WORDS = st.text(alphabet="abcd ", max_size=9).map(lambda s: " ".join(s.split()))
 
@@ -234,3 +235,19 @@ def test_mentions_make_no_index_of_all_runs(spark):
     met = containment(names, texts, "text", "id")
     assert met.distinct().count() == 3000
     assert "Exchange hashpartitioning(run" not in met._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_questions_broadcast_no_table_that_grows(spark):
+    """A written table of texts is small on disk only."""
+    docs = spark.range(300).selectExpr("concat('predict winner match ', id) AS document")
+    pairs = ve.similar_documents(docs, docs, 0.3)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan
+    # what meets by words and is made distinct are numbers; texts come after
+    assert "HashAggregate(keys=[l_id" in plan
+    assert pairs.count() == 300 * 300
+    asked = spark.createDataFrame([(1, "who scored most runs in world cup final match"), (2, "who scored most runs in world cup final matc")], "question_id int, text string")
+    cache = asked.filter("question_id = 1").selectExpr("'a' AS id", "text AS question_text", "'x' AS answer_text")
+    hits = ve.near_hits(asked, cache, 0.3)
+    assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert {(r.question_id, r.cached_id) for r in hits.collect()} >= {(1, "a")}

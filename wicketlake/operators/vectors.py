@@ -248,7 +248,7 @@ def near_hits(questions: DataFrame, cache: DataFrame, max_distance: float = MAX_
     one are compared by words; those must be very similar as texts too. Farther entries don't step in
     for a nearest one that is not compatible.
     """
-    asked = questions.select("question_id", "text", question_document("text").alias("l_doc"))
+    asked = written(questions.select("question_id", "text", question_document("text").alias("l_doc")), "asked")
     # One entry per document and text; equal texts behave equally.
     entries = (
         answered(cache)
@@ -256,19 +256,21 @@ def near_hits(questions: DataFrame, cache: DataFrame, max_distance: float = MAX_
         .groupBy("r_doc", "question_text")
         .agg(F.min("id").alias("cached_id"))
     )
-    same = entries.filter("r_doc != ''").groupBy(F.col("r_doc").alias("l_doc")).agg(F.min("cached_id").alias("cached_id"))
+    entries = written(entries, "entries")
+    # Texts take little room on disk and much in memory, so none of these tables is broadcast by its written size.
+    same = entries.filter("r_doc != ''").groupBy(F.col("r_doc").alias("l_doc")).agg(F.min("cached_id").alias("cached_id")).hint("merge")
     direct = asked.join(same, "l_doc").select("question_id", "cached_id", F.lit(0.0).alias("distance"))
-    texts = asked.join(same, "l_doc", "left_anti").select("l_doc", "text").distinct()
+    texts = written(asked.join(same, "l_doc", "left_anti").select("l_doc", "text").distinct(), "texts")
     docs = similar_documents(
         texts.select(F.col("l_doc").alias("document")), entries.select(F.col("r_doc").alias("document")), max_distance
     )
     nearest = (
-        docs.join(entries, "r_doc")
+        docs.join(entries.hint("merge"), "r_doc")
         .groupBy("l_doc")
         .agg(F.min(F.struct("distance", "cached_id", "r_doc", "question_text")).alias("b"))
         .select("l_doc", "b.*")
     )
-    pairs = pair_similarity(texts.join(nearest, "l_doc"), "text", "question_text", "similarity")
+    pairs = pair_similarity(texts.join(nearest.hint("merge"), "l_doc"), "text", "question_text", "similarity")
     best = pairs.filter(compatible(F.col("similarity"), "text", "question_text", "l_doc", "r_doc"))
-    fuzzy = asked.join(best, ["l_doc", "text"]).select("question_id", "cached_id", "distance")
+    fuzzy = asked.join(best.hint("merge"), ["l_doc", "text"]).select("question_id", "cached_id", "distance")
     return direct.unionByName(fuzzy)

@@ -335,7 +335,7 @@ def cached_questions(spark, sf_dir):
     """Every question followed by an answer of the next turn."""
     turns = table(spark, sf_dir, "conversations")
     answers = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer_text"))
-    return questions(spark, sf_dir).join(answers, ["conv_id", "turn"]).select(
+    return questions(spark, sf_dir).join(answers.hint("merge"), ["conv_id", "turn"]).select(
         F.col("question_id").alias("id"), F.col("text").alias("question_text"), "answer_text"
     )
 
