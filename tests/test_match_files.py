@@ -216,3 +216,32 @@ def test_reference_data(spark, tmp_path):
     (tmp_path / "alias.json").write_text(json.dumps({"A. Person": "Ann Person", "a person": "Ann Person"}))
     got = {r.alias_norm: r.canonical for r in read_aliases(spark, str(tmp_path / "alias.json")).collect()}
     assert got == {"a person": "Ann Person", "ann person": "Ann Person"}
+
+
+def _dealt_by(df):
+    import re
+
+    return re.findall(r"Exchange hashpartitioning\((.*?), (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_balls_are_dealt_out_by_match_in_parts_of_bounded_size(spark, monkeypatch):
+    from wicketlake.operators import boards as bd
+    from wicketlake.sources import star
+
+    monkeypatch.setattr(star, "BALLS_IN_PART", 100)
+    balls = star.deliveries(spark, "/root/testdata/sf0.001")
+    # all steps by match stay in these parts
+    dealt = _dealt_by(bd.match_top_performers(balls))
+    assert {n for keys, n in dealt if keys.startswith("match_")} == {"60"}
+    assert sum(keys.startswith("match_id") for keys, _ in dealt) == 1
+
+
+def test_archive_summary_groups_no_match_with_names(spark, monkeypatch):
+    from wicketlake.operators import aggregates as ag
+    from wicketlake.sources import star
+
+    monkeypatch.setattr(star, "BALLS_IN_PART", 100)
+    balls = star.deliveries(spark, "/root/testdata/sf0.001")
+    dealt = _dealt_by(ag.archive_summary(balls))
+    assert {n for keys, n in dealt if keys.startswith("match_")} == {"60"} and not any("day" in keys for keys, _ in dealt)
+    assert [tuple(r) for r in ag.archive_summary(balls.filter("match_id = 'none'")).collect()] == [(0, 0, 0, "", "")]
