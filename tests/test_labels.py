@@ -155,3 +155,31 @@ def test_glossary_has_its_text(spark):
     known = spark.createDataFrame([("economy", "runs an over"), ("not a term", "x")], "term string, explanation string")
     got = {r.question_id: (r.glossary_term, r.explanation) for r in lb.glossary_term(lb.prepared(asked), known).collect()}
     assert got[1] == ("economy", "runs an over") and got[2][0] == "" and got[3][0] == "lbw" and got[2][1] == got[3][1]
+
+
+def test_scrubbed_texts_with_and_without_words_of_fragments(spark):
+    import re
+
+    from wicketlake.functions import text as tx
+
+    assert all(word in fragment.lower().replace("\\s+", " ").replace("\\b", "") for word, fragment in zip(tx.SCRUB_WORDS, tx.SCRUB_FRAGMENTS, strict=True))
+    lines = ["", "one two three four", "one two  three four\tfive\n six ", "AUSTRALIA,  officially the big one. Then five more words here", "the land\tareas of five more words", "the LAND AREA of all\nfive more words come here now",
+             "sovereign  country or not\nbut six words come after it", "located in Indian Ocean" + " x" * 60, "a b c d located in oceania", "a b c d sixth-Largest country in Oceania\n.e f g", "country in oceania " * 3, "Tısmania a b c d", "tasmania tasmanian a b c d e\nf g h i j"]
+
+    def plain(text):
+        for fragment in tx.SCRUB_FRAGMENTS:
+            text = re.sub("(?i)" + fragment, " ", text, flags=re.ASCII)
+        text = re.sub(r"[\s\x1c-\x1f\x85\xa0]+", " ", text).strip(" ")
+        n = re.sub("[^a-z0-9]+", " ", text.lower().replace(".", "")).strip()
+        return "n/a" if not text or re.match("[^0-9A-Za-z_]", text) or len(n.split()) < 5 or re.search(tx.SCRUB_REMAINS, n) else text
+
+    rows = spark.createDataFrame(list(enumerate(lines)), "n int, text string").select("n", tx.scrub_text("text", "n/a").alias("s"))
+    assert {r.n: r.s for r in rows.collect()} == {n: plain(t) for n, t in enumerate(lines)}
+
+
+@pytest.mark.parametrize("key", ["context_carry", "context_action"])
+def test_turns_are_labelled_once(spark, key):
+    from wicketlake.plans import ENTRIES
+
+    plan = ENTRIES[key].build(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "conversations.parquet" not in plan and "turns-" in plan
