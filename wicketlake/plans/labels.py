@@ -518,6 +518,14 @@ _CARRY = (
 )
 
 
+def named_turns(spark, sf_dir):
+    """The turns in order with what each names, worked out once: what is carried meets the turns it is carried to."""
+    named = lb.named_subjects(routed(spark, sf_dir))
+    turns = named.withColumn("at", F.col("turn") * 2 + F.when(F.col("question_id").endswith("-written"), 1).otherwise(0))
+    names = [f"{c}_name" for c in ("player", "team", "season", "format", "action")]
+    return written(turns.select("question_id", "conv_id", "at", "text", "raw", "q", "action", *names), "turns")
+
+
 @register(
     "context_carry",
     over_questions(
@@ -527,9 +535,7 @@ _CARRY = (
     ),
 )
 def context_carry(spark, sf_dir):
-    named = lb.named_subjects(routed(spark, sf_dir))
-    turns = named.withColumn("at", F.col("turn") * 2 + F.when(F.col("question_id").endswith("-written"), 1).otherwise(0))
-    out = lb.carry_context(turns, 50)
+    out = lb.carry_context(named_turns(spark, sf_dir), 50)
     return out.select(
         "question_id",
         *[F.coalesce(c, F.lit("")).alias(c) for c in ("known_player", "known_team", "known_season", "known_format", "known_action")],
@@ -548,6 +554,4 @@ def context_carry(spark, sf_dir):
     ),
 )
 def context_action(spark, sf_dir):
-    named = lb.named_subjects(routed(spark, sf_dir))
-    turns = named.withColumn("at", F.col("turn") * 2 + F.when(F.col("question_id").endswith("-written"), 1).otherwise(0))
-    return lb.carry_context(turns, 50).select("question_id", lb.action_in_context().alias("action"))
+    return lb.carry_context(named_turns(spark, sf_dir), 50).select("question_id", lb.action_in_context().alias("action"))
