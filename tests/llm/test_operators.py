@@ -116,6 +116,14 @@ def test_simhash_groups(spark, docs, none):
     assert simhash.simhash_components(none).collect() == []
 
 
+def test_plan_of_the_vantage_search_grows_by_an_entry_a_level(spark):
+    """The driver holds the expression of the visited shards, which once grew by a factor of four a level."""
+    values = [(int(v),) for v in np.random.default_rng(2).integers(-(2**63), 2**63, size=96, dtype=np.int64)]
+    frame = spark.createDataFrame(values, "fp long")
+    plans = [simhash.near_links(frame, 2, shard)._jdf.queryExecution().logical().toString() for shard in (12, 6, 3)]
+    assert len(plans[2]) - len(plans[1]) < 2 * (len(plans[1]) - len(plans[0]))
+
+
 def test_vantage_search_finds_every_pair(spark):
     random = np.random.default_rng(1)
     base = random.integers(0, 2**63, size=600, dtype=np.int64)

@@ -82,8 +82,26 @@ def distance(fp: Column, point: int) -> Column:
     return F.bit_count(fp.bitwiseXOR(F.lit(point)))
 
 
-def shifted(shards: Column, bit: Column) -> Column:
-    return F.transform(shards, lambda x: x + bit)
+def shards_of(fp: Column, vantage: list[int], medians: list[int], radius: int) -> tuple[Column, Column]:
+    """(home, visits): the shard of a fingerprint, bit l telling the side of level l's median, and all shards that
+    hold fingerprints within ``radius`` of it.
+
+    Visits are folded over the levels, so that the expression grows by one entry a level and not by a factor.
+    """
+    home, sides = F.lit(0).cast("long"), []
+    for level, (v, m) in enumerate(zip(vantage, medians)):
+        d, bit = distance(fp, v), F.lit(1 << level).cast("long")
+        home = home + F.when(d > m, bit).otherwise(F.lit(0).cast("long"))
+        sides.append(F.struct(bit.alias("bit"), (d <= m + radius).alias("near"), (d > m - radius).alias("far")))
+    one = F.array(F.lit(0).cast("long"))
+    if not sides:
+        return home, one
+
+    def both(shards: Column, side: Column) -> Column:
+        beyond = F.transform(shards, lambda x: x + side["bit"])
+        return F.when(~side["far"], shards).when(~side["near"], beyond).otherwise(F.concat(shards, beyond))
+
+    return home, F.aggregate(F.array(*sides), one, both)
 
 
 def vantage_pairs(points: np.ndarray, queries: np.ndarray, radius: int, leaf: int = 512):
@@ -157,12 +175,7 @@ def near_links(fingerprints: DataFrame, radius: int = 2, shard: int = 16384) ->
                 if 2 * seen >= total:
                     medians.append(r["d"])
                     break
-    home, visits = F.lit(0).cast("long"), F.array(F.lit(0).cast("long"))
-    for level, (v, m) in enumerate(zip(vantage, medians)):
-        d, bit = distance(F.col("fp"), v), F.lit(1 << level).cast("long")
-        home = home + F.when(d > m, bit).otherwise(F.lit(0).cast("long"))
-        inner, outer = visits, shifted(visits, bit)
-        visits = F.when(d <= m - radius, inner).when(d > m + radius, outer).otherwise(F.concat(inner, outer))
+    home, visits = shards_of(F.col("fp"), vantage, medians, radius)
     points = fingerprints.select("fp", home.alias("shard"))
     queries = fingerprints.select(F.col("fp").alias("asked"), F.explode(visits).alias("shard"))
     points, queries, by = in_blocks(points, queries, ["shard"], 2 * shard, "fp", "asked")
