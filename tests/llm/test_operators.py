@@ -355,6 +355,37 @@ def test_embedding_groups(spark):
     assert embedding_dedup.embedding_components(frame.where("false")).collect() == []
 
 
+def test_embeddings_are_sent_to_few_tasks(spark, monkeypatch):
+    """A vector went to 48 cells whatever the others were; now it goes to the blocks that it may reach."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+
+    sent = []
+    grouped, cogrouped = PandasGroupedOpsMixin.applyInPandas, PandasCogroupedOps.applyInPandas
+    monkeypatch.setattr(PandasGroupedOpsMixin, "applyInPandas", lambda x, *a: sent.append(x._df.count()) or grouped(x, *a))
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda x, *a: sent.append(x._gd1._df.count() + x._gd2._df.count()) or cogrouped(x, *a))
+    random = np.random.default_rng(11)
+    loose = random.normal(size=(1200, 64))
+    tight = random.normal(size=(6, 64))[random.integers(0, 6, 1200)] + random.normal(size=(1200, 64)) * random.choice([0.1, 0.3], size=(1200, 1))
+    for vectors, most in ((loose, 9), (tight, 5)):
+        frame = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+        got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_components(frame).collect()}
+        unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+        assert [got[i] for i in range(1200)] == ((unit @ unit.T >= 0.9).sum(axis=1) - 1).tolist()
+        assert sum(sent) <= most * 1200
+        sent.clear()
+
+
+def test_tiles_find_every_near_pair():
+    random = np.random.default_rng(12)
+    v = random.normal(size=(40, 8))[random.integers(0, 40, 3000)] + random.normal(size=(3000, 8)) * 0.2
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    side, near = random.integers(0, 2, 3000), v @ v.T >= 0.9
+    for sides in (np.zeros(3000, int), side):
+        found = [(min(a, b), max(a, b)) for x, y in embedding_dedup.near_pairs(v, sides, 0.9) for a, b in zip(x.tolist(), y.tolist())]
+        want = np.triu(near, 1) & ((sides[:, None] != sides[None, :]) | (sides is not side))
+        assert len(found) == len(set(found)) and sorted(found) == list(zip(*(x.tolist() for x in np.nonzero(want))))
+
+
 def test_nearest_neighbours(spark):
     random = np.random.default_rng(8)
     vectors = random.normal(size=(700, 12)).tolist()

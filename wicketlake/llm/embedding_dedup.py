@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings: a pigeonhole join over low-dimensional parts of rotated vectors."""
+"""Near-duplicate embeddings: parts around pivots, of which those meet that may hold a near pair, in tiles of a product."""
 
 from __future__ import annotations
 
@@ -8,39 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wicketlake.llm.ann_forest import usable
-from wicketlake.llm.common import checkpointed, in_blocks, named
+from wicketlake.llm.common import bounded_batches, checkpointed, give_back, named, shared
 from wicketlake.llm.components import connected_components
 from wicketlake.llm.simhash import forest_of
 
-
-def rotation(size: int) -> np.ndarray:
-    """A fixed random rotation, so that no part of the vectors holds most of their length."""
-    q, r = np.linalg.qr(np.random.default_rng(5).normal(size=(size, size)))
-    return q * np.sign(np.diag(r))
-
-
-def parts_of(size: int, width: int) -> list[tuple[int, int]]:
-    cuts = np.linspace(0, size, max(1, size // width) + 1).astype(int)
-    return [(int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:])]
-
-
-def near_pairs(points: np.ndarray, queries: np.ndarray, bounds, budgets, part: int):
-    """(query row, point row) of pairs of unit vectors that fit the budget of ``part`` and of no earlier part."""
-    low, high = bounds[part]
-    p, q = points[:, low:high].astype(np.float32), queries[:, low:high].astype(np.float32)
-    p2, q2 = (p**2).sum(axis=1), (q**2).sum(axis=1)
-    within = lambda gap, n: gap[:, bounds[n][0] : bounds[n][1]].sum(axis=1) <= budgets[n] + 1e-9
-    for i in range(0, len(q), 1024):
-        d = (-2 * q[i : i + 1024]) @ p.T
-        d += p2
-        a, b = np.nonzero(d <= (budgets[part] + 1e-4 - q2[i : i + 1024])[:, None])
-        for j in range(0, len(a), 1 << 16):
-            x, y = i + a[j : j + (1 << 16)], b[j : j + (1 << 16)]
-            gap = (queries[x] - points[y]) ** 2
-            good = within(gap, part)
-            for earlier in range(part):
-                good &= ~within(gap, earlier)
-            yield x[good], y[good]
+#: Parts that the vectors are dealt out to at least, so that tasks share the work.
+LEAST_PARTS = 8
+#: Vectors in a side of a tile.
+TILE = 1024
 
 
 def unit_rows(column: pd.Series) -> np.ndarray:
@@ -50,23 +25,94 @@ def unit_rows(column: pd.Series) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1)[:, None]
 
 
+def gaps(units: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Euclidean distances from a few points; those of a vector are the same to the bit in any batch."""
+    return np.stack([np.sqrt(((units - p) ** 2).sum(axis=1)) for p in points], axis=1)
+
+
+def homes(units: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The part of each vector, which is its nearest pivot's, its distance from there, and those from all pivots."""
+    d = gaps(units, pivots)
+    part = d.argmin(axis=1)
+    return part, d[np.arange(len(d)), part], d
+
+
+def may_reach(part: np.ndarray, d: np.ndarray, between: np.ndarray, rings: np.ndarray, radius: float) -> np.ndarray:
+    """For each vector and part: may the part hold a vector within ``radius``? It does not if its border with the
+    vector's own part, or the ring around its pivot in which all its vectors lie, is farther. Yes for the own part."""
+    own = d[np.arange(len(d)), part]
+    wide = between[part]
+    border = np.divide(d**2 - own[:, None] ** 2, 2 * wide, out=np.zeros_like(d), where=wide > 0)
+    least = np.maximum.reduce([border, d - rings[:, 1], rings[:, 0] - d])
+    return least <= radius + 1e-6
+
+
+def leaves_of(units: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(rows, centre, radius) of groups of at most ``size`` vectors that lie together: halved along the line between
+    two far ones."""
+    work, found = [np.arange(len(units))] if len(units) else [], []
+    while work:
+        rows = work.pop()
+        part = units[rows]
+        if len(rows) <= size:
+            centre = part.mean(axis=0)
+            found.append((rows, centre, float(np.sqrt(((part - centre) ** 2).sum(axis=1).max()))))
+            continue
+        one = part[((part - part[0]) ** 2).sum(axis=1).argmax()]
+        other = part[((part - one) ** 2).sum(axis=1).argmax()]
+        order = np.argpartition(part @ (other - one), len(rows) // 2)
+        work += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
+    return found
+
+
+def near_pairs(units: np.ndarray, side: np.ndarray, threshold: float):
+    """Row pairs (x, y) of unit vectors of cosine >= ``threshold``, each once: of one side and the other, or of all
+    rows if there is one side only. A tile of rows that lie together meets those that its centre and radius allow,
+    in a product of single precision; what that leaves open is decided in double precision."""
+    single, radius = units.astype(np.float32), np.sqrt(max(0.0, 2 - 2 * threshold))
+    # what a product of single precision may be off by
+    slack = max(1e-5, units.shape[1] * 1.2e-7)
+    first, second = np.flatnonzero(side == 0), np.flatnonzero(side != 0)
+    alone = not len(second)
+    left = [(first[rows], *rest) for rows, *rest in leaves_of(single[first], TILE)]
+    right = left if alone else [(second[rows], *rest) for rows, *rest in leaves_of(single[second], TILE)]
+    if not left or not right:
+        return
+    centres, radii = np.stack([c for _, c, _ in right]).astype(np.float64), np.array([r for *_, r in right])
+    for i, (rows, centre, reach) in enumerate(left):
+        apart = np.sqrt(((centres - centre) ** 2).sum(axis=1)) - radii - reach
+        for j in np.flatnonzero(apart <= radius + 1e-4):
+            if alone and j < i:
+                continue
+            others = right[j][0]
+            cosine = single[rows] @ single[others].T
+            if alone and j == i:
+                cosine[np.tril_indices(len(rows))] = -2
+            at = np.flatnonzero(cosine >= threshold - slack)
+            for k in range(0, len(at), 1 << 16):
+                a, b = np.divmod(at[k : k + (1 << 16)], len(others))
+                good = cosine[a, b] > threshold + slack
+                open_ = np.flatnonzero(~good)
+                good[open_] = (units[rows[a[open_]]] * units[others[b[open_]]]).sum(axis=1) >= threshold
+                yield rows[a[good]], others[b[good]]
+
+
 def embedding_components(
     vectors: DataFrame,
     threshold: float = 0.9,
-    width: int = 8,
-    axes: int = 2,
-    block: int = 16384,
+    block: int = 65536,
     vec_id: str = "vec_id",
     embedding: str = "embedding",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row: links are pairs of cosine >= ``threshold``.
 
-    Unit vectors of cosine c are sqrt(2 - 2c) apart. Rotated vectors are split into parts of about ``width``
-    components; the squared distance is the sum over parts, so in at least one part it is within the part's
-    share of the budget. Each part is joined by range: its first ``axes`` components name a cell as wide as
-    the part's radius, and a vector meets its own and the next cells. Pairs within the part's budget are
-    verified on the whole vectors, where a pair is counted in the first part that finds it. Equal vectors
-    are compared once and counted as often as they occur; crowded cells are compared in blocks of ``block``.
+    Unit vectors of cosine c are sqrt(2 - 2c) apart. Vectors belong to the part of the nearest of a few pivots, chosen
+    by a hash; large parts are dealt out in blocks of about ``block``. Two blocks meet in one task, which is sent those
+    vectors of either that may have a near one in the other's part, by the border between the parts and by the ring
+    in which a part lies. In a task tiles of vectors that lie together are ruled out by their centres and radii, and
+    the others compared whole. So every pair is compared in one place at most, and a vector is sent to as many blocks
+    as it may reach: few where vectors form groups, all where they do not. Equal vectors are compared once and counted
+    as often as they occur. The driver sees the pivots, and the size and the ring of each part.
 
     Null vectors, zero vectors and those with null or non-finite components link with nothing, not even
     with equal ones. component_id is the smallest vec_id that links reach, itself included; kept tells vec_id =
@@ -83,79 +129,82 @@ def embedding_components(
     rows = rows.where("cls IS NOT NULL")
     classes = rows.groupBy("cls").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.any_value("v").alias("v"))
     classes = checkpointed(classes.withColumn("node", F.xxhash64("cls")))
-    one = classes.select(F.size("v").alias("size")).limit(1).collect()
-    if not one:
+    total = classes.count()
+    if not total:
         return unfit
-    turn, bounds = rotation(one[0]["size"]), parts_of(one[0]["size"], width)
-    total = 2 - 2 * threshold
-    budgets = [total * (b - a) / one[0]["size"] for a, b in bounds]
-
-    def cells(batches):
-        """Rows for each part: side 0 in the vector's own cell; side 1, as a query, in that cell and in half of the
-        cells around it, so that two neighbouring cells meet once."""
+    count = max(LEAST_PARTS, -(-total // block))
+    chosen = pd.Series([r["v"] for r in classes.orderBy("node").limit(count).select("v").collect()])
+    pivots = np.unique(np.round(unit_rows(chosen), 9), axis=0)
+    radius = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    bounded_batches(vectors.sparkSession)
+    sent = shared(vectors.sparkSession, pivots)
+
+    def measure(batches):
+        """One row for each part and batch: how many vectors, the least and the largest distance from the pivot."""
+        for pdf in batches:
+            if len(pdf):
+                part, own, _ = homes(unit_rows(pdf["v"]), sent())
+                rings = pd.DataFrame({"part": part, "own": own}).groupby("part")["own"].agg(["size", "min", "max"])
+                yield rings.reset_index().set_axis(["part", "n", "low", "high"], axis=1)
+
+    rings = classes.select("v").mapInPandas(measure, "part int, n long, low double, high double")
+    rings = rings.groupBy("part").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    bounds, blocks = np.zeros((len(pivots), 2)), np.zeros(len(pivots), dtype=np.int64)
+    for r in rings:
+        bounds[r["part"]], blocks[r["part"]] = (r["low"], r["high"]), -(-r["n"] // block)
+    begins = np.cumsum(blocks) - blocks
+    of_block = np.repeat(np.arange(len(pivots)), blocks)
+
+    def deal(batches):
+        """``visits``: the tasks that a vector is sent to, as smaller block, larger block and its side of the two."""
+        points = sent()
+        between = gaps(points, points)
         for pdf in batches:
             if not len(pdf):
                 continue
-            turned = unit_rows(pdf["v"]) @ turn
-            for part, (low, high) in enumerate(bounds):
-                used = min(axes, high - low)
-                at = np.floor(turned[:, low : low + used] / np.sqrt(budgets[part] + 1e-8)).astype(np.int64)
-                around = np.stack(np.meshgrid(*[[-1, 0, 1]] * used, indexing="ij"), axis=-1).reshape(-1, used)
-                half = [x for x in around.tolist() if x >= [0] * used]
-                for side, steps in ((0, [[0] * used]), (1, half)):
-                    for step in steps:
-                        yield pd.DataFrame(
-                            {
-                                "part": part,
-                                "cell": [",".join(map(str, x)) for x in (at + np.array(step)).tolist()],
-                                "side": side,
-                                "home": not any(step),
-                                "node": pdf["node"],
-                                "n": pdf["n"],
-                                "v": pdf["v"],
-                            }
-                        )
+            part, _, d = homes(unit_rows(pdf["v"]), points)
+            reach = may_reach(part, d, between, bounds, radius)[:, of_block]
+            own = begins[part] + np.mod(pdf["node"].to_numpy(np.int64), blocks[part])
+            visits = []
+            for mine, row in zip(own.tolist(), reach):
+                visits.append([(min(mine, b), max(mine, b), int(b < mine)) for b in np.flatnonzero(row).tolist()])
+            yield pdf.assign(visits=visits)
 
     kind = classes.schema["v"].dataType.simpleString()
     dealt = classes.select("node", "n", "v").mapInPandas(
-        cells, f"part int, cell string, side int, home boolean, node long, n long, v {kind}"
-    )
-    points = dealt.where("side = 0").select("part", "cell", "node", "n", "v")
-    asked = dealt.where("side = 1").select(
-        "part", "cell", "home", F.col("node").alias("q_node"), F.col("n").alias("q_n"), F.col("v").alias("q_v")
+        deal, f"node long, n long, v {kind}, visits array<struct<one:int,two:int,side:int>>"
     )
-    points, asked, by = in_blocks(points, asked, ["part", "cell"], block, "node", "q_node")
+    dealt = dealt.select("node", "n", "v", F.inline("visits"))
 
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """Rows (a, a, links): links of a, counted with the copies at their other ends; rows (a, b, 0): links
-        that connect whatever the block's links connect."""
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "links": []})
-        p_unit, q_unit = unit_rows(left["v"]), unit_rows(right["q_v"])
-        p_node, q_node = left["node"].to_numpy(np.int64), right["q_node"].to_numpy(np.int64)
-        p_n, q_n, home = left["n"].to_numpy(np.int64), right["q_n"].to_numpy(np.int64), right["home"].to_numpy(bool)
-        p_links, q_links = np.zeros(len(p_node), dtype=np.int64), np.zeros(len(q_node), dtype=np.int64)
-        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
-        for x, y in near_pairs(p_unit @ turn, q_unit @ turn, bounds, budgets, int(left["part"].iloc[0])):
-            # in the home cell both ends ask, so each pair is taken from its smaller node
-            good = (q_unit[x] * p_unit[y]).sum(axis=1) >= threshold
-            good &= np.where(home[x], q_node[x] < p_node[y], q_node[x] != p_node[y])
-            x, y = x[good], y[good]
-            q_links += np.bincount(x, weights=p_n[y], minlength=len(q_links)).astype(np.int64)
-            p_links += np.bincount(y, weights=q_n[x], minlength=len(p_links)).astype(np.int64)
-            if len(x):
-                a, b = forest_of(np.concatenate([a, q_node[x]]), np.concatenate([b, p_node[y]]))
-        q_some, p_some = q_links > 0, p_links > 0
-        ends = np.concatenate([q_node[q_some], p_node[p_some]])
+        that connect whatever the task's links connect."""
+        node, n, side = pdf["node"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), pdf["side"].to_numpy()
+        apart, units = pdf["one"].iloc[0] != pdf["two"].iloc[0], unit_rows(pdf["v"])
+        del pdf
+        links, root = np.zeros(len(node), dtype=np.int64), np.arange(len(node))
+        if not apart or 0 < side.sum() < len(side):
+            for x, y in near_pairs(units, side, threshold):
+                np.add.at(links, x, n[y])
+                np.add.at(links, y, n[x])
+                new = root[x] != root[y]
+                if new.any():
+                    to = np.arange(len(node))
+                    a, b = forest_of(root[x[new]], root[y[new]])
+                    to[a] = b
+                    root = to[root]
+        del units
+        give_back()
+        some, other = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(node)))
         return pd.DataFrame(
             {
-                "a": np.concatenate([ends, a]),
-                "b": np.concatenate([ends, b]),
-                "links": np.concatenate([q_links[q_some], p_links[p_some], np.zeros(len(a), np.int64)]),
+                "a": np.concatenate([node[some], node[other]]),
+                "b": np.concatenate([node[some], node[root[other]]]),
+                "links": np.concatenate([links[some], np.zeros(len(other), np.int64)]),
             }
         )
 
-    found = points.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(compare, "a long, b long, links long")
+    found = dealt.groupBy("one", "two").applyInPandas(compare, "a long, b long, links long")
     found = checkpointed(found)
     links = found.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("a <> b").select("a", "b"))
