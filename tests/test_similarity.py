@@ -1,6 +1,7 @@
 """Edit distance, similarity and candidate joins against plain definitions."""
 
 import itertools
+import math
 import random
 
 import pytest
@@ -251,3 +252,46 @@ def test_similar_questions_broadcast_no_table_that_grows(spark):
     hits = ve.near_hits(asked, cache, 0.3)
     assert "BroadcastHashJoin" not in hits._jdf.queryExecution().executedPlan().toString()
     assert {(r.question_id, r.cached_id) for r in hits.collect()} >= {(1, "a")}
+
+
+def plan_records(plan):
+    """Rows that the exchanges of an executed plan have written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return plan_records(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return plan_records(plan.plan())
+    if kind == "ReusedExchangeExec":
+        return 0
+    own = plan.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+    return own + sum(plan_records(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+@pytest.mark.parametrize("block", [4096, 50])
+def test_pairs_of_short_questions_are_not_shuffled(spark, monkeypatch, block):
+    """300 questions that differ in a number make 90,000 pairs, each of which went through two exchanges."""
+    monkeypatch.setattr(ve, "WORD_BLOCK", block, raising=False)
+    docs = spark.range(300).selectExpr("concat('predict winner match ', id) AS document")
+    pairs = ve.similar_documents(docs, docs, 0.3)
+    assert len(pairs.collect()) == 300 * 300
+    assert plan_records(pairs._jdf.queryExecution().executedPlan()) < 50 * 300
+
+
+@pytest.mark.parametrize("distance", [0.05, 0.3, 0.6])
+def test_similar_bags_of_two_tables_and_of_frequent_words(spark, monkeypatch, distance):
+    monkeypatch.setattr(ve, "WORD_BLOCK", 15)
+    monkeypatch.setattr(ve, "SHORT_BAG", 6)
+    random.seed(9)
+    words = [f"w{i}" for i in range(60)] + ["common", "usual"] * 20
+    drawn = [random.choices(words, k=random.randint(1, 40)) for _ in range(120)]
+    drawn += [[*d[1:], "other"] for d in drawn[:60]]
+    bags = sorted({" ".join(dict.fromkeys(d)) for d in drawn})
+    random.shuffle(bags)
+    left, right = bags[:110], bags[60:]
+    far = lambda a, b: round(1 - len({*a.split()} & {*b.split()}) / math.sqrt(len({*a.split()}) * len({*b.split()})), 6)
+    frame = lambda some: spark.createDataFrame([(b,) for b in some], "document string")
+    same = frame(bags)
+    for a, b, x, y in ((frame(left), frame(right), left, right), (same, same, bags, bags)):
+        got = [tuple(r) for r in ve.similar_documents(a, b, distance).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(p, q, far(p, q)) for p in x for q in y if far(p, q) < distance}

@@ -166,47 +166,138 @@ def centroids(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     return means.groupBy(F.col(group).alias("query_id")).agg(ordered.alias("vector"))
 
 
+#: Bags of up to so many words carry their words and text to where they meet.
+SHORT_BAG = 16
+#: Longs of a bag's signature.
+SIGNATURE = 8
+#: Rows of one word on either side of a task, before the word is dealt out in blocks.
+WORD_BLOCK = 4096
+
+
+def _signature(word: Column) -> list[Column]:
+    """One bit for each word, in ``SIGNATURE`` longs."""
+    at = F.pmod(F.xxhash64(word), F.lit(64 * SIGNATURE))
+    return [
+        F.bit_or(F.when(at.between(64 * k, 64 * k + 63), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))).otherwise(F.lit(0).cast("long")))
+        .alias(f"s{k}")
+        for k in range(SIGNATURE)
+    ]
+
+
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _in_word_blocks(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of frequent words, with the band of their sizes and the parts in which they meet as keys:
+    no task holds more than about ``WORD_BLOCK`` rows of a word on either side."""
+    b = b.withColumn("l_band", F.explode(F.array(F.col("r_band") - 1, "r_band", F.col("r_band") + 1)))
+    parts = lambda df, name: df.groupBy("word", "l_band").agg(F.ceil(F.count("*") / WORD_BLOCK).cast("int").alias(name))
+    sizes = written(parts(a, "l_parts").join(parts(b, "r_parts").hint("merge"), ["word", "l_band"]), "word-sizes").hint("merge")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    a = a.join(sizes, ["word", "l_band"]).withColumn("l_part", F.pmod(F.xxhash64("l_id"), "l_parts").cast("int")).withColumn("r_part", every("r_parts"))
+    b = b.join(sizes, ["word", "l_band"]).withColumn("r_part", F.pmod(F.xxhash64("r_id"), "r_parts").cast("int")).withColumn("l_part", every("l_parts"))
+    # By number: rows are few and small where pairs are many, and would be put together in few tasks by their size.
+    keys, tasks = ["word", "l_band", "l_part", "r_part"], _tasks(a)
+    return a.drop("l_parts", "r_parts").repartition(tasks, *keys), b.drop("l_parts", "r_parts").repartition(tasks, *keys)
+
+
 def similar_documents(left: DataFrame, right: DataFrame, max_distance: float = MAX_CACHE_DISTANCE) -> DataFrame:
     """Pairs of distinct word-bag documents within a cosine distance: (``l_doc``, ``r_doc``, ``distance``).
 
     A document is words in one string, of which repeated ones count once. Bags that are close share most words, so they
-    share one of their rarest few, and only those are joined on. A word meets only bags of a fitting size, so
-    that a frequent one is split by sizes, and only at places that leave enough words behind them to be shared.
-    Documents are written once and have a number, which stands for them until pairs are verified. All joins are of
-    tables that grow with the documents, so they are merge joins, whatever little a written table takes on disk.
+    share one of their rarest few, and only those are joined on. A pair fits by size, by the places of the word, which
+    must leave enough words behind them to be shared, and by the signatures of the bags, which bound what can be shared.
+    Pairs grow with the square of bags that differ in a word or two, so those of two bags of up to ``SHORT_BAG`` words
+    are never shuffled: a short bag brings its words and its text along, and the pair is verified where it meets on its
+    rarest shared word. Pairs with a longer bag, of which the signatures leave few others than close ones, are made
+    distinct as numbers and meet their texts after. If both sides are one table, its rows are shuffled once, and pairs
+    are looked for in one order. Words of many bags are dealt out in blocks. Documents and their rarest words are written
+    once. All joins are of tables that grow with the documents, so they are merge joins, whatever little a written
+    table takes on disk. The driver sees the words that more than ``WORD_BLOCK`` bags would meet on.
     """
-    t = 1.0 - max_distance
+    t, alike = 1.0 - max_distance, left.sameSemantics(right)
     flag = lambda df, l, r: df.select(F.col("document").alias("doc"), F.lit(l).alias("l"), F.lit(r).alias("r"))
     both = flag(left, True, False).unionByName(flag(right, False, True)).filter("doc != ''")
     both = both.groupBy("doc").agg(F.bool_or("l").alias("l"), F.bool_or("r").alias("r"))
     both = both.withColumn("words", F.array_distinct(F.split("doc", " "))).withColumn("n", F.size("words"))
     both = written(both.withColumn("id", F.monotonically_increasing_id()), "documents")
-    words = both.select("id", "l", "r", "n", F.explode("words").alias("word"))
-    often = words.groupBy("word").agg(F.count(F.lit(1)).alias("often"))
+    short = SHORT_BAG if t > 0 else 0
+    words = both.select("id", "l", "r", "n", "doc", F.posexplode("words").alias("at", "text"))
+    words = words.withColumn("doc", F.when((F.col("at") == 0) & (F.col("n") <= short), F.col("doc"))).drop("at")
+    # A word is its number from here on; words of equal frequency are in the order of their numbers.
+    often = words.groupBy("text").agg(F.count(F.lit(1)).alias("often"))
+    often = written(often.withColumn("word", F.monotonically_increasing_id()), "words")
     # Bags of n words at cosine distance d share at least (1 - d)^2 * n of them.
     must_share = F.ceil(F.col("n") * F.lit(t * t) - F.lit(1e-9))
-    first = F.slice("rare_first", F.lit(1), (F.col("n") - must_share + 1).cast("int"))
-    band = F.floor(F.log(F.col("n")) / -np.log(t * t)).cast("int") if 0 < t < 1 else F.col("n")
-    ordered = words.join(often.hint("merge"), "word").groupBy("id", "l", "r", "n").agg(
-        F.array_sort(F.collect_list(F.struct("often", "word"))).alias("rare_first")
-    )
-    ordered = written(ordered.select("id", "l", "r", "n", band.alias("band"), F.posexplode(first).alias("place", "w")), "rare-words")
-    a = ordered.filter("l").select(F.col("id").alias("l_id"), F.col("n").alias("l_n"), "band", F.col("place").alias("l_at"), "w.word")
-    b = ordered.filter("r").select(
-        F.col("id").alias("r_id"), F.col("n").alias("r_n"), F.col("place").alias("r_at"), "w.word",
-        F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"),
+    band = F.floor(F.log(F.col("n")) / -np.log(t * t)).cast("int") if 0 < t < 1 else F.col("n") if t >= 1 else F.lit(0)
+    bags = words.join(often.hint("merge"), "text").groupBy("id").agg(
+        F.any_value("l").alias("l"), F.any_value("r").alias("r"), F.any_value("n").alias("n"), F.max("doc").alias("doc"),
+        F.array_sort(F.collect_list(F.struct("often", "word"))).alias("rare_first"), *_signature(F.col("word")),
     )
+    bags = bags.withColumn("bag", F.col("rare_first.word")).withColumn("first", F.slice("bag", F.lit(1), (F.col("n") - must_share + 1).cast("int")))
+    signed = [f"s{k}" for k in range(SIGNATURE)]
+    bags = written(bags.select("id", "l", "r", "n", "doc", band.alias("band"), F.when(F.col("n") <= short, F.col("bag")).alias("bag"), "first", *signed), "rare-words")
+    rows = bags.select("*", F.posexplode("first").alias("at", "word")).withColumn("prev", F.expr("try_element_at(first, nullif(at, 0))"))
+    frequent = [r["word"] for r in rows.groupBy("word").count().filter(F.col("count") > WORD_BLOCK).select("word").collect()]
+    carried = ["id", "n", "band", "at", "prev", "doc", "bag", *signed]
+
+    if alike:  # both sides have the same rows, which are shuffled once
+        rows = rows.repartition(_tasks(rows), "word")
+    of_side = lambda df, s: df.select("word", *[F.col(c).alias(f"{s}_{c}") for c in carried])
+    rows_of = lambda s: rows if alike else rows.filter(s)
+
+    need = t * F.sqrt(F.col("l_n").cast("double") * F.col("r_n")) - 1e-6
     sized = (F.col("r_n") >= F.col("l_n") * (t * t) - 1e-9) & (F.col("l_n") >= F.col("r_n") * (t * t) - 1e-9)
-    left_over = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at"))
-    enough = left_over >= t * F.sqrt(F.col("l_n").cast("double") * F.col("r_n")) - 1e-6
-    met = a.join(b.hint("merge"), ["word", "band"]).filter(sized & enough).select("l_id", "r_id")
+    enough = F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) >= need
+    # A pair that shares the word before as well meets there; a bag meets itself on its first word. Of like sides a pair
+    # is looked for in one order.
+    early = F.coalesce(F.col("l_prev") != F.col("r_prev"), F.lit(True))
+    order = F.col("l_id") < F.col("r_id") if alike else F.col("l_id") != F.col("r_id")
+    # Bits of one side that the other lacks are words that it lacks; half of them rule out most pairs.
+    lacks = lambda x, y, bits: sum(F.bit_count(F.col(f"{x}_{s}").bitwiseAND(F.bitwise_not(f"{y}_{s}"))) for s in bits)
+    signs = lambda bits: (F.col("l_n") - lacks("l", "r", bits) >= need) & (F.col("r_n") - lacks("r", "l", bits) >= need)
+    fit = (order | ((F.col("l_id") == F.col("r_id")) & (F.col("l_at") == 0))) & enough & sized & early & signs(signed[::2]) & signs(signed)
+
+    def met(l_sizes: Column, r_sizes: Column, *also: Column) -> DataFrame:
+        """Pairs of bags of such sizes that meet on a word and fit."""
+
+        def on(keys: list[str], a: DataFrame, b: DataFrame) -> DataFrame:
+            pairs = a.join(b.hint("merge"), keys).filter(fit & l_sizes & r_sizes)
+            for condition in also:
+                pairs = pairs.filter(condition)
+            return pairs.select("word", *[f"{s}_{c}" for s in "lr" for c in carried])
+
+        if not frequent:
+            return on(["word"], of_side(rows_of("l"), "l"), of_side(rows_of("r"), "r"))
+        crowded = F.col("word").isin(frequent)
+        seldom = on(["word"], of_side(rows_of("l").filter(~crowded), "l"), of_side(rows_of("r").filter(~crowded), "r"))
+        a, b = of_side(rows_of("l").filter(crowded), "l"), of_side(rows_of("r").filter(crowded), "r")
+        return seldom.unionByName(on(["word", "l_band", "l_part", "r_part"], *_in_word_blocks(a.filter(l_sizes), b.filter(r_sizes))))
+
+    def both_ways(pairs: DataFrame, names: list[str]) -> DataFrame:
+        """Columns l_... and r_... of ``pairs``, and with like sides also in the other order."""
+        if not alike:
+            return pairs
+        turn = lambda x, y: F.struct(*[F.col(f"{x}_{c}").alias(f"l_{c}") for c in names], *[F.col(f"{y}_{c}").alias(f"r_{c}") for c in names])
+        rest = [c for c in pairs.columns if c[2:] not in names]
+        one, same = turn("l", "r"), F.col(f"l_{names[0]}") == F.col(f"r_{names[0]}")
+        return pairs.select(*rest, F.inline(F.when(same, F.array(one)).otherwise(F.array(one, turn("r", "l")))))
+
+    away = lambda shared: F.round(1 - shared / F.sqrt(F.col("l_n").cast("double") * F.col("r_n")), 6)
     # Dealt out by the left document, where pairs are made distinct and meet its text without another shuffle.
-    pairs = met.repartition("l_id").distinct()
+    long = F.greatest("l_n", "r_n") > short
+    pairs = met(F.col("l_n") > short * t * t - 1e-6, F.col("r_n") > short * t * t - 1e-6, long).select("l_id", "r_id").repartition("l_id").distinct()
     side = lambda name: both.filter(name).select(F.col("id").alias(f"{name}_id"), F.col("doc").alias(f"{name}_doc"), F.col("n").alias(f"{name}_n"))
     candidates = pairs.join(side("l").hint("merge"), "l_id").join(side("r").hint("merge"), "r_id")
     shared = F.size(F.array_intersect(F.split("l_doc", " "), F.split("r_doc", " ")))
-    distance = F.round(1 - shared / F.sqrt(F.col("l_n").cast("double") * F.col("r_n")), 6)
-    return candidates.select("l_doc", "r_doc", distance.alias("distance")).filter(F.col("distance") < max_distance)
+    found = candidates.select("l_doc", "r_doc", away(shared).alias("distance")).filter(F.col("distance") < max_distance)
+    if short:
+        common = F.array_intersect("l_bag", "r_bag")
+        close = (F.try_element_at(common, F.lit(1)) == F.col("word")) & (away(F.size(common)) < max_distance)
+        brief = met(F.col("l_n") <= short, F.col("r_n") <= short, close).select("l_doc", "r_doc", away(F.size(common)).alias("distance"))
+        found = found.unionByName(brief)
+    return both_ways(found, ["doc"]).select("l_doc", "r_doc", "distance")
 
 
 def question_document(text: str) -> Column:
